@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 import corpus_pipeline
+from cadastra.llm import bpe, langid, mixing
 from cadastra.llm.fingerprints import fingerprint_pairs
 from cadastra.llm.tables import table
 
 
+def op4_source_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op5_byte_bpe(spark, sf_dir):
+    tokens = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.digests(table(spark, sf_dir, "documents"), tokens, public_tokenizers.PATTERN)
+
+
 def op8_document_fingerprints(spark, sf_dir):
     return fingerprint_pairs(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"), langid.pieces(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def queries() -> dict:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_source_mixing": mixing.oracle()}
