@@ -5,11 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 
 import corpus_pipeline
-from cadastra.llm import bpe, langid, mixing
+from cadastra.llm import bpe, langid, mixing, ngram_join
 from cadastra.llm.fingerprints import fingerprint_pairs
 from cadastra.llm.tables import table
 
 
+def op1_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.join(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op4_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
