@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cadastra.llm import bpe, langid, mixing, ngram_join, substrings
+from cadastra.llm import bpe, langid, mixing, ngram_join, substrings, suffixes
 from cadastra.llm.fingerprints import fingerprint_pairs
 from cadastra.llm.tables import table
 
@@ -15,6 +15,11 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.join(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op2_suffix_array_dedup(spark, sf_dir):
+    found = suffixes.dedup(table(spark, sf_dir, "documents"), window=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_substring_dedup(spark, sf_dir):
     found = substrings.dedup(table(spark, sf_dir, "documents"), window=35)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
