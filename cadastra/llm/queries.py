@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cadastra.llm import ann, bpe, langid, mixing, ngram_join, substrings, suffixes
+from cadastra.llm import ann, bpe, langid, mixing, ngram_join, pii, substrings, suffixes
 from cadastra.llm.fingerprints import fingerprint_pairs
 from cadastra.llm.tables import table
 
@@ -42,6 +42,10 @@ def op8_document_fingerprints(spark, sf_dir):
     return fingerprint_pairs(table(spark, sf_dir, "documents"))
 
 
+def op9_pii_surrogates(spark, sf_dir):
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"), langid.pieces(public_tokenizers.path("piece_bpe_32k.model")))
 
