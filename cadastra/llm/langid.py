@@ -17,13 +17,13 @@ text and lang are read.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.llm.tables import written
+from cadastra.llm.text import U
 
 SAMPLE_DOCS = 1500
 ROUNDS = 3
@@ -31,6 +31,8 @@ ROUNDS = 3
 SMOOTHING, UNKNOWN = 0.05, 1e-7
 #: Longest piece in letters, longest part of a word that is scored at once, words a task remembers.
 PIECE, PART, REMEMBERED = 16, 32, 300_000
+#: Texts whose new words are scored together.
+GROUP = 500
 WORD = r"\p{L}[\p{L}\p{M}]*"
 MARK = "▁"
 
@@ -50,59 +52,101 @@ def parts(word: str) -> list[str]:
     return [word[i : i + PART] for i in range(0, len(word), PART)]
 
 
+def _step(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The hash of a string with one more letter."""
+    h = (h ^ (code + U(0x9E3779B97F4A7C15))) * U(0xBF58476D1CE4E5B9)
+    return h ^ (h >> U(29))
+
+
+def _codes(words: list[str]) -> np.ndarray:
+    """Code points of words of equal length, one row each."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").reshape(len(words), -1).astype(U)
+
+
 class Segmenter:
-    """Sums over segmentations. table: piece -> its probability in each language; prefixes map to None."""
-
-    def __init__(self, names: list[str], probabilities: list[tuple[float, ...]], languages: int):
-        self.table = {}
-        for name in names:
-            for j in range(1, len(name)):
-                self.table.setdefault(name[:j], None)
-        self.table.update(zip(names, probabilities, strict=True))
-        self.unknown = (UNKNOWN,) * languages
-        self.n = languages
-
-    def arcs(self, w: str, i: int):
-        """(end, probabilities) of the pieces that start at i; a letter is always one."""
-        get, single = self.table.get, False
-        for j in range(i + 1, min(len(w), i + PIECE) + 1):
-            p = get(w[i:j], 0)
-            if p == 0:
-                break
-            if p is not None:
-                single |= j == i + 1
-                yield j, p
-        if not single:
-            yield i + 1, self.unknown
-
-    def forward(self, w: str) -> list[list[float]]:
-        alpha = [None] * (len(w) + 1)
-        alpha[0] = [1.0] * self.n
-        for i in range(len(w)):
-            a = alpha[i]
-            for j, p in self.arcs(w, i):
-                step = [x * y for x, y in zip(a, p, strict=True)]
-                alpha[j] = step if alpha[j] is None else [x + y for x, y in zip(alpha[j], step, strict=True)]
+    """Sums over segmentations of many words at once. probabilities: a row for each piece, a column for each language."""
+
+    def __init__(self, names: list[str], probabilities: np.ndarray):
+        self.p = np.asarray(probabilities, dtype=np.float64).reshape(len(names), -1)
+        by_length: dict[int, list[int]] = {}
+        for i, name in enumerate(names):
+            by_length.setdefault(len(name), []).append(i)
+        hashes, rows = [], []
+        for n, own in by_length.items():
+            codes, h = _codes([names[i] for i in own]), np.zeros(len(own), dtype=U)
+            for j in range(n):
+                h = _step(h, codes[:, j])
+                hashes.append(h)
+                rows.append(np.array(own) if j == n - 1 else np.full(len(own), -1))
+        h, row = np.concatenate(hashes), np.concatenate(rows)
+        order = np.lexsort((-row, h))  # a piece before the same string as a mere prefix
+        h, row = h[order], row[order]
+        first = np.concatenate([[True], h[1:] != h[:-1]])
+        self.hash, self.row = h[first], row[first]
+
+    def arcs(self, codes: np.ndarray):
+        """(i, j, words, rows): where a piece spans letters i to j; row -1 is a letter that no piece covers."""
+        every = np.arange(len(codes))
+        for i in range(codes.shape[1]):
+            at, h = every, np.zeros(len(codes), dtype=U)
+            for j in range(i + 1, min(codes.shape[1], i + PIECE) + 1):
+                h = _step(h, codes[at, j - 1])
+                place = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+                hit = self.hash[place] == h
+                row = np.where(hit, self.row[place], -1)
+                if j == i + 1 and (row < 0).any():
+                    yield i, j, at[row < 0], None
+                piece = row >= 0
+                if piece.any():
+                    yield i, j, at[piece], row[piece]
+                at, h = at[hit], h[hit]
+                if not len(at):
+                    break
+
+    def forward(self, codes: np.ndarray, arcs) -> np.ndarray:
+        """alpha[i, word, language]: the probability of the first i letters."""
+        alpha = np.zeros((codes.shape[1] + 1, len(codes), self.p.shape[1]))
+        alpha[0] = 1.0
+        for i, j, at, row in arcs:
+            alpha[j, at] += alpha[i, at] * (UNKNOWN if row is None else self.p[row])
         return alpha
 
-    def log(self, word: str) -> list[float]:
-        total = [0.0] * self.n
-        for w in parts(word):
-            total = [t + math.log(x) for t, x in zip(total, self.forward(w)[-1], strict=True)]
+    @staticmethod
+    def grouped(words: list[str]):
+        """(word numbers, code points) of the words' parts, of equal length and not too many at once."""
+        by_length: dict[int, list[tuple[int, str]]] = {}
+        for i, word in enumerate(words):
+            for part in parts(word):
+                by_length.setdefault(len(part), []).append((i, part))
+        for group in by_length.values():
+            for k in range(0, len(group), 4096):
+                number, part = zip(*group[k : k + 4096], strict=True)
+                yield np.array(number), _codes(list(part))
+
+    def logs(self, words: list[str]) -> np.ndarray:
+        """The log probability of each word in each language."""
+        total = np.zeros((len(words), self.p.shape[1]))
+        for number, codes in self.grouped(words):
+            np.add.at(total, number, np.log(self.forward(codes, self.arcs(codes))[-1]))
         return total
 
-    def expected(self, word: str, k: int, times: float, counts: dict) -> None:
-        """Adds the expected piece counts of the word in language k."""
-        for w in parts(word):
-            alpha = self.forward(w)
-            beta = [0.0] * len(w) + [1.0]
-            for i in range(len(w) - 1, -1, -1):
-                for j, p in self.arcs(w, i):
-                    beta[i] += p[k] * beta[j]
-            scale = times / beta[0]
-            for i in range(len(w)):
-                for j, p in self.arcs(w, i):
-                    counts[k, w[i:j]] = counts.get((k, w[i:j]), 0.0) + alpha[i][k] * p[k] * beta[j] * scale
+    def expected(self, words: list[str], k: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Expected piece counts by language, when word i occurs times[i] times in language k[i]."""
+        size, counts = self.p.shape, np.zeros(self.p.size)
+        for number, codes in self.grouped(words):
+            arcs = list(self.arcs(codes))
+            every, lang = np.arange(len(codes)), k[number]
+            alpha = self.forward(codes, arcs)[:, every, lang]
+            beta = np.zeros_like(alpha)
+            beta[-1] = 1.0
+            for i, j, at, row in reversed(arcs):
+                beta[i, at] += beta[j, at] * (UNKNOWN if row is None else self.p[row, lang[at]])
+            scale = times[number] / beta[0]
+            for i, j, at, row in arcs:
+                if row is not None:
+                    share = alpha[i, at] * self.p[row, lang[at]] * beta[j, at] * scale[at]
+                    np.add.at(counts, row * size[1] + lang[at], share)
+        return counts.reshape(size)
 
 
 def held_out(modulus: int = 3, remainder: int = 1) -> Column:
@@ -122,72 +166,71 @@ def _words(batches):
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(counts.values(), pa.int64())], names=["lang", "word", "n"])
 
 
-def fit(docs: DataFrame, names: list[str], rounds: int = ROUNDS, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], list[tuple[float, ...]]]:
+def fit(docs: DataFrame, names: list[str], rounds: int = ROUNDS, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages, and for each piece its probability in each of them, from labelled documents (doc_id, text, lang)."""
     docs = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
     seen = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}  # one row a label
     langs = sorted(seen)
     if not langs:
-        return [], [()] * len(names)
+        return [], np.zeros((len(names), 0))
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, int(min(1.0, sample_docs / seen[k]) * 1_000_000))])
     sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < F.element_at(share, F.col("lang")))
     words = written(sample.mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     at = {k: i for i, k in enumerate(langs)}
-    table = [(1.0 / len(names),) * len(langs)] * len(names)
+    table = np.full((len(names), len(langs)), 1.0 / len(names))
     context = docs.sparkSession.sparkContext
     for _ in range(rounds):
         shared = context.broadcast((names, table))  # a fixed vocabulary times the labels
 
         def gather(batches, shared=shared):
-            names, table = shared.value
-            model, counts = Segmenter(names, table, len(at)), {}
+            model = Segmenter(*shared.value)
+            total = np.zeros(model.p.shape)
             for batch in batches:
-                for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
-                    model.expected(word, at[lang], n, counts)
-            k, piece = zip(*counts, strict=True) if counts else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(piece, pa.string()), pa.array(counts.values(), pa.float64())], names=["k", "piece", "n"])
-
-        counts = words.mapInArrow(gather, "k int, piece string, n double").groupBy("k", "piece").agg(F.round(F.sum("n"), 3).alias("n"))
-        known = set(names)
-        found = {(r["k"], r["piece"]): r["n"] for r in counts.filter(F.length("piece") <= PIECE).toLocalIterator() if r["piece"] in known}
-        totals = [sum(v for (k, _), v in found.items() if k == i) + SMOOTHING * len(names) for i in range(len(langs))]
-        table = [tuple((found.get((i, p), 0.0) + SMOOTHING) / totals[i] for i in range(len(langs))) for p in names]
+                k = np.array([at[x] for x in batch.column("lang").to_pylist()], dtype=np.int64)
+                total += model.expected(batch.column("word").to_pylist(), k, batch.column("n").to_numpy())
+            row, k = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(total[row, k])], names=["row", "k", "n"])
+
+        counts = words.mapInArrow(gather, "row int, k int, n double").groupBy("row", "k").agg(F.round(F.sum("n"), 3).alias("n")).collect()
+        table = np.full((len(names), len(langs)), SMOOTHING)
+        for r in counts:  # at most the vocabulary times the labels
+            table[r["row"], r["k"]] += r["n"]
+        table /= table.sum(axis=0)
     return langs, table
 
 
-def predict(docs: DataFrame, names: list[str], langs: list[str], table: list[tuple[float, ...]]) -> DataFrame:
+def predict(docs: DataFrame, names: list[str], langs: list[str], table: np.ndarray) -> DataFrame:
     """docs with lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast((names, table, langs))
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def run(batches):
-        import numpy as np
         import regex
 
         names, table, langs = shared.value
-        model, split = Segmenter(names, table, len(langs)), regex.compile(WORD).findall
+        model, split = Segmenter(names, table), regex.compile(WORD).findall
         known: dict[str, int] = {}
-        rows = np.zeros((1024, max(1, len(langs))))
+        rows = np.zeros((0, len(langs)))
         for batch in batches:
             preds, scores = [], []
-            for text in batch.column("text"):
-                words = split((text.as_py() or "").lower())
-                if not words or not langs:
-                    preds.append("und")
-                    scores.append(0.0)
-                    continue
+            texts = batch.column("text")
+            for at in range(0, len(texts), GROUP):
+                words = [split((t.as_py() or "").lower()) if langs else [] for t in texts[at : at + GROUP]]
                 if len(known) > REMEMBERED:
-                    known.clear()
-                for w in set(words):
-                    if w not in known:
-                        if len(known) == len(rows):
-                            rows = np.concatenate([rows, np.zeros_like(rows)])
-                        rows[len(known)] = model.log(w)
-                        known[w] = len(known)
-                total = rows[np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0)
-                best = int(total.argmax())
-                preds.append(langs[best])
-                scores.append(float(1.0 / np.exp(total - total[best]).sum()))
+                    known, rows = {}, rows[:0]
+                fresh = sorted({w for own in words for w in own} - known.keys())
+                if fresh:
+                    rows = np.concatenate([rows, model.logs(fresh)])
+                    known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+                for own in words:
+                    if not own:
+                        preds.append("und")
+                        scores.append(0.0)
+                        continue
+                    total = rows[np.fromiter(map(known.__getitem__, own), dtype=np.int64, count=len(own))].sum(axis=0)
+                    best = int(total.argmax())
+                    preds.append(langs[best])
+                    scores.append(float(1.0 / np.exp(total - total[best]).sum()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     from pyspark.sql import types as T
