@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cadastra.llm import ann, bpe, langid, mixing, ngram_join, pii, substrings, suffixes
+from cadastra.llm import ann, bpe, langid, mixing, ngram_join, pii, pitman_yor, substrings, suffixes
 from cadastra.llm.fingerprints import fingerprint_pairs
 from cadastra.llm.tables import table
 
@@ -34,6 +34,10 @@ def op5_byte_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), tokens, public_tokenizers.PATTERN)
 
 
+def op6_pitman_yor_scores(spark, sf_dir):
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
 def op7_nearest_neighbours(spark, sf_dir):
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
