@@ -250,6 +250,7 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
     chosen = items.groupBy("context", "content").agg(F.count(F.lit(1)).cast("int").alias("copies"), F.min(F.struct("key", "first", "n")).alias("rep"))
     chosen = chosen.groupBy(F.col("rep.key").alias("rep_key")).agg(F.collect_list(F.struct("rep.first", "rep.n", "context", "content", "copies")).alias("reps"))
     chosen = written(chosen)
+    n_chunks = chosen.agg(F.sum(F.size("reps"))).first()[0] or 0
 
     def cut(batches):
         for b in batches:
@@ -285,7 +286,7 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
         if group:
             yield solve()
 
-    pieces = docs.join(small(chosen, 400), F.col("key") == F.col("rep_key")).select("text", "reps")
+    pieces = docs.join(small(chosen, 64, n_chunks, bound=64 << 20), F.col("key") == F.col("rep_key")).select("text", "reps")
     pieces = pieces.select("text", "reps").mapInArrow(cut, "context long, content long, copies int, chunk binary")
     pieces = pieces.repartition(parallelism(spark), "context").sortWithinPartitions("context")
     runs = written(pieces.mapInArrow(sort, "context long, content long, runs binary"))

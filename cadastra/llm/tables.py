@@ -32,10 +32,10 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
+def small(df: DataFrame, row_bytes: int, rows: int | None = None, bound: int = BROADCAST_BYTES) -> DataFrame:
     """A written table, with a broadcast hint if its counted rows fit the bound; without, the join shuffles."""
     rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df) if rows * row_bytes <= bound else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
