@@ -20,7 +20,9 @@ def query(sql: str | None):
     return add
 
 
-EVERY = Window.partitionBy(F.lit(0))
+def every():
+    """A window over all rows of a small aggregate."""
+    return Window.partitionBy(F.lit(0))
 
 
 @query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_returnflag, least(floor(l_quantity / 10), 4)::INT AS bucket, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_extendedprice END AS x FROM lineitem),
@@ -88,7 +90,7 @@ def profitability_index(spark, sf_dir):
     g = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.median("c_acctbal").alias("price"), F.log1p(F.count(F.lit(1))).alias("n"), F.avg(F.col("c_custkey") % 5).alias("note"))
     for c, out in (("price", "macro"), ("note", "a"), ("n", "b")):
         g = scoring.minmax(g, c, out)
-    y = scoring.clip(F.try_divide(12 * 0.005 * F.abs("price"), F.min(F.abs("price")).over(EVERY)), 2, 20)
+    y = scoring.clip(F.try_divide(12 * 0.005 * F.abs("price"), F.min(F.abs("price")).over(every())), 2, 20)
     index = 100 * (0.45 * y / 20 + 0.30 * F.col("macro") + 0.25 * (0.6 * F.col("a") + 0.4 * F.col("b")))
     return g.select("k", F.round(scoring.clip(index, 0, 100), 2).alias("profitability"))
 
@@ -105,8 +107,8 @@ SELECT c_custkey, round(w / mean, 6) AS weight FROM customer JOIN w USING (c_nat
 def adaptive_geo_weights(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = c.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
-    w = n.withColumn("w", scoring.clip(F.avg("n").over(EVERY) / F.col("n"), 0.1, 6.0))
-    w = w.withColumn("w", F.col("w") / (F.sum(F.col("w") * F.col("n")).over(EVERY) / F.sum("n").over(EVERY)))
+    w = n.withColumn("w", scoring.clip(F.avg("n").over(every()) / F.col("n"), 0.1, 6.0))
+    w = w.withColumn("w", F.col("w") / (F.sum(F.col("w") * F.col("n")).over(every()) / F.sum("n").over(every())))
     return c.join(lookup.dimension(w), "c_nationkey").select("c_custkey", F.round("w", 6).alias("weight"))
 
 
@@ -188,7 +190,7 @@ SELECT nation, count(*)::BIGINT AS n, round(avg((l_returnflag = 'R')::INT), 6)::
 def market_tension(spark, sf_dir):
     d = listings(spark, sf_dir).withColumn("days", F.datediff(F.lit("2001-08-01").cast("date"), "published"))
     g = d.groupBy("nation").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("l_returnflag") == "R").cast("int")).alias("rent"), F.avg("days").alias("days"))
-    liquid = F.col("n") / F.max("n").over(EVERY)
+    liquid = F.col("n") / F.max("n").over(every())
     tension = scoring.clip(0.40 * F.col("rent") + 0.35 * liquid + 0.25 * F.least(F.col("days") / 3000, F.lit(1.0)), 0.0, 1.0)
     return g.select("nation", "n", F.round("rent", 6).alias("rent_share"), F.round(liquid, 6).alias("liquidity"), F.round(tension, 4).alias("tension"))
 
