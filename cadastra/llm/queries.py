@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cadastra.llm import ann, bpe, langid, mixing, ngram_join, pii, pitman_yor, substrings, suffixes
+from cadastra.llm import ann, bpe, langid, mixing, ngram_join, oracles, pii, pitman_yor, substrings, suffixes
 from cadastra.llm.fingerprints import fingerprint_pairs
 from cadastra.llm.tables import table
 
@@ -60,4 +60,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mixing": mixing.oracle()}
+    return {"op1_ngram_jaccard_join": oracles.ngram_join(4, 85), "op3_substring_dedup": oracles.substring_dedup(35), "op4_source_mixing": mixing.oracle()}
