@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.llm.tables import BROADCAST_BYTES, parallelism, written
-from cadastra.llm.text import U, Rolling, chunks, hash_spans
+from cadastra.llm.text import U, Rolling, chunks, hash_spans, mix
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -175,23 +175,34 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
         again[1:] |= same
         again[:-1] |= same
         key, place = key[again], place[again]
-        order = np.lexsort((place, key))
+        to = mix(key.view(U))
+        order = np.argsort(to, kind="stable")
+        at = split(to[order], parts)
         key, place = key[order], place[order]
-        cut = np.flatnonzero(np.diff(key)) + 1
-        keys = key[np.concatenate([[0], cut])] if len(key) else key
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([x.tobytes() for x in np.split(place, cut)][: len(keys)], pa.binary())], names=["key", "places"])
+        out = [(q, key[at[q] : at[q + 1]].tobytes(), place[at[q] : at[q + 1]].tobytes()) for q in range(parts) if at[q] < at[q + 1]]
+        cols = list(zip(*out, strict=True)) if out else [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])], names=["q", "key", "place"])
 
     candidates = docs.join(sized(hits, "blocks"), F.col("key") == F.col("hit_key")).select("key", "text", "blocks")
     windows = candidates.mapInArrow(extend, "p int, h binary, key binary, place binary").repartition(parts, "p")
-    found = windows.mapInArrow(agree, "key long, places binary").groupBy("key").agg(F.collect_list("places").alias("places"))
+    found = windows.mapInArrow(agree, "q int, key binary, place binary").repartition(parts, "q")
 
     def unite(batches):
+        keys, places = [], []
         for b in batches:
-            spans = []
-            for x in b.column("places").to_pylist():
-                first, end = _runs(np.unique(np.frombuffer(b"".join(x), dtype=np.int32)), window)
-                spans.append(np.stack([first, end], axis=1).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(spans, pa.binary())], names=["span_key", "spans"])
+            keys += [np.frombuffer(x.as_py(), dtype=np.int64) for x in b.column("key")]
+            places += [np.frombuffer(x.as_py(), dtype=np.int32) for x in b.column("place")]
+        if not keys:
+            return
+        key, place = np.concatenate(keys), np.concatenate(places)
+        order = np.lexsort((place, key))
+        key, place = key[order], place[order]
+        cut = np.flatnonzero(np.diff(key)) + 1
+        spans = []
+        for x in np.split(place, cut):
+            first, end = _runs(x[np.concatenate([[True], x[1:] != x[:-1]])], window)
+            spans.append(np.stack([first, end], axis=1).astype(np.int32).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(key[np.concatenate([[0], cut])]), pa.array(spans, pa.binary())], names=["span_key", "spans"])
 
     return written(found.mapInArrow(unite, "span_key long, spans binary"))
 
