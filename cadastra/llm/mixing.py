@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastra.llm.tables import small, written
+from cadastra.llm.tables import fresh, small, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -96,12 +96,13 @@ def mix(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, rounds: int = ROUNDS
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, each as often as it is taken, with the columns of docs."""
-    taken = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    taken = written(taken.filter("_copies > 0").distinct())
-    sized = docs.withColumn("_words", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
+    id_, source, size, copies, words = fresh(docs, "_id", "_source", "_size", "_copies", "_words")
+    taken = mix(docs, **options).filter("copies > 0")
+    taken = written(taken.select(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("size").alias(size), F.col("copies").alias(copies)).distinct())
+    sized = docs.withColumn(words, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(words) == F.col(size))
     out = sized.join(small(taken, 64), same)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.withColumn(words, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def oracle(seed: str = SEED) -> str:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.llm.graph import components
-from cadastra.llm.tables import parallelism, small, written
+from cadastra.llm.tables import fresh, parallelism, small, written
 from cadastra.llm.text import U, chunks, hash_spans, mix, mix_int, shingles
 
 #: Rows of a block of the product, columns multiplied at once.
@@ -289,8 +289,9 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents with the smallest doc_id of their group, with the columns of docs; documents without doc_id stay."""
     found = written(join(docs, k, percent))
-    stay = written(found.filter("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct())
-    kept = docs.join(small(stay, 8), F.col("doc_id") == F.col("_stay")).drop("_stay")
+    (name,) = fresh(docs, "_stay")
+    stay = written(found.filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct())
+    kept = docs.join(small(stay, 8), F.col("doc_id") == F.col(name)).drop(name)
     ids = found.filter("doc_id = component_id").count()
     if stay.count() < ids:  # repeated doc_ids: one row of each
         kept = kept.dropDuplicates(["doc_id"])

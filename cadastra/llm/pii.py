@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadastra.llm.tables import small, written
+from cadastra.llm.tables import fresh, small, written
 
 KEY = b"cadastra surrogate key"
 MASCULINE = ("Mr", "Sir", "Herr", "Señor", "Sr", "Monsieur", "Господин", "Κύριος")
@@ -203,26 +203,27 @@ def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_entities", T.LongType()), T.StructField("entities", T.ArrayType(kinds))])
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
     rows = docs.select(*[F.col(f"`{c}`") for c in keep])
+    draws_, key_, text_ = fresh(rows, "_again", "_key", "_text")
     if again.isEmpty():
-        rows = rows.withColumn("_again", F.lit(None).cast("map<string,int>"))
+        rows = rows.withColumn(draws_, F.lit(None).cast("map<string,int>"))
     else:
 
         def occur(batches):
             for b in batches:
                 rows = {(k, kind, value) for k, t in zip(b.column("_key").to_pylist(), b.column("text"), strict=True) if t.is_valid for *_, kind, value in entities(t.as_py())}
                 cols = list(zip(*sorted(rows), strict=True)) if rows else [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["_text", "kind", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=[text_, "kind", "value"])
 
-        there = docs.select("text", F.xxhash64("text").alias("_key")).mapInArrow(occur, "_text long, kind string, value string")
-        there = there.join(small(again, 64), ["kind", "value"]).distinct().groupBy("_text")
-        there = written(there.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "kind", "value"), "attempt"))).alias("_again")))
-        rows = rows.withColumn("_key", F.xxhash64("text")).join(small(there, 128), F.col("_key") == F.col("_text"), "left").drop("_key", "_text")
+        there = docs.select("text", F.xxhash64("text").alias("_key")).mapInArrow(occur, f"{text_} long, kind string, value string")
+        there = there.join(small(again, 64), ["kind", "value"]).distinct().groupBy(text_)
+        there = written(there.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "kind", "value"), "attempt"))).alias(draws_)))
+        rows = rows.withColumn(key_, F.xxhash64("text")).join(small(there, 128), F.col(key_) == F.col(text_), "left").drop(key_, text_)
 
     def run(batches):
         known: dict = {}
         for b in batches:
             texts, found = [], []
-            for t, draws in zip(b.column("text"), b.column("_again").to_pylist(), strict=True):
+            for t, draws in zip(b.column("text"), b.column(draws_).to_pylist(), strict=True):
                 text, spans, out, at, grown = t.as_py(), [], [], 0, 0
                 draws = dict(draws or ())
                 for a, e, kind, value in entities(text) if text else ():

@@ -38,6 +38,16 @@ def small(df: DataFrame, row_bytes: int, rows: int | None = None, bound: int = B
     return F.broadcast(df) if rows * row_bytes <= bound else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df does not have (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,3 +31,19 @@ def test_stages(spark, sf, tmp_path):
 
 def test_run_gives_the_last_stage(spark, sf):
     assert "ids" in corpus_pipeline.run(spark, sf).columns
+
+
+def test_stages_keep_clashing_columns(spark, sf):
+    from pyspark.sql import functions as F
+
+    names = ["_id", "_words", "_stay", "_again", "_text", "_key", "size", "copies", "component_id", "key", "kind"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(30)
+    odd = spark.createDataFrame([(None, None, None, None, None), (10_000, "", None, None, None), (10_001, "call 201-5550 and Mr Foo Bar", "en", None, 3)] * 2, docs.schema)
+    docs = docs.union(odd).withColumns({n: F.lit(n) for n in names})
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.surrogates, corpus_pipeline.mixture):
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and all(r[n] == n for r in out.collect() for n in names)
+    assert set(docs.columns) < set(corpus_pipeline.tokens(spark, docs, sf).columns)
+    assert corpus_pipeline.language(spark, docs, sf).columns == docs.columns
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
