@@ -264,7 +264,7 @@ def nearest_centroid(spark, sf_dir):
     return out.select("c_custkey", "n_nationkey", F.round(km, 3).alias("km"))
 
 
-_KEYS = [(1, "blue", "cold"), (2, "red", "warm"), (3, "green", "mild"), (4, "lue", "odd"), (5, "steel", "metal"), (6, "a", "any")]
+_KEYS = [(1, "blue", "cold"), (2, "red", "warm"), (3, "green", "mild"), (4, "lue", "odd"), (5, "widget", "part"), (6, "a", "any")]
 
 
 @query("WITH h AS (SELECT p_partkey, cat, row_number() OVER (PARTITION BY p_partkey ORDER BY (p_name <> k)::INT, o) AS r FROM part LEFT JOIN (VALUES " + ", ".join(map(str, _KEYS)) + ") d(o, k, cat) ON starts_with(p_name, k) OR starts_with(k, p_name) OR contains(p_name, k)) SELECT p_partkey, coalesce(cat, 'Unknown') AS cat FROM h WHERE r = 1")

@@ -183,7 +183,7 @@ def first_occurrence_flag(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "role", "turn", (F.min("turn").over(w) == F.col("turn")).alias("first_of_role"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_type LIKE '%STEEL%' OR p_type LIKE '%COPPER%' THEN 'metal' ELSE 'other' END AS kind, coalesce(nullif(trim(p_name), ''), 'unnamed') AS name FROM part WHERE p_name IS NOT NULL")
+@query("SELECT p_partkey, CASE WHEN p_type LIKE '%SMALL%' OR p_type LIKE '%LARGE%' THEN 'sized' ELSE 'other' END AS kind, coalesce(nullif(trim(p_name), ''), 'unnamed') AS name FROM part WHERE p_name IS NOT NULL")
 def keyword_routing(spark, sf_dir):
     p = read(spark, sf_dir, "part").filter("p_name IS NOT NULL")
-    return p.select("p_partkey", F.when(F.col("p_type").rlike("STEEL|COPPER"), "metal").otherwise("other").alias("kind"), F.coalesce(F.nullif(F.trim("p_name"), F.lit("")), F.lit("unnamed")).alias("name"))
+    return p.select("p_partkey", F.when(F.col("p_type").rlike("SMALL|LARGE"), "sized").otherwise("other").alias("kind"), F.coalesce(F.nullif(F.trim("p_name"), F.lit("")), F.lit("unnamed")).alias("name"))
