@@ -33,8 +33,8 @@ from cadastra.llm.substrings import _runs, keyed, sized
 from cadastra.llm.tables import parallelism, small, written
 from cadastra.llm.text import U, Rolling, chunks, hash_spans, mix
 
-#: Bytes of a suffix array; a context with more different chunks is cut into window hashes instead.
-BLOCK = 4 << 20
+#: Bytes after which a suffix array is built, and the most of one (a context's chunks stay together): beyond, window hashes are counted instead.
+BLOCK, MOST = 1 << 20, 8 << 20
 #: A byte that UTF-8 never has: it ends each chunk.
 END = 0xFF
 TABLE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
@@ -202,7 +202,7 @@ def repeated_windows(texts: list[bytes], copies: list[int], window: int) -> list
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     rolling = Rolling()
     again = np.zeros(len(data), dtype=bool)
-    if len(data) > 2 * BLOCK:
+    if len(data) > MOST:
         h = rolling(TABLE[data], window)
         at = np.concatenate([np.arange(s, s + n - window + 1) for s, n in zip(starts, sizes, strict=True)])
         _, inverse, count = np.unique(h[at], return_inverse=True, return_counts=True)
@@ -278,7 +278,7 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
 
         for b in batches:
             for context, content, chunk, copies in zip(*(b.column(k).to_pylist() for k in ("context", "content", "chunk", "copies")), strict=True):
-                if group and context != last and size > BLOCK // 2:
+                if group and context != last and size > BLOCK:
                     yield solve()
                     group, size = [], 0
                 group.append((context, content, chunk, copies))

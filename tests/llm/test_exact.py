@@ -137,7 +137,7 @@ def test_suffix_dedup(spark, window):
 
 
 def test_suffix_dedup_beyond_a_block(monkeypatch, spark):
-    monkeypatch.setattr(suffixes, "BLOCK", 64)
+    monkeypatch.setattr(suffixes, "MOST", 128)
     rng = random.Random(0)
     rows = [(i, "".join(rng.choice("ab") for _ in range(60)) + "shared passage of some length" + str(i % 7)) for i in range(60)]
     assert cut_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 24) == removed_bytes(rows, 24)
