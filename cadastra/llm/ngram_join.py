@@ -4,14 +4,14 @@ Exact, for all pairs of different shingle sets, without forming the pairs of a g
 
 1. A document's set of k-word shingles is hashed to 64 bits each; equal sets form one
    class, the unit of all later steps.
-2. Blocking. Sets of size n and m with similarity t or more differ in at most
-   D = (n + m)(1 - t) / (1 + t) shingles. Sizes are cut into ranges whose ends differ
-   by the factor t, so partners lie in the same range or the next. For a range, the
-   hash space is cut into more than D parts; two partners then agree in one whole part
-   at least. Documents that agree in a part are joined to the first of them, and the
-   components of these links are the blocks: no similar pair lies across two.
-   Parts with fewer than two shingles say little; there are spare parts, so that only
-   documents with more such parts than spares need to show them.
+2. Columns. The incidence matrix is dealt by columns (shingles) in packed form. A column
+   with one class links nothing; a class of n shingles of which fewer than t * n occur in
+   another class cannot reach the similarity t and is discarded. Among the classes that
+   stay columns are counted again and ordered, rarest first. The smallest common column of
+   two similar classes is among the first n - ceil(t * n) + 1 columns of either, counting
+   those that are its own alone; only these are shown.
+   Classes that show a column are joined to the first of them, and the components of
+   these links are the blocks of rows: no similar pair lies across two.
 3. Product. A component's incidence matrix is multiplied by its transpose, columns in
    blocks: overlaps accumulate, and pairs whose overlap so far and the rest of the
    smaller row cannot reach the bound that their sizes require are discarded.
@@ -38,8 +38,6 @@ from cadastra.llm.text import U, chunks, hash_spans, mix, mix_int, shingles
 
 #: Rows of a block of the product, columns multiplied at once.
 BLOCK, COLUMNS = 512, 4096
-#: Spare parts of a range: a share of D, and some more.
-SPARE = (0.12, 2)
 
 
 def shingle_sets(texts: pa.Array, k: int):
@@ -64,56 +62,6 @@ def set_class(s: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-class Ranges:
-    """The ranges of sizes and their parts for similarity percent / 100."""
-
-    def __init__(self, percent: int, top: int):
-        lo = [1]
-        while lo[-1] <= top:
-            lo.append(lo[-1] * 100 // percent + 1)
-        lo.append(lo[-1] * 100 // percent + 1)
-        self.lo = np.array(lo)
-        hi = self.lo[1:] - 1
-        self.differ = 2 * hi * (100 - percent) // (100 + percent)
-        self.spare = np.ceil(self.differ * SPARE[0]).astype(np.int64) + SPARE[1]
-        self.parts = self.differ + 1 + self.spare
-        self.least = -(-self.lo[:-1] * percent // 100)  # a smaller set has no partner in the range
-        self.salt = mix(np.arange(1, len(hi) + 1, dtype=U) * U(0x9E3779B97F4A7C15))
-
-
-def part_hashes(sets: list[np.ndarray], ranges: Ranges) -> tuple[np.ndarray, np.ndarray]:
-    """(part hash, index of the set) for the parts that each set shows, in its own range and the next."""
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    own = np.searchsorted(ranges.lo, sizes, side="right") - 1
-    hashes, owners = [], []
-    for up in (0, 1):
-        r = own + up
-        rows = np.flatnonzero((sizes > 0) & (ranges.differ[np.maximum(r, 0)] > 0) & (sizes >= ranges.least[np.maximum(r, 0)]))
-        if not len(rows):
-            continue
-        h = np.concatenate([sets[i] for i in rows])
-        row = np.repeat(np.arange(len(rows)), sizes[rows])
-        r = r[rows]
-        parts = ranges.parts[r]
-        base = np.concatenate([[0], np.cumsum(parts)])
-        at = ((mix(h ^ ranges.salt[r][row]) >> U(32)) * parts[row].astype(U)) >> U(32)
-        key = base[row] + at.astype(np.int64)
-        order = np.argsort(key, kind="stable")
-        n = np.bincount(key, minlength=base[-1])
-        content = np.zeros(base[-1], dtype=U)
-        filled = np.flatnonzero(n)
-        content[filled] = np.add.reduceat(mix(h)[order], (np.cumsum(n) - n)[filled])
-        owner = np.repeat(np.arange(len(rows)), parts)
-        weak = n < 2
-        shy = np.bincount(owner, weights=weak, minlength=len(rows)) <= ranges.spare[r]
-        show = ~(weak & shy[owner])
-        number = (np.arange(base[-1]) - base[owner]).astype(U)
-        name = mix(content ^ mix(ranges.salt[r][owner] + number))
-        hashes.append(name[show])
-        owners.append(rows[owner[show]])
-    return (np.concatenate(hashes), np.concatenate(owners)) if hashes else (np.zeros(0, U), np.zeros(0, np.int64))
-
-
 def stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of the distinct (key, node) rows, a flag on each key's first row, and for each row that first row's node."""
     order = np.lexsort((node, key))
@@ -143,35 +91,153 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, cls long")
 
 
-def candidates(docs: DataFrame, k: int, percent: int, top: int) -> DataFrame:
-    """Edges (a, b) between classes that agree in a part; each part's classes form a star."""
-    names = ["edge", "x", "y"]
+PACKED = "to_part int, owners binary, sizes binary, counts binary, h binary, df binary"
+
+
+def _deal(part: np.ndarray, owner: np.ndarray, owners: np.ndarray, sizes: np.ndarray, h: np.ndarray, df: np.ndarray, parts: int):
+    """One packed row for each part: its entries by owner. owner: index into owners and sizes, ascending."""
+    order = np.argsort(part.astype(np.uint16 if parts < 65536 else np.int64), kind="stable")
+    part, owner, h, df = part[order], owner[order], h[order], df[order]
+    cuts = np.searchsorted(part, np.arange(parts + 1))
+    rows = []
+    for p in np.flatnonzero(np.diff(cuts)):
+        at = slice(cuts[p], cuts[p + 1])
+        o = owner[at]
+        first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+        counts = np.diff(np.append(first, len(o)))
+        rows.append((int(p), owners[o[first]].tobytes(), sizes[o[first]].astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes(), h[at].tobytes(), df[at].tobytes()))
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["to_part", "owners", "sizes", "counts", "h", "df"])
+
+
+def _gather(batches, kind):
+    """(owner, size, h, df) of all entries dealt to a task."""
+    kinds = {"owners": np.int64, "sizes": np.uint32, "counts": np.uint32, "h": kind, "df": np.uint32}
+    found = {n: [np.zeros(0, k)] for n, k in kinds.items()}
+    for b in batches:
+        for n, k in kinds.items():
+            found[n] += [np.frombuffer(x.as_py(), dtype=k) for x in b.column(n)]
+    owners, sizes, counts, h, df = (np.concatenate(found[n]) for n in kinds)
+    return np.repeat(owners, counts), np.repeat(sizes, counts).astype(np.int64), h, df
+
+
+def _repeated(owner, size, h):
+    """The distinct (owner, size, h) whose h occurs with two owners or more, by owner, and how many owners each h has."""
+    order = np.argsort(h, kind="stable")
+    sorted_h = h[order]
+    same = sorted_h[1:] == sorted_h[:-1]
+    often = np.zeros(len(h), dtype=bool)
+    often[1:] |= same
+    often[:-1] |= same
+    at = order[often]
+    owner, size, h = owner[at], size[at], h[at]
+    order = np.lexsort((owner, h))
+    owner, size, h = owner[order], size[order], h[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    owner, size, h = owner[new], size[new], h[new]
+    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    df = np.repeat(np.diff(np.append(start, len(h))), np.diff(np.append(start, len(h))))
+    keep = df > 1
+    owner, size, h, df = owner[keep], size[keep], h[keep], df[keep]
+    order = np.argsort(owner, kind="stable")
+    return owner[order], size[order], h[order], df[order]
+
+
+def _part_of(x: np.ndarray, parts: int) -> np.ndarray:
+    return (((x.view(U) >> U(32)) * U(parts)) >> U(32)).astype(np.int64)
+
+
+def _sets(b, k: int, wanted: list | None = None):
+    """(classes, sizes, owner of each entry, entries) of a batch's different sets, only those wanted if given."""
+    sets, seen = [], {}
+    for i, s in enumerate(shingle_sets(b.column("text"), k)):
+        if len(s) and (c := set_class(s)) not in seen and (wanted is None or wanted[i] == c):
+            seen[c] = len(sets)
+            sets.append(s)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    return np.array(list(seen), dtype=np.int64), sizes, np.repeat(np.arange(len(sets)), sizes), np.concatenate([np.zeros(0, U), *sets])
+
+
+def _dealt_columns(df: DataFrame, k: int, narrow: bool, wanted: bool) -> DataFrame:
+    """The incidence matrix dealt by columns; narrow: 32 bits of a column's hash beside its part, which only ever join too much."""
+    parts = parallelism(df.sparkSession)
 
     def show(batches):
-        ranges = Ranges(percent, top)
         for b in batches:
-            sets = [s for s in shingle_sets(b.column("text"), k) if len(s)]
-            cls = np.array([set_class(s) for s in sets], dtype=np.int64)
-            part, owner = part_hashes(sets, ranges)
-            part, node = part.view(np.int64), cls[owner] if len(owner) else np.zeros(0, np.int64)
-            order, first, head = stars(part, node)
-            yield _rows(names, np.zeros(int(first.sum()), bool), part[order][first], node[order][first])
-            edges = np.unique(np.stack([node[order][~first], head[~first]], axis=1), axis=0)
-            yield _rows(names, np.ones(len(edges), bool), edges[:, 0].copy(), edges[:, 1].copy())
+            cls, sizes, owner, h = _sets(b, k, b.column("cls").to_pylist() if wanted else None)
+            if len(h):
+                yield _deal(_part_of(h, parts), owner, cls, sizes, h.astype(np.uint32) if narrow else h, np.zeros(len(h), np.uint8), parts)
+
+    columns = ["text", "cls"] if wanted else ["text"]
+    return df.select(*columns).mapInArrow(show, PACKED).repartition(parts, "to_part")
+
+
+def repeated_counts(docs: DataFrame, k: int) -> DataFrame:
+    """(cls, repeated): how many of a class's shingles occur in other classes too (a few more at worst)."""
+    parts = parallelism(docs.sparkSession)
+
+    def count(batches):
+        owner, size, h, _ = _gather(_no_df(batches), np.uint32)
+        owner, size, h, _ = _repeated(owner, size, h)
+        cls, n = np.unique(owner, return_counts=True)
+        if len(cls):
+            yield _deal(_part_of(mix(cls.view(U)).view(np.int64), parts), np.arange(len(cls)), cls, n, np.zeros(len(cls), np.uint8), np.zeros(len(cls), np.uint8), parts)
+
+    def total(batches):
+        cls, n = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for b in batches:
+            cls += [np.frombuffer(x.as_py(), dtype=np.int64) for x in b.column("owners")]
+            n += [np.frombuffer(x.as_py(), dtype=np.uint32) for x in b.column("sizes")]
+        own, at = np.unique(np.concatenate(cls), return_inverse=True)
+        sums = np.zeros(len(own), dtype=np.int64)
+        np.add.at(sums, at, np.concatenate(n).astype(np.int64))
+        yield _rows(["cls", "repeated"], own, sums)
+
+    counted = _dealt_columns(docs, k, True, False).mapInArrow(count, PACKED)
+    return counted.repartition(parts, "to_part").mapInArrow(total, "cls long, repeated long")
+
+
+def _no_df(batches):
+    """Batches whose df column stands empty for their entries."""
+    for b in batches:
+        empty = pa.array([b""] * len(b), pa.binary())
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("owners", "sizes", "counts", "h")), empty], names=["owners", "sizes", "counts", "h", "df"])
+
+
+def candidates(kept: DataFrame, k: int, percent: int) -> DataFrame:
+    """Edges (a, b) between classes that show a column; each column's classes form a star. kept: (text, cls)."""
+    parts = parallelism(kept.sparkSession)
+
+    def order(batches):
+        owner, size, h, df = _repeated(*_gather(_no_df(batches), U)[:3])
+        if len(h):
+            cls, first, at = np.unique(owner, return_index=True, return_inverse=True)
+            yield _deal(_part_of(mix(owner.view(U)).view(np.int64), parts), at, cls, size[first], h, df.astype(np.uint32), parts)
+
+    def show(batches):
+        owner, size, h, df = _gather(batches, U)
+        at = np.lexsort((h, df, owner))
+        owner, size, h = owner[at], size[at], h[at]
+        start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(h) else np.zeros(0, np.int64)
+        n = np.diff(np.append(start, len(h)))
+        length = size[start] - -(-percent * size[start] // 100) + 1  # columns to show, its own alone included
+        take = length - (size[start] - n)
+        keep = np.arange(len(h)) - np.repeat(start, n) < np.repeat(take, n)
+        yield _rows(["x", "y"], h[keep].view(np.int64), owner[keep])
 
     def meet(batches):
-        found = [[b.column(c).to_numpy(zero_copy_only=False) for c in names] for b in batches]
+        found = [(b.column("x").to_numpy(), b.column("y").to_numpy()) for b in batches]
         if not found:
             return
-        edge, x, y = (np.concatenate(c) for c in zip(*found, strict=True))
-        part, node = x[~edge], y[~edge]
-        order, first, head = stars(part, node)
-        a, b = np.concatenate([x[edge], node[order][~first]]), np.concatenate([y[edge], head[~first]])
-        pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+        rows, first, head = stars(x, y)
+        pairs = np.unique(np.stack([y[rows][~first], head[~first]], axis=1), axis=0)
         yield _rows(["a", "b"], pairs[:, 0].copy(), pairs[:, 1].copy())
 
-    shown = docs.select("text").mapInArrow(show, "edge boolean, x long, y long")
-    return shown.repartition(parallelism(docs.sparkSession), "x").mapInArrow(meet, "a long, b long").distinct()
+    ordered = _dealt_columns(kept, k, False, True).mapInArrow(order, PACKED)
+    shown = ordered.repartition(parts, "to_part").mapInArrow(show, "x long, y long")
+    return shown.repartition(parts, "x").mapInArrow(meet, "a long, b long").distinct()
 
 
 def product(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> np.ndarray:
@@ -255,11 +321,14 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
     rows = written(classes(docs, k))
-    top = rows.agg(F.max("n_shingles")).first()[0] or 1
-    near = components(candidates(docs, k, percent, top)).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
+    reps = rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
+    able = repeated_counts(docs, k).join(reps, "cls").filter(F.col("repeated") * 100 >= F.col("n") * percent)
+    able = written(able.select("cls", "rep"))
+    kept = docs.join(small(able, 24), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "cls")
+    near = components(candidates(kept, k, percent)).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
     blocks = near.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     near = near.join(blocks, "comp").withColumn("blk", F.pmod(F.xxhash64("cls", F.lit("row")), F.col("blocks")).cast("int"))
-    shown = written(rows.join(near, "cls").groupBy("cls", "comp", "blocks", "blk").agg(F.min("doc_id").alias("rep")))
+    shown = written(able.join(near, "cls"))
 
     def sets(batches):
         keep = ["cls", "comp", "blocks", "blk"]
