@@ -30,9 +30,9 @@ ROUNDS = 3
 #: Added to each piece's expected count, and the probability of a letter that no piece covers.
 SMOOTHING, UNKNOWN = 0.05, 1e-7
 #: Longest piece in letters, longest part of a word that is scored at once, words a task remembers.
-PIECE, PART, REMEMBERED = 16, 32, 300_000
+PIECE, PART, REMEMBERED = 16, 32, 150_000
 #: Texts whose new words are scored together.
-GROUP = 500
+GROUP = 250
 WORD = r"\p{L}[\p{L}\p{M}]*"
 MARK = "▁"
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from cadastra.llm.graph import components
 from cadastra.llm.tables import fresh, parallelism, small, written
-from cadastra.llm.text import U, chunks, hash_spans, mix, mix_int, shingles
+from cadastra.llm.text import U, chunks, hash_spans, mix, mix_int, shingles, slices
 
 #: Rows of a block of the product, columns multiplied at once.
 BLOCK, COLUMNS = 512, 4096
@@ -164,7 +164,7 @@ def _dealt_columns(df: DataFrame, k: int, narrow: bool, wanted: bool) -> DataFra
     parts = parallelism(df.sparkSession)
 
     def show(batches):
-        for b in batches:
+        for b in slices(batches):
             cls, sizes, owner, h = _sets(b, k, b.column("cls").to_pylist() if wanted else None)
             if len(h):
                 yield _deal(_part_of(h, parts), owner, cls, sizes, h.astype(np.uint32) if narrow else h, np.zeros(len(h), np.uint8), parts)

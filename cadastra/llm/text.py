@@ -35,6 +35,13 @@ def mix_int(x: int) -> int:
     return int(mix(np.array([x & (2**64 - 1)], dtype=U))[0])
 
 
+def slices(batches, rows: int = 1500):
+    """Arrow batches cut to so many rows, for steps that hold a batch's words or shingles at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 class Chunk:
     """Texts of consecutive rows: data (uint8), offs (len + 1), first row's index in the batch."""
 
