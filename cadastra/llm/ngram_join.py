@@ -82,7 +82,7 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, cls (null for an empty set)."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             sets = list(shingle_sets(b.column("text"), k))
             cls = [set_class(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64())], names=["doc_id", "n_shingles", "cls"])
@@ -178,8 +178,8 @@ def repeated_counts(docs: DataFrame, k: int) -> DataFrame:
     parts = parallelism(docs.sparkSession)
 
     def count(batches):
-        owner, size, h, _ = _gather(_no_df(batches), np.uint32)
-        owner, size, h, _ = _repeated(owner, size, h)
+        owner, _, h, _ = _gather(_no_df(batches), np.uint32)
+        owner, _, _, _ = _repeated(owner, np.zeros(len(owner), np.uint8), h)
         cls, n = np.unique(owner, return_counts=True)
         if len(cls):
             yield _deal(_part_of(mix(cls.view(U)).view(np.int64), parts), np.arange(len(cls)), cls, n, np.zeros(len(cls), np.uint8), np.zeros(len(cls), np.uint8), parts)
