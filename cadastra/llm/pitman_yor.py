@@ -1,43 +1,44 @@
 """LM scoring by a hierarchical Pitman-Yor model.
 
-Three levels of restaurants, smoothed upwards:
-- One restaurant for each context (the word before, if it is one of the VOCABULARY most
-  frequent training tokens; all rarer words share one context; the start is one). Its
-  dishes are the frequent tokens and one dish for all rarer words.
+Two levels of restaurants, smoothed upwards, over all words of the training texts:
+- One restaurant for each context (the word before; the start is one). Its dishes are all
+  words that follow it.
 - Their shared parent: its customers are the tables of the context restaurants; its base
-  is uniform over the dishes.
-- The rare dish is served from a restaurant of all rarer words, whose base is uniform
-  over them and one unseen word.
+  is uniform over all words and one unseen word.
 Seating is sampled by Gibbs sweeps: in a sweep each dish's customers stand up and sit down
 again in turn, given the tables of all others and the parent's probabilities; the parent
-does the same with the tables it then has. A sweep treats the restaurants in parallel, and
+does the same with the tables it then has. A sweep treats the dishes in parallel, and
 beyond 64 customers of a dish they sit down in blocks of a twentieth. Discounts come from
 the numbers of counts of one and two; the strengths are 1. After BURN sweeps, predictive
 probabilities are averaged over SAMPLES sweeps and score the texts.
 
-All training documents are counted and all documents scored whole. Counts of words reach
-the documents by blocks of documents: the block's distinct words are joined with the
-counts and come back to it.
+All training documents are counted and all documents scored whole. A pair of words that
+occurs once always has one table, so sweeps hold only the pairs that repeat; the others
+are what is left of the words' counts. Counts of words and pairs reach the documents by
+blocks of documents: the block's distinct words and pairs are joined with the tables and
+come back to it, but for those that occur nowhere else.
 
 Edge cases: a null text counts as empty and has one token, its end; a null doc_id hashes as
 the empty string; without training documents all tokens are unseen; repeated rows are
 documents of their own; an empty table gives an empty result. Only doc_id and text are read.
+Words and pairs are known by 63-bit hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastra.llm.langid import held_out
 from cadastra.llm.tables import parallelism, written
-from cadastra.llm.text import U, chunks, hash_spans, mix_int
+from cadastra.llm.text import U, chunks, hash_spans, mix, mix_int
 
-VOCABULARY, BURN, SAMPLES, STRENGTH = 511, 4, 4, 1.0
-#: The end of a text as a token.
-END = np.int64(mix_int(0xE0F) >> 1)
+BURN, SAMPLES, STRENGTH = 4, 4, 1.0
+#: The end of a text as a token, and its start as a context.
+END, START = np.int64(mix_int(0xE0F) >> 1), np.int64(mix_int(0x57A) >> 1)
 
 
 def token_hashes(texts: pa.Array):
@@ -66,38 +67,30 @@ def count_tokens(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def symbols(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """1 .. len(frequent) for the frequent tokens (sorted hashes), 0 for all others."""
-    if not len(frequent):
-        return np.zeros(len(tokens), dtype=np.int64)
-    at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-    return np.where(frequent[at] == tokens, at + 1, 0)
+def before(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The context of each token."""
+    u = np.empty_like(tokens)
+    u[1:] = tokens[:-1]
+    u[starts[:-1]] = START
+    return u
 
 
-def contexts(symbol: np.ndarray, starts: np.ndarray, start_symbol: int) -> np.ndarray:
-    """The symbol before each token."""
-    before = np.empty_like(symbol)
-    before[1:] = symbol[:-1]
-    before[starts[:-1]] = start_symbol
-    return before
+def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return (mix(mix(u.astype(U)) + w.astype(U)) >> U(1)).astype(np.int64)
 
 
-def count_pairs(train: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(u, dishes, customers): each context's dishes with their counts; at most (VOCABULARY + 2) x (VOCABULARY + 1) in all."""
-    n = len(frequent) + 1
+def repeated_pairs(train: DataFrame) -> DataFrame:
+    """(u, w, c): all pairs of a context and a word that occur twice or more in the training texts."""
 
     def run(batches):
-        total = np.zeros((n + 1) * n, dtype=np.int64)
         for b in batches:
-            for _, tokens, starts in token_hashes(b.column("text")):
-                s = symbols(tokens, frequent)
-                total += np.bincount(contexts(s, starts, n) * n + s, minlength=len(total))
-        at = np.flatnonzero(total)
-        yield _batch(u=(at // n).astype(np.int32), w=(at % n).astype(np.int32), c=total[at])
+            for _, w, starts in token_hashes(b.column("text")):
+                u = before(w, starts)
+                _, at, n = np.unique(pair_hash(u, w), return_index=True, return_counts=True)
+                yield _batch(u=u[at], w=w[at], c=n.astype(np.int64))
 
-    pairs = train.select("text").mapInArrow(run, "u int, w int, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
-    rows = pairs.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("w", "c"))).alias("d"))
-    return rows.select("u", F.col("d.w").alias("dishes"), F.col("d.c").alias("customers"))
+    pairs = train.select("text").mapInArrow(run, "u long, w long, c long")
+    return pairs.groupBy("u", "w").agg(F.sum("c").alias("c")).filter("c > 1")
 
 
 def discount(counts: np.ndarray, weights: np.ndarray | None = None) -> float:
@@ -119,18 +112,43 @@ def seat(customers: np.ndarray, base: np.ndarray, others: np.ndarray, d: float,
         t = tables[live]
         new = (STRENGTH + d * (others[live] + t)) * base[live]
         p = new / (new + done - d * t)
-        tables[live] += (rng.random(len(live)) < p) if block == 1 else rng.binomial(size.astype(np.int64), p)
+        if isinstance(rng, Dice):
+            tables[live] += (rng.random(live) < p) if block == 1 else rng.binomial(live, size, p)
+        else:
+            tables[live] += (rng.random(len(live)) < p) if block == 1 else rng.binomial(size.astype(np.int64), p)
         done += block
         live = live[c[live] > done]
     return tables
 
 
+class Dice:
+    """Random numbers by hashes of keys, for `seat`: the same for any partitioning."""
+
+    def __init__(self, keys: np.ndarray, *seed: int):
+        self.keys, self.turn = mix(keys.astype(U) ^ U(mix_int(sum(x << (16 * i) for i, x in enumerate(seed))))), np.zeros(len(keys), dtype=U)
+
+    def random(self, at: np.ndarray) -> np.ndarray:
+        self.turn[at] += U(1)
+        h = mix(self.keys[at] + mix(self.turn[at]))
+        return ((h >> U(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+    def binomial(self, at: np.ndarray, size: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Successes in `size` trials, by the geometric gaps between them."""
+        found, live, left = np.zeros(len(at)), np.arange(len(at)), size.astype(np.float64)
+        miss = np.log1p(-p)
+        while len(live):
+            gap = np.floor(np.log(self.random(at[live])) / miss[live]) + 1
+            live, left = live[gap <= left], (left - gap)[gap <= left]
+            found[live] += 1
+        return found
+
+
 def predictive(c: np.ndarray, t: np.ndarray, total_c: float, total_t: float, d: float, base: np.ndarray) -> np.ndarray:
     return ((c - d * t) + (STRENGTH + d * total_t) * base) / (STRENGTH + total_c)
 
 
 def context_model(pairs: DataFrame, n: int, seed: int = 11) -> np.ndarray:
-    """Averaged probabilities of the n dishes in each of the n + 1 contexts; one Spark job a sweep."""
+    """Averaged probabilities of n dishes in each of n + 1 contexts, as one table: for small n."""
     rows = pairs.count()
     if not rows:
         return np.full((n + 1, n), 1.0 / n)
@@ -152,7 +170,7 @@ def context_model(pairs: DataFrame, n: int, seed: int = 11) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([b.column("u"), b.column("dishes"), b.column("customers"), t], names=["u", "dishes", "customers", "tables"])
 
         state = written(state.mapInArrow(sit, "u int, dishes array<int>, customers array<long>, tables array<double>"))
-        seated = state.collect()  # bounded by the vocabulary, whatever the corpus
+        seated = state.collect()
         guests = np.zeros(n)
         for r in seated:
             guests[r["dishes"]] += r["tables"]
@@ -191,6 +209,86 @@ def rare_model(counts: np.ndarray, words: np.ndarray, seed: int = 13) -> np.ndar
     return average
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a written table that nothing reads any more, and lets Spark drop shuffles out of use."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(conf).delete(at, True)
+    jvm.System.gc()
+
+
+def seated(df: DataFrame, keys: list[str], c: str, t: str, base, others, d: float, *seed: int) -> DataFrame:
+    """df with column t of tables drawn anew for its c customers; base and others: columns of the parent's probability and the other dishes' tables."""
+    df = df.withColumns({"_base": base, "_others": others})
+    names = [n for n in df.columns if n not in (t, "_base", "_others")]
+
+    def run(batches):
+        for b in batches:
+            get = lambda n: b.column(n).to_numpy(zero_copy_only=False)
+            ids = get(keys[0]) if len(keys) == 1 else pair_hash(*(get(k) for k in keys))
+            new = seat(get(c), get("_base"), get("_others").astype(np.float64), d, Dice(ids, *seed))
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(new.astype(np.int64))], names=[*names, t])
+
+    shape = ", ".join(f"{n} {k}" for n, k in df.select(*names).dtypes)
+    return df.mapInArrow(run, f"{shape}, {t} long")
+
+
+def sampled(counts: DataFrame, pairs: DataFrame, total: int, distinct: int, seed: int = 11):
+    """The model of written (w, c) and (u, w, c): words (w, c, p, t), pairs (u, w, c, t), its discount, and p of words seen once and of unseen ones.
+
+    p and t of words are the parent's probabilities and the tables as a context in each sample; t of pairs is the samples' mean.
+    """
+    spark = counts.sparkSession
+    base = 1.0 / (distinct + 1)
+    met, twice = (x or 0 for x in pairs.agg(F.sum("c"), F.sum((F.col("c") == 2).cast("long"))).first())
+    d = discount(np.array([1.0, 2.0]), np.array([float(total - met), float(twice)]))
+    ends = counts.filter(F.col("w") == int(END)).first()
+    begin = spark.createDataFrame([(int(START), ends["c"])] if ends else [], "w long, c long")
+    words = counts.unionByName(begin)
+    sums = lambda s, k: s.groupBy(F.col(k).alias("w")).agg(F.sum("c").alias(f"c_{k}"), F.sum("t").alias(f"t_{k}"))
+    seen = lambda k: F.coalesce(F.col(k), F.lit(0))
+
+    def counted(words, pairs):
+        """words with g, the guests of the parent, and t, the tables of the context, as pairs seat them."""
+        both = words.join(sums(pairs, "w"), "w", "left").join(sums(pairs, "u"), "w", "left")
+        g = F.when(F.col("w") == int(START), 0).otherwise(F.col("c") - seen("c_w") + seen("t_w"))
+        t = F.when(F.col("w") == int(END), 0).otherwise(F.col("c") - seen("c_u") + seen("t_u"))
+        return both.select(*words.columns, g.alias("g"), t.alias("t"))
+
+    state = pairs.select("u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("t_sum"))
+    own, old = written(counted(words, state).select("w", "c", "g", "t", F.lit(1).cast("long").alias("t0"), F.lit(base).alias("p"))), pairs
+    tops, samples, ones, unseen = float(distinct), [], [], []
+    for sweep in range(BURN + SAMPLES):
+        met = state.join(own.select("w", "p"), "w").join(own.select(F.col("w").alias("u"), F.col("t").alias("t_all")), "u")
+        state = seated(met, ["u", "w"], "c", "t", F.col("p"), F.col("t_all") - F.col("t"), d, seed, sweep, 1)
+        add = F.col("t_sum") + (F.col("t") if sweep >= BURN else F.lit(0))
+        state = written(state.select("u", "w", "c", "t", add.alias("t_sum")))
+        guests = written(counted(own.select("w", "c", "t0"), state))
+        n1, n2, n = (x or 0 for x in guests.agg(F.sum((F.col("g") == 1).cast("long")), F.sum((F.col("g") == 2).cast("long")), F.sum("g")).first())
+        d0 = discount(np.array([1.0, 2.0]), np.array([float(n1), float(n2)]))
+        top = written(seated(guests, ["w"], "g", "t0", F.lit(base), F.lit(tops) - F.col("t0"), d0, seed, sweep, 2))
+        tops = float(top.agg(F.sum("t0")).first()[0] or 0)
+        share = (STRENGTH + d0 * tops) * base
+        p = (F.col("g") - d0 * F.col("t0") + share) / (STRENGTH + n)
+        for table in (old, own, guests):
+            if all(table is not x for x in samples):
+                discard(table)
+        old, own = state, top.withColumn("p", p)
+        if sweep >= BURN:
+            samples.append(own)
+            ones.append((1 - d0 + share) / (STRENGTH + n))
+            unseen.append(share / (STRENGTH + n))
+    out = samples[0].select("w", "c", F.array(F.col("p").cast("float")).alias("p"), F.array(F.col("t").cast("float")).alias("t"))
+    for s in samples[1:]:
+        one = s.select("w", F.array(F.col("p").cast("float")).alias("p2"), F.array(F.col("t").cast("float")).alias("t2"))
+        out = out.join(one, "w").select("w", "c", F.concat("p", "p2").alias("p"), F.concat("t", "t2").alias("t"))
+    out = written(out)
+    for s in samples:
+        discard(s)
+    return out, state.select("u", "w", "c", (F.col("t_sum") / SAMPLES).alias("t")), d, np.array(ones), np.array(unseen)
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document."""
     spark = docs.sparkSession
@@ -198,63 +296,88 @@ def score(docs: DataFrame) -> DataFrame:
     train = docs.filter(~F.col("held_out"))
     counts = written(count_tokens(train))
     total, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
-    top = [(r["w"], r["c"]) for r in counts.orderBy(F.desc("c"), "w").limit(VOCABULARY).collect()]
-    frequent = np.sort(np.array([w for w, _ in top], dtype=np.int64))
-    often = dict(top)
-    frequent_counts = np.array([often[w] for w in frequent.tolist()], dtype=np.int64)
-    n = len(frequent) + 1
-    by_context = context_model(written(count_pairs(train, frequent)), n)
-    # distinct counts of rare words: no more than the square root of twice the tokens
-    last = counts.filter(~F.col("w").isin(frequent.tolist())).groupBy("c").count().orderBy("c").collect()
-    rare_counts = np.array([r["c"] for r in last], dtype=np.float64)
-    rare = rare_model(rare_counts, np.array([r["count"] for r in last], dtype=np.float64))
-    model = spark.sparkContext.broadcast((frequent, frequent_counts, np.log10(by_context), rare_counts, np.log10(rare)))
+    words, pairs, d, ones, unseen = sampled(counts, written(repeated_pairs(train)), total, distinct)
 
     size = parallelism(spark)
     blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(size)).cast("int")).repartition(size, "block")
 
     def ask(batches):
-        frequent = model.value[0]
         for b in batches:
-            block = b.column("block").to_numpy()
-            found = []
-            for first, tokens, starts in token_hashes(b.column("text")):
-                rare = symbols(tokens, frequent) == 0
-                own = np.repeat(block[first : first + len(starts) - 1], np.diff(starts))
-                found.append((own[rare], tokens[rare]))
-            if found:
-                own, w = (np.concatenate(x) for x in zip(*found, strict=True))
-                order = np.lexsort((w, own))
-                own, w = own[order], w[order]
-                new = np.ones(len(w), dtype=bool)
-                new[1:] = (w[1:] != w[:-1]) | (own[1:] != own[:-1])
-                yield _batch(block=own[new].astype(np.int32), w=w[new])
-
-    asked = blocks.mapInArrow(ask, "block int, w long")
-    told = asked.join(counts, "w").select("block", "w", "c")
+            block, held = b.column("block").to_numpy(), b.column("held_out").to_numpy(zero_copy_only=False)
+            for first, w, starts in token_hashes(b.column("text")):
+                row = first + np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+                own, far = block[row], held[row]
+                pair = pair_hash(before(w, starts), w)
+                each = np.unique(own)
+                k = np.concatenate([w, pair, np.full(len(each), START)])
+                own = np.concatenate([own, own, each])
+                far = np.concatenate([far, far, np.ones(len(each), dtype=bool)])
+                n = np.concatenate([np.zeros(len(w), dtype=np.int32), (~far[: len(w)]).astype(np.int32), np.zeros(len(each), dtype=np.int32)])
+                order = np.lexsort((k, own)) if len(each) > 1 else np.argsort(k)
+                k, own, far, n = k[order], own[order], far[order], n[order]
+                new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (own[1:] != own[:-1])]))
+                yield _batch(k=k[new], block=own[new].astype(np.int32), n=np.add.reduceat(n, new).astype(np.int32), far=np.logical_or.reduceat(far, new))
+
+    def keyed_pairs(batches):
+        for b in batches:
+            yield _batch(k=pair_hash(b.column("u").to_numpy(), b.column("w").to_numpy()), c=b.column("c"), m=b.column("t"))
+
+    none = F.lit(None).cast("array<float>")
+    table = pairs.mapInArrow(keyed_pairs, "k long, c long, m double").select("k", "c", "m", none.alias("p"), none.alias("t"))
+    table = table.unionByName(words.select(F.col("w").alias("k"), "c", F.lit(None).cast("double").alias("m"), "p", "t"))
+    asked = blocks.mapInArrow(ask, "k long, block int, n int, far boolean")
+    # a pair that is in no table occurs once or never; a training text knows that of its own
+    told = asked.join(table, "k", "left").withColumn("c", F.coalesce("c", F.sum("n").over(Window.partitionBy("k"))))
+    told = told.filter("c > 1 or (c = 1 and far)").select("block", "k", "c", "m", "p", "t")
     base_low = total + 0.5 * (distinct + 1)
 
     def judge(texts: pa.Table, known: pa.Table) -> pa.Table:
-        frequent, frequent_counts, by_context, rare_counts, rare = model.value
-        w, first_of = np.unique(known.column("w").to_numpy(), return_index=True)
-        c = known.column("c").to_numpy()[first_of]
+        def lookup(rows: pa.Table):
+            k, at = np.unique(rows.column("k").to_numpy(), return_index=True)
+            return k, rows.take(pa.array(at))
+
+        def find(k, keys):
+            if not len(k):
+                return np.full(len(keys), -1)
+            at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
+            return np.where(k[at] == keys, at, -1)
+
+        def matrix(column):
+            return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, SAMPLES).astype(np.float64)
+
+        is_word = known.column("p").is_valid()
+        words_k, words = lookup(known.filter(is_word))
+        pairs_k, pairs = lookup(known.filter(pc.invert(is_word)))
+        # two rows more: words seen once, in a training text of this block, and unseen ones
+        c_of = np.concatenate([words.column("c").to_numpy(), [1, 0]])
+        p_of = np.concatenate([matrix(words.column("p")), [ones], [unseen]])
+        t_of = np.concatenate([matrix(words.column("t")), np.ones((1, SAMPLES)), np.zeros((1, SAMPLES))])
+        c_pair = np.concatenate([pairs.column("c").to_numpy(), [1, 0]])
+        m_pair = np.concatenate([pc.fill_null(pairs.column("m"), 1.0).to_numpy(), [1.0, 0.0]])
+        held = texts.column("held_out").to_numpy()
         n_tokens, n_known, base, full = [], [], [], []
-        for _, tokens, starts in token_hashes(texts.column("text")):
-            s = symbols(tokens, frequent)
-            count = np.zeros(len(tokens), dtype=np.int64)
-            if len(w):
-                at = np.minimum(np.searchsorted(w, tokens), len(w) - 1)
-                count = np.where(w[at] == tokens, c[at], 0)
-            if len(frequent):
-                count = np.where(s > 0, frequent_counts[np.maximum(s, 1) - 1], count)
-            p = by_context[contexts(s, starts, len(frequent) + 1), s]
-            place = np.where(count > 0, np.searchsorted(rare_counts, count), len(rare_counts))
-            p = np.where(s == 0, p + rare[np.minimum(place, len(rare) - 1)], p)
-            begin = starts[:-1]
-            n_tokens.append(np.diff(starts))
-            n_known.append(np.add.reduceat((count > 0).astype(np.int64), begin))
-            base.append(np.add.reduceat(np.log10((count + 0.5) / base_low), begin))
-            full.append(np.add.reduceat(p, begin))
+        done = 0
+        for chunk in texts.column("text").chunks:
+            for first, tokens, starts in token_hashes(chunk):
+                row = done + first + np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+                other = np.where(held[row], -1, -2)  # the last row: unseen; the one before: once
+                u = before(tokens, starts)
+                at, pair = find(words_k, tokens), find(pairs_k, pair_hash(u, tokens))
+                at, pair = np.where(at < 0, other, at), np.where(pair < 0, other, pair)
+                context = np.empty_like(at)
+                context[1:] = at[:-1]
+                context[starts[:-1]] = find(words_k, np.array([START]))[0]
+                count = c_of[at]
+                up = np.zeros(len(at))
+                for s in range(SAMPLES):
+                    up += (STRENGTH + d * t_of[context, s]) * p_of[at, s] / SAMPLES
+                p = np.log10((c_pair[pair] - d * m_pair[pair] + up) / (STRENGTH + c_of[context]))
+                begin = starts[:-1]
+                n_tokens.append(np.diff(starts))
+                n_known.append(np.add.reduceat((count > 0).astype(np.int64), begin))
+                base.append(np.add.reduceat(np.log10((count + 0.5) / base_low), begin))
+                full.append(np.add.reduceat(p, begin))
+            done += len(chunk)
         cat = lambda x, kind: pa.array(np.concatenate(x).astype(kind) if x else np.zeros(0, kind))
         rows = len(texts)
         return pa.table(
