@@ -12,7 +12,9 @@ document or another, without sorting the corpus as a whole:
 3. There a suffix array over the partition's chunks is built in two stages: suffixes
    not greater than their successors by their first byte are sorted directly; the
    others are induced by scanning the buckets in order. Adjacent common prefixes of
-   `window` bytes are repeats, and so are all windows of a chunk with copies.
+   `window` bytes are repeats, and so are all windows of a chunk with copies. Contexts
+   whose chunks exceed MOST bytes go by another way: the hashes of their windows are
+   counted by a shuffle on the hash, so that they spread over all tasks.
 4. The repeats return to the documents as spans.
 
 Edge cases: a null text counts as empty; texts shorter than a window stay whole;
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +36,7 @@ from cadastra.llm.substrings import _runs, keyed, sized
 from cadastra.llm.tables import parallelism, small, written
 from cadastra.llm.text import U, Rolling, chunks, hash_spans, mix
 
-#: Bytes after which a suffix array is built, and the most of one (a context's chunks stay together): beyond, window hashes are counted instead.
+#: Bytes after which a suffix array is built, and the most of a context's chunks, which stay together: beyond, window hashes are counted by a shuffle instead.
 BLOCK, MOST = 1 << 20, 8 << 20
 #: A byte that UTF-8 never has: it ends each chunk.
 END = 0xFF
@@ -228,6 +231,45 @@ def repeated_windows(texts: list[bytes], copies: list[int], window: int) -> list
     return out
 
 
+def window_hashes(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, place) of each window of the texts."""
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    sizes = np.array([len(t) for t in texts])
+    n = sizes - window + 1
+    which = np.repeat(np.arange(len(texts)), n)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    h = Rolling()(TABLE[data], window)
+    return h[(np.cumsum(sizes) - sizes)[which] + at].view(np.int64), which, at.astype(np.int32)
+
+
+def wide_runs(pieces: DataFrame, window: int) -> DataFrame:
+    """(context, content, at): the repeated windows of written chunks (context, content, copies, chunk), by a shuffle on their hashes."""
+
+    def parts(b, size=1 << 20):
+        ends = np.cumsum(pc.binary_length(b.column("chunk")).to_numpy(zero_copy_only=False)) // size
+        cut = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), b.num_rows]
+        return (b.slice(i, j - i) for i, j in zip(cut[:-1], cut[1:], strict=True) if j > i)
+
+    def count(batches):
+        for b in batches:
+            for part in parts(b):
+                h, n = np.unique(window_hashes(part.column("chunk").to_pylist(), window)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.minimum(n, 2).astype(np.int64))], names=["h", "n"])
+
+    def place(batches):
+        for b in batches:
+            for part in parts(b):
+                h, which, at = window_hashes(part.column("chunk").to_pylist(), window)
+                which = pa.array(which)
+                yield pa.RecordBatch.from_arrays([pa.array(h), part.column("context").take(which), part.column("content").take(which), pa.array(at)], names=["h", "context", "content", "at"])
+
+    twice = written(pieces.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
+    single = pieces.filter("copies = 1").mapInArrow(place, "h long, context long, content long, at int").join(small(twice, 8), "h", "left_semi")
+    single = single.groupBy("context", "content").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    copied = pieces.filter("copies > 1").select("context", "content", F.sequence(F.lit(0), F.length("chunk") - window).alias("at"))
+    return single.unionByName(copied)
+
+
 def repeats(docs: DataFrame, window: int) -> DataFrame:
     """(span_key, spans): a row's bytes that repeated windows cover, as packed int32 pairs (first, end)."""
     spark = docs.sparkSession
@@ -248,9 +290,10 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
     shared = written(items.groupBy("context").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("context"))
     items = written(items.join(small(shared, 8), "context"))
     chosen = items.groupBy("context", "content").agg(F.count(F.lit(1)).cast("int").alias("copies"), F.min(F.struct("key", "first", "n")).alias("rep"))
-    chosen = chosen.groupBy(F.col("rep.key").alias("rep_key")).agg(F.collect_list(F.struct("rep.first", "rep.n", "context", "content", "copies")).alias("reps"))
     chosen = written(chosen)
-    n_chunks = chosen.agg(F.sum(F.size("reps"))).first()[0] or 0
+    # no more than one for each MOST bytes of text
+    wide = written(chosen.groupBy("context").agg(F.sum(F.col("rep.n") + window).alias("size")).filter(F.col("size") > MOST).select("context"))
+    n_wide = wide.count()
 
     def cut(batches):
         for b in batches:
@@ -286,10 +329,25 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
         if group:
             yield solve()
 
-    pieces = docs.join(small(chosen, 64, n_chunks, bound=64 << 20), F.col("key") == F.col("rep_key")).select("text", "reps")
-    pieces = pieces.select("text", "reps").mapInArrow(cut, "context long, content long, copies int, chunk binary")
-    pieces = pieces.repartition(parallelism(spark), "context").sortWithinPartitions("context")
-    runs = written(pieces.mapInArrow(sort, "context long, content long, runs binary"))
+    def runs_of(batches):
+        for b in batches:
+            runs = [np.stack(_runs(np.array(at), 1), axis=1).astype(np.int32).tobytes() for at in b.column("at").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("context"), b.column("content"), pa.array(runs, pa.binary())], names=["context", "content", "runs"])
+
+    def chunks_of(chosen):
+        chosen = chosen.groupBy(F.col("rep.key").alias("rep_key")).agg(F.collect_list(F.struct("rep.first", "rep.n", "context", "content", "copies")).alias("reps"))
+        chosen = written(chosen)
+        n_chunks = chosen.agg(F.sum(F.size("reps"))).first()[0] or 0
+        pieces = docs.join(small(chosen, 64, n_chunks, bound=64 << 20), F.col("key") == F.col("rep_key")).select("text", "reps")
+        return pieces.mapInArrow(cut, "context long, content long, copies int, chunk binary")
+
+    own = chosen.join(small(wide, 8, n_wide), "context", "left_anti") if n_wide else chosen
+    pieces = chunks_of(own).repartition(parallelism(spark), "context").sortWithinPartitions("context")
+    runs = pieces.mapInArrow(sort, "context long, content long, runs binary")
+    if n_wide:
+        spread = written(chunks_of(chosen.join(small(wide, 8, n_wide), "context", "left_semi")))
+        runs = runs.unionByName(wide_runs(spread, window).mapInArrow(runs_of, "context long, content long, runs binary"))
+    runs = written(runs)
     back = items.join(small(runs, 64), ["context", "content"]).select("key", "first", "runs")
     back = back.groupBy(F.col("key").alias("span_key")).agg(F.collect_list(F.struct("first", "runs")).alias("found"))
 

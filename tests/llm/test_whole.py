@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import collections
 import zlib
 
 import numpy as np
 
-from cadastra.llm import pitman_yor
+from cadastra.llm import pitman_yor, suffixes
 from cadastra.llm.tables import written
 
 # op6
@@ -47,3 +48,27 @@ def test_pair_probabilities_sum_to_one(spark):
             assert np.isclose(np.mean(r["t"]), tables)
             own = once * (1 - d) + sum(x["c"] - d * x["t"] for x in repeated.get(u, []))
             assert np.isclose((own + 1 + d * tables) / (1 + r["c"]), 1.0)
+
+
+# op2
+
+
+def test_a_wide_context_is_not_one_task(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "MOST", 1 << 14)
+    passage = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(60))
+    texts = [f"{i:05d}{zlib.crc32(str(i).encode()):010d}" * 3 + passage + f"{zlib.crc32(str(-i).encode()):010d}" * 3 for i in range(900)]
+    docs = spark.createDataFrame(list(enumerate([*texts, *texts[:20]])), "doc_id long, text string")
+    tasks, real = [], suffixes.wide_runs
+
+    def spied(pieces, window):
+        tasks.append(pieces.count())
+        return real(pieces, window)
+
+    monkeypatch.setattr(suffixes, "wide_runs", spied)
+    found = {r["doc_id"]: bytes(r["kept"]).decode() for r in suffixes.dedup(docs, 40).collect()}
+    assert tasks and tasks[0] > 100
+    texts += texts[:20]
+    times = collections.Counter(t[i : i + 40] for t in texts for i in range(len(t) - 39))
+    for i, t in enumerate(texts):
+        gone = {j for k in range(len(t) - 39) if times[t[k : k + 40]] > 1 for j in range(k, k + 40)}
+        assert found[i] == "".join(c for j, c in enumerate(t) if j not in gone)
