@@ -50,7 +50,8 @@ def dedup_two_key_masked(spark, sf_dir):
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY substring(lower(text), 1, 200), lang ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
 def dedup_hash_prefix(spark, sf_dir):
     df = read(spark, sf_dir, "documents").withColumn("k", F.substring(F.lower("text"), 1, 200))
-    return dedup.keep_first(df, [F.col("k"), F.col("lang")], [F.col("doc_id")]).select("doc_id")
+    blank = ~F.coalesce(F.col("text").rlike(r"(?U)\S"), F.lit(False))
+    return dedup.keep_first(df, [F.col("k"), F.col("lang")], [F.col("doc_id")], blank).select("doc_id")
 
 
 @query("SELECT DISTINCT e.user_id, e.event_type FROM events e WHERE e.ts >= TIMESTAMP '2024-01-15' AND NOT EXISTS (SELECT 1 FROM events h WHERE h.ts < TIMESTAMP '2024-01-15' AND h.user_id = e.user_id AND h.event_type = e.event_type)")
