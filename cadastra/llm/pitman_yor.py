@@ -1,128 +1,154 @@
 """LM scoring by a hierarchical Pitman-Yor model.
 
-Two levels of restaurants, smoothed upwards, over all words of the training texts:
+Two levels of restaurants over all words of the training texts:
 - One restaurant for each context (the word before; the start is one). Its dishes are all
   words that follow it.
 - Their shared parent: its customers are the tables of the context restaurants; its base
   is uniform over all words and one unseen word.
-Seating is sampled by Gibbs sweeps: in a sweep each dish's customers stand up and sit down
-again in turn, given the tables of all others and the parent's probabilities; the parent
-does the same with the tables it then has. A sweep treats the dishes in parallel, and
-beyond 64 customers of a dish they sit down in blocks of a twentieth. Discounts come from
-the numbers of counts of one and two; the strengths are 1. After BURN sweeps, predictive
-probabilities are averaged over SAMPLES sweeps and score the texts.
-
-All training documents are counted and all documents scored whole. A pair of words that
-occurs once always has one table, so sweeps hold only the pairs that repeat; the others
-are what is left of the words' counts. Counts of words and pairs reach the documents by
-blocks of documents: the block's distinct words and pairs are joined with the tables and
-come back to it, but for those that occur nowhere else.
+Seating is sampled by Gibbs sweeps: each dish's number of tables is drawn from its exact
+conditional distribution given the tables of all other dishes and the parent's
+probabilities (generalised Stirling numbers count the seatings of c customers at t tables).
+A sweep draws the dishes in parallel from the last sweep's totals; for a dish with more than
+TOP customers the Stirling numbers follow from those of TOP customers, as the number of
+tables grows like a power of the customers. In the first BURN sweeps discount and strength of either level are drawn from their posterior on a grid and
+then stand; predictive probabilities are averaged over SAMPLES further sweeps and score
+the texts.
+
+All training documents are counted and all documents scored whole. How it runs:
+1. Texts are tokenised once into a table of chunks (about TEXT bytes of text a row).
+2. Chunks ask the partitions of the word hashes for counts and get numbers of words back,
+   in the order in which they asked, so that no key travels twice.
+3. Pairs of words, counted within a chunk, meet in partitions by a hash of the pair. A pair
+   that occurs once always has one table, so sweeps hold only the pairs that repeat.
+4. In a sweep, partitions of pairs tell partitions of words their sums of tables, and are
+   told the parent's probabilities and the contexts' tables.
+5. Chunks ask again, for all their pairs and words, and score their documents.
+What travels is packed: one row for each two partitions, with arrays of the least width.
+The partitions' number follows the tokens, so that none grows with the corpus.
 
 Edge cases: a null text counts as empty and has one token, its end; a null doc_id hashes as
 the empty string; without training documents all tokens are unseen; repeated rows are
 documents of their own; an empty table gives an empty result. Only doc_id and text are read.
-Words and pairs are known by 63-bit hashes.
+Words are known by 63-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.llm.langid import held_out
-from cadastra.llm.tables import parallelism, written
+from cadastra.llm.tables import discard, written
 from cadastra.llm.text import U, chunks, hash_spans, mix, mix_int
 
-BURN, SAMPLES, STRENGTH = 4, 4, 1.0
+BURN, SAMPLES = 2, 3
+#: Most customers of a dish whose Stirling numbers are worked out, numbers of tables that are weighed beyond.
+TOP, GRID = 512, 1024
+#: Grids of discounts and strengths.
+DISCOUNTS, STRENGTHS = np.linspace(0.05, 0.95, 19), 2.0 ** np.arange(-3, 10)
+#: Bytes of text in a chunk, tokens for each partition of words and of pairs.
+TEXT, PART = 8 << 20, 2_000_000
 #: The end of a text as a token, and its start as a context.
 END, START = np.int64(mix_int(0xE0F) >> 1), np.int64(mix_int(0x57A) >> 1)
+SEED = 11
 
 
-def token_hashes(texts: pa.Array):
-    """(first row, tokens, start of each text's tokens) of each piece of a batch; tokens are word hashes, then END."""
-    for c in chunks(texts, lower=True):
-        starts, ends, first = c.words()
-        h = (hash_spans(c.data, starts, ends) >> U(1)).astype(np.int64)
-        tokens = np.insert(h, first[1:], END)
-        yield c.first, tokens, first + np.arange(c.n + 1)
+# packed arrays
 
 
-def _batch(**columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], names=list(columns))
+def squeeze(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in the least width, which the first byte tells."""
+    kind = np.min_scalar_type(int(x.max())) if len(x) else np.dtype(np.uint8)
+    return bytes([kind.itemsize]) + x.astype(kind).tobytes()
 
 
-def count_tokens(train: DataFrame) -> DataFrame:
-    """(w, c): the training tokens' hashes and counts."""
+def unsqueeze(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, dtype=f"<u{b[0]}", offset=1).astype(np.int64) if b else np.zeros(0, np.int64)
 
-    def run(batches):
-        for b in batches:
-            found = [t for _, t, _ in token_hashes(b.column("text"))]
-            if found:
-                w, n = np.unique(np.concatenate(found), return_counts=True)
-                yield _batch(w=w, c=n.astype(np.int64))
 
-    return train.select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+def steps(x: np.ndarray) -> bytes:
+    """Ascending numbers as squeezed differences."""
+    return squeeze(np.diff(x, prepend=0))
+
+
+def unsteps(b: bytes) -> np.ndarray:
+    return np.cumsum(unsqueeze(b))
+
+
+def joined(column, read=unsqueeze) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(read(x.as_py()) for x in column)])
+
 
+def batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-def before(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The context of each token."""
-    u = np.empty_like(tokens)
-    u[1:] = tokens[:-1]
-    u[starts[:-1]] = START
-    return u
+
+def shape(**kinds: str) -> tuple[pa.Schema, str]:
+    """An Arrow schema and the same for Spark; b: binary, l: long, ab: array of binary, ad: array of double."""
+    arrow = {"b": pa.binary(), "l": pa.int64(), "ab": pa.list_(pa.binary()), "ad": pa.list_(pa.float64())}
+    spark = {"b": "binary", "l": "long", "ab": "array<binary>", "ad": "array<double>"}
+    return pa.schema([(n, arrow[k]) for n, k in kinds.items()]), ", ".join(f"{n} {spark[k]}" for n, k in kinds.items())
+
+
+def dealt(part: np.ndarray):
+    """(part, from, to) of each run of equal values in ascending part numbers."""
+    at = np.flatnonzero(np.diff(part, prepend=-1))
+    return zip(part[at].tolist(), at.tolist(), np.append(at, len(part))[1:].tolist(), strict=True)
+
+
+def part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """The partition of 63-bit hashes, ascending with them."""
+    return (((h.astype(U) >> U(31)) * U(parts)) >> U(32)).astype(np.int64)
 
 
 def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return (mix(mix(u.astype(U)) + w.astype(U)) >> U(1)).astype(np.int64)
+    return (mix(mix(u.astype(U) + U(1)) + w.astype(U)) >> U(1)).astype(np.int64)
 
 
-def repeated_pairs(train: DataFrame) -> DataFrame:
-    """(u, w, c): all pairs of a context and a word that occur twice or more in the training texts."""
+# seating
 
-    def run(batches):
-        for b in batches:
-            for _, w, starts in token_hashes(b.column("text")):
-                u = before(w, starts)
-                _, at, n = np.unique(pair_hash(u, w), return_index=True, return_counts=True)
-                yield _batch(u=u[at], w=w[at], c=n.astype(np.int64))
-
-    pairs = train.select("text").mapInArrow(run, "u long, w long, c long")
-    return pairs.groupBy("u", "w").agg(F.sum("c").alias("c")).filter("c > 1")
-
-
-def discount(counts: np.ndarray, weights: np.ndarray | None = None) -> float:
-    """n1 / (n1 + 2 n2), kept within 0.1 and 0.95."""
-    w = np.ones(len(counts)) if weights is None else weights
-    one, two = w[counts == 1].sum(), w[counts == 2].sum()
-    return float(np.clip(one / (one + 2 * two), 0.1, 0.95)) if one + two else 0.5
-
-
-def seat(customers: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, rng) -> np.ndarray:
-    """Tables that the customers of each dish take when they sit down in turn; others: tables of the other dishes."""
-    c = customers.astype(np.float64)
-    tables = (c > 0).astype(np.float64)
-    live = np.flatnonzero(c > 1)
-    done = 1.0
-    while len(live):
-        block = 1.0 if done < 64 else np.floor(done / 20)
-        size = np.minimum(block, c[live] - done)
-        t = tables[live]
-        new = (STRENGTH + d * (others[live] + t)) * base[live]
-        p = new / (new + done - d * t)
-        if isinstance(rng, Dice):
-            tables[live] += (rng.random(live) < p) if block == 1 else rng.binomial(live, size, p)
-        else:
-            tables[live] += (rng.random(len(live)) < p) if block == 1 else rng.binomial(size.astype(np.int64), p)
-        done += block
-        live = live[c[live] > done]
-    return tables
+
+def stirling(d: float, top: int = TOP) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers [c, t]: the weight of all seatings of c customers at t tables."""
+    out = np.full((top + 1, top + 1), -np.inf)
+    out[1, 1] = 0.0
+    for c in range(1, top):
+        t = np.arange(1, c + 1)
+        out[c + 1, 1 : c + 1] = np.log(c - d * t) + out[c, 1 : c + 1]
+        out[c + 1, 2 : c + 2] = np.logaddexp(out[c + 1, 2 : c + 2], out[c, 1 : c + 1])
+    return out
+
+
+def lgamma(x) -> np.ndarray:
+    """The logarithm of the gamma function of positive numbers, by Stirling's series from 8 on."""
+    x = np.asarray(x, dtype=np.float64)
+    small = np.ones_like(x)
+    for k in range(8):
+        small *= x + k
+    y = x + 8
+    series = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    return np.where(x < 1e6, series - np.log(np.where(x < 1e6, small, 1)), (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x))
+
+
+def scaled(c: np.ndarray, t: np.ndarray, d: float, table: np.ndarray) -> np.ndarray:
+    """log S(c, t) for c beyond the table: t / c ** d has about the same law for its last row."""
+    top = len(table) - 1
+    k = np.arange(1, top + 1)
+    law = np.append(0.0, (k - 1) * math.log(d) + lgamma(k) + table[top, 1:])
+    x = t * (top / c) ** d
+    low = np.clip(x.astype(np.int64), 1, top - 1)
+    share = np.clip(x - low, 0, 1)
+    logs = (1 - share) * law[low] + share * law[low + 1]
+    return np.where(x <= top, lgamma(c) - math.lgamma(top) + d * np.log(top / c) - (t - 1) * math.log(d) - lgamma(t) + logs, -np.inf)
 
 
 class Dice:
-    """Random numbers by hashes of keys, for `seat`: the same for any partitioning."""
+    """Random numbers by hashes of keys: the same for any partitioning."""
 
     def __init__(self, keys: np.ndarray, *seed: int):
         self.keys, self.turn = mix(keys.astype(U) ^ U(mix_int(sum(x << (16 * i) for i, x in enumerate(seed))))), np.zeros(len(keys), dtype=U)
@@ -132,266 +158,512 @@ class Dice:
         h = mix(self.keys[at] + mix(self.turn[at]))
         return ((h >> U(11)).astype(np.float64) + 0.5) * 2.0**-53
 
-    def binomial(self, at: np.ndarray, size: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Successes in `size` trials, by the geometric gaps between them."""
-        found, live, left = np.zeros(len(at)), np.arange(len(at)), size.astype(np.float64)
-        miss = np.log1p(-p)
-        while len(live):
-            gap = np.floor(np.log(self.random(at[live])) / miss[live]) + 1
-            live, left = live[gap <= left], (left - gap)[gap <= left]
-            found[live] += 1
-        return found
-
-
-def predictive(c: np.ndarray, t: np.ndarray, total_c: float, total_t: float, d: float, base: np.ndarray) -> np.ndarray:
-    return ((c - d * t) + (STRENGTH + d * total_t) * base) / (STRENGTH + total_c)
-
-
-def context_model(pairs: DataFrame, n: int, seed: int = 11) -> np.ndarray:
-    """Averaged probabilities of n dishes in each of n + 1 contexts, as one table: for small n."""
-    rows = pairs.count()
-    if not rows:
-        return np.full((n + 1, n), 1.0 / n)
-    ones = pairs.select(F.explode("customers").alias("c")).filter("c < 3").groupBy("c").count().collect()
-    d = discount(np.array([r["c"] for r in ones]), np.array([float(r["count"]) for r in ones]))
-    parent = np.full(n, 1.0 / n)
-    state = pairs.withColumn("tables", F.expr("transform(customers, x -> 1.0D)"))
-    average = np.zeros((n + 1, n))
-    for sweep in range(BURN + SAMPLES):
-
-        def sit(batches, parent=parent, sweep=sweep):
-            for b in batches:
-                out = []
-                for u, dishes, customers, tables in zip(*(b.column(c) for c in ("u", "dishes", "customers", "tables")), strict=True):
-                    w, c, t = (x.values.to_numpy(zero_copy_only=False) for x in (dishes, customers, tables))
-                    out.append(seat(c, parent[w], t.sum() - t, d, np.random.default_rng([seed, sweep, u.as_py()])))
-                offs = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-                t = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(out) if out else np.zeros(0)))
-                yield pa.RecordBatch.from_arrays([b.column("u"), b.column("dishes"), b.column("customers"), t], names=["u", "dishes", "customers", "tables"])
-
-        state = written(state.mapInArrow(sit, "u int, dishes array<int>, customers array<long>, tables array<double>"))
-        seated = state.collect()
-        guests = np.zeros(n)
-        for r in seated:
-            guests[r["dishes"]] += r["tables"]
-        d0 = discount(guests)
-        rng = np.random.default_rng([seed, sweep, n + 7])
-        tables = seat(guests, np.full(n, 1.0 / n), np.full(n, float((guests > 0).sum())), d0, rng)
-        parent = predictive(guests, tables, guests.sum(), tables.sum(), d0, np.full(n, 1.0 / n))
-        if sweep >= BURN:
-            now = np.tile(parent, (n + 1, 1))
-            for r in seated:
-                c, t = np.zeros(n), np.zeros(n)
-                c[r["dishes"]], t[r["dishes"]] = r["customers"], r["tables"]
-                now[r["u"]] = predictive(c, t, c.sum(), t.sum(), d, parent)
-            average += now / SAMPLES
-    return average
-
-
-def rare_model(counts: np.ndarray, words: np.ndarray, seed: int = 13) -> np.ndarray:
-    """Averaged probability, within the rare dish, of a word with each of the counts (distinct, with numbers of words), and of an unseen one last."""
-    v, total = words.sum(), float((counts * words).sum())
-    d, base = discount(counts, words), 1.0 / (v + 1)
-    if not len(counts):
-        return np.ones(1)
-    chains = 64  # words with equal counts are alike; so many of them sit down, and their mean stands for all
-    c = np.repeat(counts, chains)
-    tables = np.ones(len(counts))
-    average = np.zeros(len(counts) + 1)
-    for sweep in range(BURN + SAMPLES):
-        all_tables = float((tables * words).sum())
-        rng = np.random.default_rng([seed, sweep])
-        others = np.repeat(all_tables - tables, chains)
-        tables = seat(c, np.full(len(c), base), others, d, rng).reshape(-1, chains).mean(axis=1)
-        if sweep >= BURN:
-            full = predictive(np.append(counts, 0.0), np.append(tables, 0.0), total, float((tables * words).sum()), d, base)
-            average += full / SAMPLES
-    return average
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a written table that nothing reads any more, and lets Spark drop shuffles out of use."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(folder)
-        at.getFileSystem(conf).delete(at, True)
-    jvm.System.gc()
-
-
-def seated(df: DataFrame, keys: list[str], c: str, t: str, base, others, d: float, *seed: int) -> DataFrame:
-    """df with column t of tables drawn anew for its c customers; base and others: columns of the parent's probability and the other dishes' tables."""
-    df = df.withColumns({"_base": base, "_others": others})
-    names = [n for n in df.columns if n not in (t, "_base", "_others")]
+
+def draw(c: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, theta: float, table: np.ndarray, dice: Dice) -> np.ndarray:
+    """Each dish's tables given those of the other dishes: P(t) ~ S(c, t) prod_{j < t} (theta + d (others + j)) base."""
+    top = len(table) - 1
+    out = np.minimum(c, 1).astype(np.int64)
+    order = np.argsort(c, kind="stable")
+    values, first = np.unique(c[order], return_index=True)
+    for value, lo, hi in zip(values.tolist(), first.tolist(), np.append(first, len(c))[1:].tolist(), strict=True):
+        if value < 2 or value > top:
+            continue
+        slab = max(1, (1 << 20) // value)
+        for a in range(lo, hi, slab):
+            at = order[a : min(hi, a + slab)]
+            weight = np.log((theta + d * (others[at, None] + np.arange(value))) * base[at, None])
+            np.cumsum(weight, axis=1, out=weight)
+            weight += table[value, 1 : value + 1]
+            weight -= weight.max(axis=1, keepdims=True)
+            upto = np.cumsum(np.exp(weight), axis=1)
+            out[at] = 1 + (upto < (dice.random(at) * upto[:, -1])[:, None]).sum(axis=1)
+    big = np.flatnonzero(c > top)
+    for a in range(0, len(big), 1024):  # over at most GRID numbers of tables, closer where they are few
+        at = big[a : a + 1024]
+        most = top * (c[at, None] / top) ** d
+        t = np.floor(np.exp(np.log(most) * np.arange(GRID + 1) / GRID))
+        width = np.diff(t, axis=1)
+        t = t[:, :-1]
+        own = theta / d + others[at, None]
+        with np.errstate(divide="ignore"):
+            weight = np.log(width) + scaled(c[at, None], t, d, table) + t * np.log(d * base[at, None]) + lgamma(own + t) - lgamma(own)
+        upto = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+        place = (upto < (dice.random(at) * upto[:, -1])[:, None]).sum(axis=1)
+        rows = np.arange(len(at))
+        out[at] = (t[rows, place] + np.floor(dice.random(at) * width[rows, place])).astype(np.int64)
+    return out
+
+
+def seatings(c: np.ndarray, t: np.ndarray) -> list[float]:
+    """For each discount of the grid the log weight of so many customers at so many tables, summed over dishes."""
+    width = int(t.max()) + 1 if len(t) else 1
+    key, n = np.unique(c * width + t, return_counts=True)
+    c, t = key // width, key % width
+    near = c <= TOP
+    out = []
+    for d in DISCOUNTS:
+        table = stirling(float(d))
+        far = np.maximum(scaled(c[~near], t[~near], float(d), table), -1e300)
+        out.append(float((n[near] * table[c[near], t[near]]).sum() + (n[~near] * far).sum()))
+    return out
+
+
+def restaurants(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """For each discount and strength of the grids the log probability of the numbers of tables t and customers c, but for `seatings`."""
+    out = np.zeros((len(DISCOUNTS), len(STRENGTHS)))
+    (tables, n_t), (guests, n_c) = (np.unique(x[t > 0], return_counts=True) for x in (t, c))
+    for j, theta in enumerate(STRENGTHS):
+        out[:, j] -= (n_c * (lgamma(theta + guests) - math.lgamma(theta + 1))).sum()
+        for i, d in enumerate(DISCOUNTS):
+            out[i, j] += (n_t * ((tables - 1) * math.log(d) + lgamma(theta / d + tables) - math.lgamma(theta / d + 1))).sum()
+    return out
+
+
+def pick(logs: np.ndarray, *seed: int) -> tuple[float, float]:
+    """A discount and a strength drawn from their posterior on the grids."""
+    noise = np.random.default_rng([SEED, *seed]).gumbel(size=logs.shape)
+    i, j = np.unravel_index(int((logs + noise).argmax()), logs.shape)
+    return float(DISCOUNTS[i]), float(STRENGTHS[j])
+
+
+# texts and words
+
+HEAD = {"chunk": "l", "n": "l", "train": "l", "held": "b", "starts": "b", "tokens": "b"}
+
+
+def coded(docs: DataFrame) -> DataFrame:
+    """Chunks of texts: doc_ids, held (bytes), starts of each text's tokens, tokens as places in dict (word hashes; START last)."""
+    kind = docs.schema["doc_id"].dataType
+    _, spark = shape(**HEAD)
 
     def run(batches):
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 32  # read back from the written table, so it need only differ
         for b in batches:
-            get = lambda n: b.column(n).to_numpy(zero_copy_only=False)
-            ids = get(keys[0]) if len(keys) == 1 else pair_hash(*(get(k) for k in keys))
-            new = seat(get(c), get("_base"), get("_others").astype(np.float64), d, Dice(ids, *seed))
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(new.astype(np.int64))], names=[*names, t])
+            held = b.column("held_out").to_numpy(zero_copy_only=False)
+            for c in chunks(b.column("text"), lower=True, size=TEXT):
+                starts, ends, first = c.words()
+                tokens = np.insert((hash_spans(c.data, starts, ends) >> U(1)).astype(np.int64), first[1:], END)
+                words, tokens, n = np.unique(tokens, return_inverse=True, return_counts=True)
+                often = np.argsort(-n, kind="stable")  # frequent words get small numbers, which pack better
+                place = np.empty(len(often), dtype=np.int64)
+                place[often] = np.arange(len(often))
+                own = held[c.first : c.first + c.n]
+                ids = b.column("doc_id").slice(c.first, c.n)
+                head = [chunk, len(tokens), int((~own).sum()), own.astype(np.uint8).tobytes(), steps(first + np.arange(c.n + 1)), squeeze(place[tokens])]
+                kinds = [pa.int64()] * 3 + [pa.binary()] * 3
+                columns = [*(pa.array([x], k) for x, k in zip(head, kinds, strict=True)), pa.array([np.append(words[often], START).tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array([0, c.n], pa.int32()), ids)], names=[*HEAD, "dict", "ids"])
+                chunk += 1
+
+    rows = docs.mapInArrow(run, f"{spark}, dict binary, ids array<{kind.simpleString()}>")
+    return written(rows, codec="zstd")
+
+
+def rows_of(batches, *names):
+    """Each row's values of the named columns."""
+    for b in batches:
+        yield from zip(*(b.column(n).to_pylist() for n in names), strict=True)
+
+
+def text_of(held: bytes, starts: bytes, tokens: bytes):
+    """(starts, tokens, training text?) of a chunk; the last for each token."""
+    starts, tokens = unsteps(starts), unsqueeze(tokens)
+    train = np.repeat(np.frombuffer(held, dtype=np.uint8) == 0, np.diff(starts))
+    return starts, tokens, train
+
+
+COUNTED = shape(part="l", chunk="l", a="b", b="b", words="l", total="l")
+
+
+def counted(texts: DataFrame, parts: int) -> DataFrame:
+    """A row for each partition (chunk -1) with its training words' hashes and counts, and for each chunk there its words' ranks in it (0: unseen)."""
+    schema, spark = COUNTED
 
-    shape = ", ".join(f"{n} {k}" for n, k in df.select(*names).dtypes)
-    return df.mapInArrow(run, f"{shape}, {t} long")
+    def ask(batches):
+        for chunk, held, starts, tokens, words in rows_of(batches, "chunk", "held", "starts", "tokens", "dict"):
+            _, tokens, train = text_of(held, starts, tokens)
+            h = np.frombuffer(words, dtype=np.int64)
+            n = np.bincount(tokens[train], minlength=len(h))
+            order = np.argsort(h)
+            h, n = h[order], n[order]
+            yield batch(schema, [(p, chunk, h[a:b].tobytes(), squeeze(n[a:b]), 0, 0) for p, a, b in dealt(part_of(h, parts))])
+
+    def meet(asked: pa.Table) -> pa.Table:
+        part, chunk = asked.column("part")[0].as_py(), asked.column("chunk").to_pylist()
+        sets = [np.frombuffer(x.as_py(), dtype=np.int64) for x in asked.column("a")]
+        w, at = np.unique(np.concatenate(sets), return_inverse=True)
+        c = np.zeros(len(w), dtype=np.int64)
+        np.add.at(c, at, joined(asked.column("b")))
+        known = (c > 0) | (w == START)
+        rank = np.cumsum(known) * known
+        cuts = np.cumsum([0, *map(len, sets)])
+        out = [(part, k, squeeze(rank[at[a:b]]), b"", 0, 0) for k, a, b in zip(chunk, cuts[:-1], cuts[1:], strict=True)]
+        out.append((part, -1, w[known].tobytes(), squeeze(c[known]), int((c > 0).sum()), int(c.sum())))
+        return pa.Table.from_batches([batch(schema, out)])
+
+    return written(texts.mapInArrow(ask, spark).groupBy("part").applyInArrow(meet, spark))
+
+
+def named(texts: DataFrame, replies: DataFrame, base: np.ndarray) -> DataFrame:
+    """The chunks with the numbers of their words (dict; ascending in a partition and over partitions from base on; 0: unseen)."""
+    parts = len(base)
+
+    def name(text: pa.Table, told: pa.Table) -> pa.Table:
+        h = np.frombuffer(text.column("dict")[0].as_py(), dtype=np.int64)
+        told = told.sort_by("part")
+        rank, order = joined(told.column("a")), np.argsort(h)
+        ids = np.empty(len(h), dtype=np.int64)
+        ids[order] = np.where(rank > 0, base[part_of(h[order], parts)] + rank, 0)
+        at = text.schema.get_field_index("dict")
+        return text.set_column(at, "dict", pa.array([squeeze(ids)], pa.binary()))
+
+    kinds = ", ".join(f"{n} {k}" for n, k in texts.dtypes)
+    return written(texts.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(name, kinds), codec="zstd")
+
+
+def local_pairs(starts: np.ndarray, tokens: np.ndarray, ids: np.ndarray):
+    """(context, word) of a chunk's distinct pairs by their numbers, in ascending order, and each token's pair."""
+    order = np.argsort(ids, kind="stable")
+    place = np.empty(len(ids), dtype=np.int64)
+    place[order] = np.arange(len(ids))
+    w = place[tokens]
+    u = np.empty_like(w)
+    u[1:] = w[:-1]
+    u[starts[:-1]] = place[-1]
+    key, at = np.unique(u * len(ids) + w, return_inverse=True)
+    return ids[order[key // len(ids)]], ids[order[key % len(ids)]], at
+
+
+def dealt_pairs(u: np.ndarray, w: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs whose words are both known, by partition and otherwise in order, and their partitions."""
+    at = np.flatnonzero((u > 0) & (w > 0))
+    part = part_of(pair_hash(u[at], w[at]), parts)
+    order = np.argsort(part.astype(np.uint16) if parts < 65536 else part, kind="stable")
+    return at[order], part[order]
+
+
+ASKED = shape(part="l", chunk="l", u="b", w="b", n="b")
+
+
+def asked_pairs(texts: DataFrame, parts: int, trained: bool) -> DataFrame:
+    """What each chunk asks each partition of pairs: contexts, words and training counts of its distinct pairs (trained: only those with any)."""
+    schema, spark = ASKED
+
+    def ask(batches):
+        for chunk, held, starts, tokens, ids in rows_of(batches, "chunk", "held", "starts", "tokens", "dict"):
+            starts, tokens, train = text_of(held, starts, tokens)
+            u, w, at = local_pairs(starts, tokens, unsqueeze(ids))
+            n = np.bincount(at[train], minlength=len(u))
+            if trained:
+                u, w, n = u[n > 0], w[n > 0], n[n > 0]
+            at, part = dealt_pairs(u, w, parts)
+            u, w, n = u[at], w[at], n[at]
+            yield batch(schema, [(p, chunk, steps(u[a:b]), squeeze(w[a:b]), squeeze(n[a:b])) for p, a, b in dealt(part)])
+
+    return texts.mapInArrow(ask, spark)
+
+
+def summed(u: np.ndarray, w: np.ndarray, n: np.ndarray):
+    """The distinct pairs in order, their sums, and each row's pair."""
+    order = np.lexsort((w, u))
+    u, w = u[order], w[order]
+    new = np.ones(len(u), dtype=bool)
+    new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])
+    at = np.empty(len(u), dtype=np.int64)
+    at[order] = np.cumsum(new) - 1
+    return u[new], w[new], np.add.reduceat(n[order], np.flatnonzero(new)) if len(n) else n, at
+
+
+# sweeps: states of partitions of pairs and of words, and what they tell each other
 
+#: to -1: a partition's own state, otherwise what it tells the partition `to` (of words: words, contexts, the tables and at first the customers of either).
+PAIRS = shape(part="l", to="l", u="b", w="b", c="b", t="b", ts="b", more="b", like="ad")
+WORDS = shape(part="l", to="l", c="b", rest_w="b", rest_u="b", g="b", t0="b", tu="b", gs="ab", t0s="ab", tus="ab", sums="ad", like="ad")
 
-def sampled(counts: DataFrame, pairs: DataFrame, total: int, distinct: int, seed: int = 11):
-    """The model of written (w, c) and (u, w, c): words (w, c, p, t), pairs (u, w, c, t), its discount, and p of words seen once and of unseen ones.
 
-    p and t of words are the parent's probabilities and the tables as a context in each sample; t of pairs is the samples' mean.
+def told_words(part: int, state, base: np.ndarray, first: bool, like: list) -> pa.Table:
+    """A partition's pairs as its state, and their tables summed by word and by context (first: customers too) for the partitions of words."""
+    u, w, c, t, ts = state
+    rows = [(part, -1, steps(u), squeeze(w), squeeze(c), squeeze(t), squeeze(ts), None, like)]
+    sums = {}
+    for at, k in ((0, w), (1, u)):
+        ids, where = np.unique(k, return_inverse=True)
+        values = [np.bincount(where, weights=x).astype(np.int64) for x in ((t, c) if first else (t,))]
+        for p, lo, hi in dealt(np.searchsorted(base, ids, side="left") - 1):
+            own = sums.setdefault(p, [None] * 6)
+            own[at], own[2 + at] = steps(ids[lo:hi]), squeeze(values[0][lo:hi])
+            if first:
+                own[4 + at] = squeeze(values[1][lo:hi])
+    rows += [(part, p, *x, []) for p, x in sorted(sums.items())]
+    return pa.Table.from_batches([batch(PAIRS[0], rows)])
+
+
+def first_pairs(texts: DataFrame, parts: int, base: np.ndarray) -> DataFrame:
+    """The pairs that repeat in the training texts, with a table each."""
+
+    def meet(asked: pa.Table) -> pa.Table:
+        u, w, c, _ = summed(joined(asked.column("u"), unsteps), joined(asked.column("w")), joined(asked.column("n")))
+        u, w, c = u[c > 1], w[c > 1], c[c > 1]
+        return told_words(asked.column("part")[0].as_py(), (u, w, c, np.ones_like(c), np.zeros_like(c)), base, True, [0.0] * len(DISCOUNTS))
+
+    return written(asked_pairs(texts, parts, True).groupBy("part").applyInArrow(meet, PAIRS[1]))
+
+
+def seat_words(words: DataFrame, pairs: DataFrame, base: np.ndarray, unit: float, tables: float, level: tuple[float, float], start: tuple[int, int], end: int, sweep: int) -> DataFrame:
+    """The words' states after the tables of the pairs, and what they tell the pairs: guests, the parent's tables, contexts' tables.
+
+    start: number of START and how many customers it has as a context; end: number of END, which is none.
     """
-    spark = counts.sparkSession
-    base = 1.0 / (distinct + 1)
-    met, twice = (x or 0 for x in pairs.agg(F.sum("c"), F.sum((F.col("c") == 2).cast("long"))).first())
-    d = discount(np.array([1.0, 2.0]), np.array([float(total - met), float(twice)]))
-    ends = counts.filter(F.col("w") == int(END)).first()
-    begin = spark.createDataFrame([(int(START), ends["c"])] if ends else [], "w long, c long")
-    words = counts.unionByName(begin)
-    sums = lambda s, k: s.groupBy(F.col(k).alias("w")).agg(F.sum("c").alias(f"c_{k}"), F.sum("t").alias(f"t_{k}"))
-    seen = lambda k: F.coalesce(F.col(k), F.lit(0))
-
-    def counted(words, pairs):
-        """words with g, the guests of the parent, and t, the tables of the context, as pairs seat them."""
-        both = words.join(sums(pairs, "w"), "w", "left").join(sums(pairs, "u"), "w", "left")
-        g = F.when(F.col("w") == int(START), 0).otherwise(F.col("c") - seen("c_w") + seen("t_w"))
-        t = F.when(F.col("w") == int(END), 0).otherwise(F.col("c") - seen("c_u") + seen("t_u"))
-        return both.select(*words.columns, g.alias("g"), t.alias("t"))
-
-    state = pairs.select("u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("t_sum"))
-    own, old = written(counted(words, state).select("w", "c", "g", "t", F.lit(1).cast("long").alias("t0"), F.lit(base).alias("p"))), pairs
-    tops, samples, ones, unseen = float(distinct), [], [], []
-    for sweep in range(BURN + SAMPLES):
-        met = state.join(own.select("w", "p"), "w").join(own.select(F.col("w").alias("u"), F.col("t").alias("t_all")), "u")
-        state = seated(met, ["u", "w"], "c", "t", F.col("p"), F.col("t_all") - F.col("t"), d, seed, sweep, 1)
-        add = F.col("t_sum") + (F.col("t") if sweep >= BURN else F.lit(0))
-        state = written(state.select("u", "w", "c", "t", add.alias("t_sum")))
-        guests = written(counted(own.select("w", "c", "t0"), state))
-        n1, n2, n = (x or 0 for x in guests.agg(F.sum((F.col("g") == 1).cast("long")), F.sum((F.col("g") == 2).cast("long")), F.sum("g")).first())
-        d0 = discount(np.array([1.0, 2.0]), np.array([float(n1), float(n2)]))
-        top = written(seated(guests, ["w"], "g", "t0", F.lit(base), F.lit(tops) - F.col("t0"), d0, seed, sweep, 2))
-        tops = float(top.agg(F.sum("t0")).first()[0] or 0)
-        share = (STRENGTH + d0 * tops) * base
-        p = (F.col("g") - d0 * F.col("t0") + share) / (STRENGTH + n)
-        for table in (old, own, guests):
-            if all(table is not x for x in samples):
-                discard(table)
-        old, own = state, top.withColumn("p", p)
-        if sweep >= BURN:
-            samples.append(own)
-            ones.append((1 - d0 + share) / (STRENGTH + n))
-            unseen.append(share / (STRENGTH + n))
-    out = samples[0].select("w", "c", F.array(F.col("p").cast("float")).alias("p"), F.array(F.col("t").cast("float")).alias("t"))
-    for s in samples[1:]:
-        one = s.select("w", F.array(F.col("p").cast("float")).alias("p2"), F.array(F.col("t").cast("float")).alias("t2"))
-        out = out.join(one, "w").select("w", "c", F.concat("p", "p2").alias("p"), F.concat("t", "t2").alias("t"))
-    out = written(out)
-    for s in samples:
-        discard(s)
-    return out, state.select("u", "w", "c", (F.col("t_sum") / SAMPLES).alias("t")), d, np.array(ones), np.array(unseen)
+    d0, theta0 = level
+
+    def run(own: pa.Table, told: pa.Table) -> pa.Table:
+        row = own.to_pylist()[0]
+        part, c = row["part"], unsqueeze(row["c"])
+        low = int(base[part])
+        place = lambda b: unsteps(b) - low - 1
+        told = told.to_pylist()
+        if row["rest_w"] is None:  # what pairs that occur once leave
+            rest_w, rest_u = c.copy(), c.copy()
+            if 0 <= start[0] - low - 1 < len(c):
+                rest_u[start[0] - low - 1] = start[1]
+            if 0 <= end - low - 1 < len(c):
+                rest_u[end - low - 1] = 0
+            for x in told:
+                for at, n, rest in (("u", "ts", rest_w), ("w", "more", rest_u)):
+                    if x[at]:
+                        rest[place(x[at])] -= unsqueeze(x[n])
+        else:
+            rest_w, rest_u = unsqueeze(row["rest_w"]), unsqueeze(row["rest_u"])
+        g, tu = rest_w.copy(), rest_u.copy()
+        for x in told:
+            for at, n, to in (("u", "c", g), ("w", "t", tu)):
+                if x[at]:
+                    to[place(x[at])] += unsqueeze(x[n])
+        t0 = unsqueeze(row["t0"]) if row["t0"] else np.minimum(g, 1)
+        dice = Dice(np.arange(low, low + len(g)), SEED, sweep, 2)
+        t0 = draw(g, np.full(len(g), unit), np.maximum(tables - t0, 0), d0, theta0, stirling(d0), dice)
+        customers = c.copy()
+        if 0 <= start[0] - low - 1 < len(c):
+            customers[start[0] - low - 1] = start[1]
+        if 0 <= end - low - 1 < len(c):
+            customers[end - low - 1] = 0
+        like = [*restaurants(customers, tu).ravel().tolist(), *seatings(g[g > 0], t0[g > 0])] if sweep <= BURN else []
+        add = lambda name, x: [*(row[name] or []), *([squeeze(x)] if sweep > BURN else [])]
+        state = (part, -1, squeeze(c), squeeze(rest_w), squeeze(rest_u), b"", squeeze(t0), b"", add("gs", g), add("t0s", t0), add("tus", tu), [float(g.sum()), float(t0.sum())], like)
+        rows = [state]
+        for x in told:
+            w, u = (place(x[k]) if x[k] else np.zeros(0, np.int64) for k in ("u", "w"))
+            rows.append((part, x["part"], None, None, None, squeeze(g[w]), squeeze(t0[w]), squeeze(tu[u]), None, None, None, None, None))
+        return pa.Table.from_batches([batch(WORDS[0], rows)])
+
+    states = words.filter(F.col("to") < 0).groupBy("part")
+    return written(states.cogroup(pairs.filter(F.col("to") >= 0).groupBy("to")).applyInArrow(run, WORDS[1]))
+
+
+def seat_pairs(pairs: DataFrame, words: DataFrame, base: np.ndarray, unit: float, guests: float, tables: float, level: tuple[float, float], own_level: tuple[float, float], sweep: int) -> DataFrame:
+    """The pairs' states with tables drawn anew."""
+    (d0, theta0), (d, theta) = level, own_level
+
+    def run(own: pa.Table, told: pa.Table) -> pa.Table:
+        row, told = own.to_pylist()[0], told.sort_by("part")
+        u, w, c, t, ts = unsteps(row["u"]), *(unsqueeze(row[k]) for k in ("w", "c", "t", "ts"))
+        if len(u):
+            g, t0, tu = (joined(told.column(k)) for k in ("g", "t0", "tu"))
+            p = (g - d0 * t0 + (theta0 + d0 * tables) * unit) / (theta0 + guests)
+            p, tu = p[np.unique(w, return_inverse=True)[1]], tu[np.unique(u, return_inverse=True)[1]]
+            t = draw(c, p, np.maximum(tu - t, 0), d, theta, stirling(d), Dice(pair_hash(u, w), SEED, sweep, 1))
+            ts = ts + t if sweep > BURN else ts
+        return told_words(row["part"], (u, w, c, t, ts), base, False, seatings(c, t) if sweep <= BURN else [])
+
+    states = pairs.filter(F.col("to") < 0).groupBy("part")
+    return written(states.cogroup(words.filter(F.col("to") >= 0).groupBy("to")).applyInArrow(run, PAIRS[1]))
+
+
+def totals(states: DataFrame, column: str) -> np.ndarray:
+    """The sums of an array column over the partitions' states."""
+    rows = states.filter(F.col("to") < 0).select(F.posexplode(column).alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()  # one row a place
+    return np.array([r["x"] for r in sorted(rows, key=lambda r: r["at"])])
+
+
+class Model:
+    """The sampled model's numbers: totals of words, and for each sample the parent's; words and pairs are tables."""
+
+    def __init__(self, total: int, distinct: int, n_parts: int):
+        self.total, self.distinct, self.parts, self.unit = total, distinct, n_parts, 1.0 / (distinct + 1)
+        self.own_level, self.level = (0.75, 1.0), (0.75, 1.0)
+        self.samples: list[tuple[float, float]] = []  # guests and tables of the parent
+
+    def parent(self, sample: int, g: np.ndarray, t0: np.ndarray) -> np.ndarray:
+        """The parent's probability of words with g guests at t0 tables."""
+        (guests, tables), (d0, theta0) = self.samples[sample], self.level
+        return (g - d0 * t0 + (theta0 + d0 * tables) * self.unit) / (theta0 + guests)
+
+
+def sampled(texts: DataFrame, met: DataFrame, base: np.ndarray, model: Model, start: tuple[int, int], end: int):
+    """The states of words and of pairs after all sweeps; fills the model's levels and samples."""
+    words = met.filter("chunk < 0").select("part", F.lit(-1).cast("long").alias("to"), F.col("b").alias("c"), *[F.lit(None).cast("binary").alias(n) for n in ("rest_w", "rest_u", "g", "t0", "tu")], *[F.lit(None).cast("array<binary>").alias(n) for n in ("gs", "t0s", "tus")], *[F.lit(None).cast("array<double>").alias(n) for n in ("sums", "like")])
+    pairs = first_pairs(texts, model.parts, base)
+    guests, tables, old = 0.0, float(model.distinct), None
+    for sweep in range(BURN + SAMPLES + 1):
+        if sweep:
+            last, pairs = pairs, seat_pairs(pairs, words, base, model.unit, guests, tables, model.level, model.own_level, sweep)
+            discard(last)
+        words = seat_words(words, pairs, base, model.unit, tables, model.level, start, end, sweep)
+        if old is not None:
+            discard(old)
+        old = words
+        sums = totals(words, "sums")
+        guests, tables = sums.tolist() if len(sums) else (0.0, 0.0)
+        if sweep <= BURN:
+            like, shape_ = totals(words, "like"), (len(DISCOUNTS), len(STRENGTHS))
+            if guests and len(like):
+                own = totals(pairs, "like")
+                cells = shape_[0] * shape_[1]
+                if sweep:
+                    model.own_level = pick(like[:cells].reshape(shape_) + (own if len(own) else np.zeros(shape_[0]))[:, None], sweep, 1)
+                top = restaurants(np.array([int(guests)]), np.array([int(tables)]))
+                model.level = pick(top + like[cells:, None], sweep, 2)
+        else:
+            model.samples.append((guests, tables))
+    return words, pairs
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text").withColumn("held_out", held_out(5, 1))
-    train = docs.filter(~F.col("held_out"))
-    counts = written(count_tokens(train))
-    total, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
-    words, pairs, d, ones, unseen = sampled(counts, written(repeated_pairs(train)), total, distinct)
+# scores
+
+TOLD = shape(part="l", chunk="l", kind="l", a="b", b="b", more="ab")
+
+
+def told_pairs(texts: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
+    """For each chunk and partition counts of the pairs that the chunk asks for, and sums of their tables over the samples."""
+    schema, spark = TOLD
+
+    def run(own: pa.Table, asked: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return pa.Table.from_batches([batch(schema, [])])
+        n = [unsqueeze(x.as_py()) for x in asked.column("n")]
+        u, w, c, at = summed(joined(asked.column("u"), unsteps), joined(asked.column("w")), np.concatenate(n))
+        ts = c.clip(max=1) * SAMPLES
+        if own.num_rows:
+            row = own.to_pylist()[0]
+            su, sw, s = unsteps(row["u"]), unsqueeze(row["w"]), unsqueeze(row["ts"])
+            # both in order, and all that repeat are asked for by their own texts
+            order = np.lexsort((np.concatenate([w, sw]), np.concatenate([u, su])))
+            pos = np.empty(len(order), dtype=np.int64)
+            pos[order] = np.arange(len(order))
+            before = np.cumsum(order < len(u))
+            ts[before[pos[len(u) :]] - 1] = s
+        c, ts = c[at], ts[at]
+        cuts = np.cumsum([0, *map(len, n)])
+        part, chunk = asked.column("part")[0].as_py(), asked.column("chunk").to_pylist()
+        return pa.Table.from_batches([batch(schema, [(part, k, 0, squeeze(c[a:b]), squeeze(ts[a:b]), None) for k, a, b in zip(chunk, cuts[:-1], cuts[1:], strict=True)])])
+
+    states = pairs.filter(F.col("to") < 0).groupBy("part")
+    return states.cogroup(asked_pairs(texts, parts, False).groupBy("part")).applyInArrow(run, spark)
 
-    size = parallelism(spark)
-    blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(size)).cast("int")).repartition(size, "block")
+
+def told_words_again(texts: DataFrame, words: DataFrame, base: np.ndarray) -> DataFrame:
+    """For each chunk and partition counts of the chunk's words there, and for each sample guests, parent's tables and context's tables."""
+    schema, spark = TOLD
 
     def ask(batches):
-        for b in batches:
-            block, held = b.column("block").to_numpy(), b.column("held_out").to_numpy(zero_copy_only=False)
-            for first, w, starts in token_hashes(b.column("text")):
-                row = first + np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-                own, far = block[row], held[row]
-                pair = pair_hash(before(w, starts), w)
-                each = np.unique(own)
-                k = np.concatenate([w, pair, np.full(len(each), START)])
-                own = np.concatenate([own, own, each])
-                far = np.concatenate([far, far, np.ones(len(each), dtype=bool)])
-                n = np.concatenate([np.zeros(len(w), dtype=np.int32), (~far[: len(w)]).astype(np.int32), np.zeros(len(each), dtype=np.int32)])
-                order = np.lexsort((k, own)) if len(each) > 1 else np.argsort(k)
-                k, own, far, n = k[order], own[order], far[order], n[order]
-                new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (own[1:] != own[:-1])]))
-                yield _batch(k=k[new], block=own[new].astype(np.int32), n=np.add.reduceat(n, new).astype(np.int32), far=np.logical_or.reduceat(far, new))
-
-    def keyed_pairs(batches):
-        for b in batches:
-            yield _batch(k=pair_hash(b.column("u").to_numpy(), b.column("w").to_numpy()), c=b.column("c"), m=b.column("t"))
-
-    none = F.lit(None).cast("array<float>")
-    table = pairs.mapInArrow(keyed_pairs, "k long, c long, m double").select("k", "c", "m", none.alias("p"), none.alias("t"))
-    table = table.unionByName(words.select(F.col("w").alias("k"), "c", F.lit(None).cast("double").alias("m"), "p", "t"))
-    asked = blocks.mapInArrow(ask, "k long, block int, n int, far boolean")
-    # a pair that is in no table occurs once or never; a training text knows that of its own
-    told = asked.join(table, "k", "left").withColumn("c", F.coalesce("c", F.sum("n").over(Window.partitionBy("k"))))
-    told = told.filter("c > 1 or (c = 1 and far)").select("block", "k", "c", "m", "p", "t")
-    base_low = total + 0.5 * (distinct + 1)
-
-    def judge(texts: pa.Table, known: pa.Table) -> pa.Table:
-        def lookup(rows: pa.Table):
-            k, at = np.unique(rows.column("k").to_numpy(), return_index=True)
-            return k, rows.take(pa.array(at))
-
-        def find(k, keys):
-            if not len(k):
-                return np.full(len(keys), -1)
-            at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
-            return np.where(k[at] == keys, at, -1)
-
-        def matrix(column):
-            return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, SAMPLES).astype(np.float64)
-
-        is_word = known.column("p").is_valid()
-        words_k, words = lookup(known.filter(is_word))
-        pairs_k, pairs = lookup(known.filter(pc.invert(is_word)))
-        # two rows more: words seen once, in a training text of this block, and unseen ones
-        c_of = np.concatenate([words.column("c").to_numpy(), [1, 0]])
-        p_of = np.concatenate([matrix(words.column("p")), [ones], [unseen]])
-        t_of = np.concatenate([matrix(words.column("t")), np.ones((1, SAMPLES)), np.zeros((1, SAMPLES))])
-        c_pair = np.concatenate([pairs.column("c").to_numpy(), [1, 0]])
-        m_pair = np.concatenate([pc.fill_null(pairs.column("m"), 1.0).to_numpy(), [1.0, 0.0]])
-        held = texts.column("held_out").to_numpy()
-        n_tokens, n_known, base, full = [], [], [], []
-        done = 0
-        for chunk in texts.column("text").chunks:
-            for first, tokens, starts in token_hashes(chunk):
-                row = done + first + np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-                other = np.where(held[row], -1, -2)  # the last row: unseen; the one before: once
-                u = before(tokens, starts)
-                at, pair = find(words_k, tokens), find(pairs_k, pair_hash(u, tokens))
-                at, pair = np.where(at < 0, other, at), np.where(pair < 0, other, pair)
-                context = np.empty_like(at)
-                context[1:] = at[:-1]
-                context[starts[:-1]] = find(words_k, np.array([START]))[0]
-                count = c_of[at]
-                up = np.zeros(len(at))
-                for s in range(SAMPLES):
-                    up += (STRENGTH + d * t_of[context, s]) * p_of[at, s] / SAMPLES
-                p = np.log10((c_pair[pair] - d * m_pair[pair] + up) / (STRENGTH + c_of[context]))
-                begin = starts[:-1]
-                n_tokens.append(np.diff(starts))
-                n_known.append(np.add.reduceat((count > 0).astype(np.int64), begin))
-                base.append(np.add.reduceat(np.log10((count + 0.5) / base_low), begin))
-                full.append(np.add.reduceat(p, begin))
-            done += len(chunk)
-        cat = lambda x, kind: pa.array(np.concatenate(x).astype(kind) if x else np.zeros(0, kind))
-        rows = len(texts)
-        return pa.table(
-            {
-                "doc_id": texts.column("doc_id"),
-                "held_out": texts.column("held_out"),
-                "n_tokens": cat(n_tokens, np.int64),
-                "n_known": cat(n_known, np.int64),
-                "train_tokens": pa.array(np.full(rows, total, dtype=np.int64)),
-                "base_score": cat(base, np.float64),
-                "score": cat(full, np.float64),
-            }
-        )
+        for chunk, ids in rows_of(batches, "chunk", "dict"):
+            ids = np.sort(unsqueeze(ids))
+            ids = ids[ids > 0]
+            yield batch(schema, [(p, chunk, 1, steps(ids[a:b]), None, None) for p, a, b in dealt(np.searchsorted(base, ids, side="left") - 1)])
+
+    def run(own: pa.Table, asked: pa.Table) -> pa.Table:
+        row = own.to_pylist()[0]
+        low = int(base[row["part"]])
+        c, columns = unsqueeze(row["c"]), [unsqueeze(x) for k in ("gs", "t0s", "tus") for x in row[k]]
+        out = []
+        for chunk, ids in rows_of(asked.to_batches(), "chunk", "a"):
+            at = unsteps(ids) - low - 1
+            out.append((row["part"], chunk, 1, squeeze(c[at]), None, [squeeze(x[at]) for x in columns]))
+        return pa.Table.from_batches([batch(schema, out)])
 
+    states = words.filter(F.col("to") < 0).groupBy("part")
+    return states.cogroup(texts.select("chunk", "dict").mapInArrow(ask, spark).groupBy("part")).applyInArrow(run, spark)
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("held_out", held_out(5, 1))
     kind = dict(docs.dtypes)["doc_id"]
-    shape = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(judge, shape)
+    spark = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    texts = coded(docs)
+    tokens, train_docs = (x or 0 for x in texts.agg(F.sum("n"), F.sum("train")).first())
+    parts = max(1, -(-tokens // PART))
+    met = counted(texts, parts)
+    sizes = np.zeros(parts, dtype=np.int64)
+    total = distinct = 0
+    start, end = 0, 0
+    states = met.filter("chunk < 0")
+    for r in states.select("part", (F.octet_length("a") / 8).cast("long").alias("ranks"), "words", "total").collect():  # a row for each PART tokens
+        sizes[r["part"]] = r["ranks"]
+        total, distinct = total + r["total"], distinct + r["words"]
+    base = np.cumsum(sizes) - sizes
+    special = {int(part_of(np.array([x]), parts)[0]): [] for x in (START, END)}
+    for r in states.filter(F.col("part").isin(list(special))).select("part", "a").collect():  # two partitions at most
+        w = np.frombuffer(r["a"], dtype=np.int64)
+        for x in (START, END):
+            at = int(np.searchsorted(w, x))
+            if at < len(w) and w[at] == x:
+                start, end = (int(base[r["part"]]) + at + 1, end) if x == START else (start, int(base[r["part"]]) + at + 1)
+    model = Model(total, distinct, parts)
+    known = named(texts, met.filter("chunk >= 0").select("part", "chunk", "a"), base)
+    discard(texts)
+    words, pairs = sampled(known, met, base, model, (start, train_docs), end)
+    discard(met)
+    told = written(told_pairs(known, pairs, parts).unionByName(told_words_again(known, words, base)))
+    low = total + 0.5 * (distinct + 1)
+
+    def judge(text: pa.Table, told: pa.Table) -> pa.Table:
+        row = {n: text.column(n)[0].as_py() for n in ("held", "starts", "tokens", "dict")}
+        starts, tokens, _ = text_of(row["held"], row["starts"], row["tokens"])
+        ids = unsqueeze(row["dict"])
+        told = told.sort_by("part")
+        kinds = told.column("kind").to_numpy()
+        of_pairs, of_words = told.filter(pa.array(kinds == 0)), told.filter(pa.array(kinds == 1))
+        order = np.argsort(ids, kind="stable")
+        order = order[ids[order] > 0]
+
+        def spread(values):
+            out = np.zeros(len(ids))
+            out[order] = values
+            return out
+
+        c = spread(joined(of_words.column("a")))
+        more = of_words.column("more").to_pylist()
+        columns = [spread(np.concatenate([np.zeros(0, np.int64), *(unsqueeze(m[i]) for m in more)])) for i in range(3 * SAMPLES)]
+        (d, theta) = model.own_level
+        customers = c.copy()
+        customers[-1] = train_docs  # START as a context
+        u = np.empty_like(tokens)
+        u[1:] = tokens[:-1]
+        u[starts[:-1]] = len(ids) - 1
+        up = np.zeros(len(tokens))
+        for s in range(SAMPLES):
+            p = model.parent(s, columns[s], columns[SAMPLES + s])
+            up += (theta + d * columns[2 * SAMPLES + s][u]) * p[tokens] / SAMPLES
+        pu, pw, at = local_pairs(starts, tokens, ids)
+        asked, _ = dealt_pairs(pu, pw, parts)
+        pair_c, pair_t = np.zeros(len(pu)), np.zeros(len(pu))
+        pair_c[asked], pair_t[asked] = joined(of_pairs.column("a")), joined(of_pairs.column("b")) / SAMPLES
+        logs = np.log10((pair_c[at] - d * pair_t[at] + up) / (theta + customers[u]))
+        begin, count = starts[:-1], c[tokens]
+        rows = len(begin)
+        held = np.frombuffer(row["held"], dtype=np.uint8) == 1
+        values = {
+            "doc_id": text.column("ids").combine_chunks().flatten(),
+            "held_out": pa.array(held),
+            "n_tokens": pa.array(np.diff(starts)),
+            "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), begin)),
+            "train_tokens": pa.array(np.full(rows, total, dtype=np.int64)),
+            "base_score": pa.array(np.add.reduceat(np.log10((count + 0.5) / low), begin)),
+            "score": pa.array(np.add.reduceat(logs, begin)),
+        }
+        return pa.table(values)
+
+    return known.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(judge, spark)

@@ -24,14 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """The rows, written as a Parquet table in the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a written table that nothing reads any more, and lets Spark drop shuffles out of use."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(conf).delete(at, True)
+    jvm.System.gc()
+
+
 def small(df: DataFrame, row_bytes: int, rows: int | None = None, bound: int = BROADCAST_BYTES) -> DataFrame:
     """A written table, with a broadcast hint if its counted rows fit the bound; without, the join shuffles."""
     rows = df.count() if rows is None else rows

@@ -65,12 +65,72 @@ def test_scores(spark, docs, rows):
         assert sum(r["score"] for r in found if r["held_out"]) > sum(r["base_score"] for r in found if r["held_out"])
 
 
-def test_probabilities_sum_to_one(spark):
-    pairs = spark.createDataFrame([(0, [0, 1, 2], [5, 1, 3]), (1, [2], [7]), (3, [0, 2], [2, 90])], "u int, dishes array<int>, customers array<long>")
-    assert np.allclose(pitman_yor.context_model(pairs, 3).sum(axis=1), 1.0)
-    counts, words = np.array([1.0, 2.0, 90.0]), np.array([40.0, 9.0, 2.0])
-    p = pitman_yor.rare_model(counts, words)
-    assert math.isclose((p[:-1] * words).sum() + p[-1], 1.0)
+def set_partitions(n):
+    """Every way to part n customers into tables, as lists of sizes."""
+    if n == 0:
+        yield []
+        return
+    for rest in set_partitions(n - 1):
+        for i in range(len(rest)):
+            yield [*rest[:i], rest[i] + 1, *rest[i + 1 :]]
+        yield [*rest, 1]
+
+
+def test_tables_follow_the_weights_of_all_seatings():
+    d, theta, base, others = 0.6, 1.5, 0.3, 4.0
+    weights = collections.Counter()
+    for tables in set_partitions(6):
+        seats = math.prod(math.prod(i - d for i in range(1, n)) for n in tables)
+        weights[len(tables)] += seats * math.prod((theta + d * (others + j)) * base for j in range(len(tables)))
+    n = 40_000
+    full = np.full
+    t = pitman_yor.draw(full(n, 6), full(n, base), full(n, others), d, theta, pitman_yor.stirling(d), pitman_yor.Dice(np.arange(n), 5))
+    for k in range(1, 7):
+        assert abs((t == k).mean() - weights[k] / sum(weights.values())) < 0.01
+    # beyond the table the law is scaled: against one that reaches so far
+    far, few = full(4000, 1500), full(4000, 0.3)
+    exact = pitman_yor.draw(far, few, full(4000, 60.0), d, theta, pitman_yor.stirling(d, 1500), pitman_yor.Dice(np.arange(4000), 6))
+    about = pitman_yor.draw(far, few, full(4000, 60.0), d, theta, pitman_yor.stirling(d, 512), pitman_yor.Dice(np.arange(4000), 7))
+    assert abs(exact.mean() / about.mean() - 1) < 0.03 and abs(exact.std() / about.std() - 1) < 0.1
+    assert np.allclose(pitman_yor.lgamma(np.array([0.3, 1.0, 7.5, 900.0, 3e6])), [math.lgamma(x) for x in (0.3, 1.0, 7.5, 900.0, 3e6)])
+
+
+def kneser_ney(train, held):
+    """The log10 probability of the held-out tokens by an interpolated bigram model over all words."""
+    pairs, follow, base = collections.Counter(), collections.defaultdict(set), collections.defaultdict(set)
+    for x in train:
+        for u, w in zip(["<s>", *x[:-1]], x, strict=True):
+            pairs[u, w] += 1
+            follow[u].add(w)
+            base[w].add(u)
+    total = collections.Counter()
+    for (u, _), c in pairs.items():
+        total[u] += c
+    discount = lambda counts: (n := collections.Counter(counts))[1] / (n[1] + 2 * n[2])
+    d, d0, kinds = discount(pairs.values()), discount([len(x) for x in base.values()]), len(pairs)
+    out = 0.0
+    for x in held:
+        for u, w in zip(["<s>", *x[:-1]], x, strict=True):
+            p = max(len(base.get(w, ())) - d0, 0) / kinds + d0 * len(base) / kinds / (len(base) + 1)
+            out += math.log10((max(pairs[u, w] - d, 0) + d * len(follow.get(u, ())) * p) / total[u] if total[u] else p)
+    return out
+
+
+def test_scores_reach_kneser_ney(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], [*re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r["text"] or "")), "</s>"]) for r in df.select("doc_id", "text").collect()]
+    out = {True: [], False: []}
+    for i, x in rows:
+        out[zlib.crc32(str(i).encode()) % 5 == 1].append(x)
+    found = pitman_yor.score(df).filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert found["sum(score)"] > kneser_ney(out[False], out[True]) > found["sum(base_score)"]
+
+
+def test_words_do_not_depend_on_the_partitions(spark, docs, monkeypatch):
+    once = {(r["doc_id"], round(r["score"], 6)) for r in pitman_yor.score(docs).collect()}
+    monkeypatch.setattr(pitman_yor, "PART", 20_000)
+    monkeypatch.setattr(pitman_yor, "TEXT", 1 << 16)
+    assert {(r["doc_id"], round(r["score"], 6)) for r in pitman_yor.score(docs).collect()} == once
 
 
 # op7

@@ -7,8 +7,9 @@ import zlib
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from cadastra.llm import pitman_yor, suffixes
-from cadastra.llm.tables import written
 
 # op6
 
@@ -30,24 +31,33 @@ def test_pairs_beyond_the_most_frequent_words(spark):
     assert score[held[0]] > score[held[1]] + 1
 
 
-def test_pair_probabilities_sum_to_one(spark):
-    texts = [("a b a b c",), ("a b b",), ("c a b a a d",), ("a " * 300,), ("b b " * 90,)]
-    train = spark.createDataFrame(texts, "text string")
-    counts, pairs = (written(f(train)) for f in (pitman_yor.count_tokens, pitman_yor.repeated_pairs))
-    total, distinct = counts.agg({"c": "sum", "w": "count"}).select("sum(c)", "count(w)").first()
-    words, pairs, d, _, unseen = pitman_yor.sampled(counts, pairs, total, distinct)
-    words = {r["w"]: r for r in words.collect()}
-    assert np.allclose(sum(np.array(r["p"]) for w, r in words.items() if w != pitman_yor.START) + unseen, 1.0)
-    repeated = {}
-    for r in pairs.collect():
-        repeated.setdefault(r["u"], []).append(r)
-    for u, r in words.items():
-        if u != pitman_yor.END:
-            once = r["c"] - sum(x["c"] for x in repeated.get(u, []))
-            tables = once + sum(x["t"] for x in repeated.get(u, []))
-            assert np.isclose(np.mean(r["t"]), tables)
-            own = once * (1 - d) + sum(x["c"] - d * x["t"] for x in repeated.get(u, []))
-            assert np.isclose((own + 1 + d * tables) / (1 + r["c"]), 1.0)
+def test_probabilities_sum_to_one(spark):
+    texts = ["a b a b c", "a b b", "c a b a a d", "a " * 300, "b b " * 90]
+    ids = split(5)[0]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").withColumn("held_out", F.lit(False))
+    coded = pitman_yor.coded(docs)
+    met = pitman_yor.counted(coded, 1)
+    row = met.filter("chunk < 0").first()
+    hashes = np.frombuffer(row["a"], dtype=np.int64)
+    at = {int(h): i + 1 for i, h in enumerate(hashes)}
+    start, end = at[int(pitman_yor.START)], at[int(pitman_yor.END)]
+    base = np.zeros(1, dtype=np.int64)
+    model = pitman_yor.Model(row["total"], row["words"], 1)
+    named = pitman_yor.named(coded, met.filter("chunk >= 0"), base)
+    words, pairs = pitman_yor.sampled(named, met, base, model, (start, 5), end)
+    w, p = (x.filter("to < 0").first() for x in (words, pairs))
+    read = pitman_yor.unsqueeze
+    c = read(w["c"])
+    c[start - 1], own = 5, np.arange(1, len(c) + 1) != start
+    for s in range(pitman_yor.SAMPLES):
+        prob = model.parent(s, *(read(w[k][s]).astype(float) for k in ("gs", "t0s")))
+        assert np.isclose(prob[own].sum() + model.parent(s, np.zeros(1), np.zeros(1))[0], 1.0)
+    u, pc, ts = pitman_yor.unsteps(p["u"]), read(p["c"]), read(p["ts"])
+    tables = sum(read(x) for x in w["tus"])
+    for i in range(1, len(c) + 1):
+        if i != end:  # all tables of a context: one for each pair that occurs once, and those of the others
+            once = c[i - 1] - pc[u == i].sum()
+            assert tables[i - 1] == once * pitman_yor.SAMPLES + ts[u == i].sum()
 
 
 # op2
