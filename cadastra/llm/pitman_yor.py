@@ -616,7 +616,7 @@ def score(docs: DataFrame) -> DataFrame:
     discard(texts)
     words, pairs = sampled(known, met, base, model, (start, train_docs), end)
     discard(met)
-    told = written(told_pairs(known, pairs, parts).unionByName(told_words_again(known, words, base)))
+    told = told_pairs(known, pairs, parts).unionByName(told_words_again(known, words, base))
     low = total + 0.5 * (distinct + 1)
 
     def judge(text: pa.Table, told: pa.Table) -> pa.Table:
