@@ -34,6 +34,7 @@ Words are known by 63-bit hashes.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.llm.langid import held_out
-from cadastra.llm.tables import discard, written
+from cadastra.llm.tables import discard, settle, written
 from cadastra.llm.text import U, chunks, hash_spans, mix, mix_int
 
 BURN, SAMPLES = 2, 3
@@ -50,8 +51,8 @@ BURN, SAMPLES = 2, 3
 TOP, GRID = 512, 1024
 #: Grids of discounts and strengths.
 DISCOUNTS, STRENGTHS = np.linspace(0.05, 0.95, 19), 2.0 ** np.arange(-3, 10)
-#: Bytes of text in a chunk, tokens for each partition of words and of pairs.
-TEXT, PART = 8 << 20, 2_000_000
+#: Bytes of text in a chunk, tokens for each partition of words and of pairs, turns in which the chunks are scored.
+TEXT, PART, TURNS = 8 << 20, 2_000_000, 3
 #: The end of a text as a token, and its start as a context.
 END, START = np.int64(mix_int(0xE0F) >> 1), np.int64(mix_int(0x57A) >> 1)
 SEED = 11
@@ -616,7 +617,6 @@ def score(docs: DataFrame) -> DataFrame:
     discard(texts)
     words, pairs = sampled(known, met, base, model, (start, train_docs), end)
     discard(met)
-    told = told_pairs(known, pairs, parts).unionByName(told_words_again(known, words, base))
     low = total + 0.5 * (distinct + 1)
 
     def judge(text: pa.Table, told: pa.Table) -> pa.Table:
@@ -666,4 +666,15 @@ def score(docs: DataFrame) -> DataFrame:
         }
         return pa.table(values)
 
-    return known.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(judge, spark)
+    scores = []
+    for turn in range(TURNS):  # a part of the chunks at a time, so that what travels takes a part of the disk
+        own = known.filter(F.pmod(F.xxhash64("chunk"), F.lit(TURNS)) == turn)
+        told = told_pairs(own, pairs, parts).unionByName(told_words_again(own, words, base))
+        scores.append(written(own.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(judge, spark)))
+        del own, told
+        if turn == TURNS - 1:
+            for table in (known, words, pairs):
+                discard(table)
+        else:
+            settle(known)
+    return functools.reduce(DataFrame.unionByName, scores)

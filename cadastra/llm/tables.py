@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,13 +33,19 @@ def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(df: DataFrame) -> None:
+    """Lets Spark drop the shuffles and broadcasts that no table in use needs."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
-    """Deletes the files of a written table that nothing reads any more, and lets Spark drop shuffles out of use."""
+    """Deletes the files of a written table that nothing reads any more."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         at = jvm.org.apache.hadoop.fs.Path(folder)
         at.getFileSystem(conf).delete(at, True)
-    jvm.System.gc()
+    settle(df)
 
 
 def small(df: DataFrame, row_bytes: int, rows: int | None = None, bound: int = BROADCAST_BYTES) -> DataFrame:
