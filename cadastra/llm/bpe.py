@@ -17,13 +17,16 @@ import base64
 import struct
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Distinct pre-tokens whose ids a task remembers; the memory is emptied when full.
-REMEMBERED = 200_000
+from cadastra.llm.text import frugal, slices
+
+#: Bytes (about) of distinct pre-tokens and their ids that a task remembers; the memory is emptied when full.
+REMEMBERED = 48 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -73,71 +76,94 @@ def serialise(tokens: list[bytes]) -> bytes:
     return b"".join(pieces) + unk + _field(2, trainer) + _field(3, normaliser)
 
 
-def _replace(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
-    keep = [i for i, n in enumerate(batch.schema.names) if n != name]
-    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), column], names=[*(batch.schema.names[i] for i in keep), name])
+class Coder:
+    """Encodes and decodes single texts; distinct pre-tokens are remembered up to REMEMBERED bytes."""
 
+    def __init__(self, tokens: list[bytes], model: bytes, pattern: str):
+        import regex
+        import sentencepiece
 
-def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*(f for f in df.schema.fields if f.name != name), T.StructField(name, kind)])
+        self.whole = {t: (rank,) for rank, t in enumerate(tokens)}
+        self.spm = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.chars = {b: c for b, c in enumerate(byte_characters())}
+        self.split, self.known, self.held = regex.compile(pattern).findall, {}, 0
+
+    def ids(self, text: str) -> np.ndarray:
+        pre = self.split(text)
+        if self.held > REMEMBERED:
+            self.known.clear()
+            self.held = 0
+        known, todo = self.known, []
+        for t in set(pre):
+            if t not in known:
+                raw = t.encode()
+                if raw in self.whole:  # a pre-token that is a token needs no merges
+                    known[t] = self.whole[raw]
+                    self.held += 250
+                else:
+                    todo.append((t, raw.decode("latin-1").translate(self.chars)))
+        if todo:
+            for (t, mapped), ids in zip(todo, self.spm.encode([m for _, m in todo], num_threads=1), strict=True):
+                known[t] = tuple(ids)
+                self.held += 250 + 4 * len(mapped) + 40 * len(ids)
+        return np.fromiter(chain.from_iterable(map(known.__getitem__, pre)), dtype=np.int32)
+
+
+def _schema(df: DataFrame, kinds: dict[str, T.DataType]) -> T.StructType:
+    return T.StructType([*(f for f in df.schema.fields if f.name not in kinds), *(T.StructField(n, k) for n, k in kinds.items())])
+
+
+def _coded(df: DataFrame, tokens: list[bytes], pattern: str, source: str, outputs: dict[str, str]) -> DataFrame:
+    """df with the outputs (name: "ids" or "decoded") of its source column, which holds texts if ids are asked for, else ids."""
+    encode = "ids" in outputs.values()
+    shared = df.sparkSession.sparkContext.broadcast((tokens, serialise(tokens) if encode else b""))
+    keep = [c for c in df.columns if c not in outputs]
+    kinds = {"ids": T.ArrayType(T.IntegerType()), "decoded": T.BinaryType()}
+
+    def run(batches):
+        tokens, model = shared.value
+        coder = Coder(tokens, model, pattern) if encode else None
+        at = tokens.__getitem__
+        for b in slices(batches, column=source) if encode else batches:
+            found = {"ids": [], "decoded": []}
+            for x in b.column(source):
+                if encode:
+                    ids = coder.ids(x.as_py() or "")
+                else:
+                    ids = x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int32)
+                found["ids"].append(ids)
+                if "decoded" in outputs.values():
+                    found["decoded"].append(b"".join(map(at, ids.tolist())))
+            columns = []
+            for kind in outputs.values():
+                if kind == "ids":
+                    offs = np.cumsum([0, *map(len, found["ids"])]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate([np.zeros(0, np.int32), *found["ids"]]))))
+                else:
+                    columns.append(pa.array(found["decoded"], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *columns], names=[*keep, *outputs])
+
+    return df.mapInArrow(frugal(run), _schema(df, {n: kinds[k] for n, k in outputs.items()}))
 
 
 def encode(df: DataFrame, tokens: list[bytes], pattern: str, column: str = "text", output: str = "ids") -> DataFrame:
     """df with the ids of its text column as array<int>."""
-    shared = df.sparkSession.sparkContext.broadcast((tokens, serialise(tokens)))
-
-    def run(batches):
-        import numpy as np
-        import regex
-        import sentencepiece
-
-        tokens, model = shared.value
-        whole = {t: (rank,) for rank, t in enumerate(tokens)}
-        spm = sentencepiece.SentencePieceProcessor(model_proto=model)
-        chars = {b: c for b, c in enumerate(byte_characters())}
-        split, known = regex.compile(pattern).findall, {}
-        for batch in batches:
-            offs, parts = [0], []
-            for text in batch.column(column):
-                pre = split(text.as_py() or "")
-                if len(known) > REMEMBERED:
-                    known.clear()
-                fresh = [t for t in set(pre) if t not in known]
-                todo = []
-                for t in fresh:
-                    raw = t.encode()
-                    if raw in whole:  # a pre-token that is a token needs no merges
-                        known[t] = whole[raw]
-                    else:
-                        todo.append((t, raw.decode("latin-1").translate(chars)))
-                if todo:
-                    for (t, _), ids in zip(todo, spm.encode([m for _, m in todo], num_threads=1), strict=True):
-                        known[t] = tuple(ids)
-                ids = np.fromiter(chain.from_iterable(map(known.__getitem__, pre)), dtype=np.int32)
-                parts.append(ids)
-                offs.append(offs[-1] + len(ids))
-            values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            yield _replace(batch, output, pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(values)))
-
-    return df.mapInArrow(run, _with(df, output, T.ArrayType(T.IntegerType())))
+    return _coded(df, tokens, pattern, column, {output: "ids"})
 
 
 def decode(df: DataFrame, tokens: list[bytes], column: str = "ids", output: str = "decoded") -> DataFrame:
     """df with the bytes of its ids."""
-    shared = df.sparkSession.sparkContext.broadcast(tokens)
+    return _coded(df, tokens, "", column, {output: "decoded"})
 
-    def run(batches):
-        at = shared.value.__getitem__
-        for batch in batches:
-            texts = [b"".join(map(at, ids.values.to_numpy(zero_copy_only=False).tolist())) if ids.is_valid else b"" for ids in batch.column(column)]
-            yield _replace(batch, output, pa.array(texts, pa.binary()))
 
-    return df.mapInArrow(run, _with(df, output, T.BinaryType()))
+def round_trip(df: DataFrame, tokens: list[bytes], pattern: str, column: str = "text") -> DataFrame:
+    """df with ids and, from these, decoded: both in one step."""
+    return _coded(df, tokens, pattern, column, {"ids": "ids", "decoded": "decoded"})
 
 
 def digests(docs: DataFrame, tokens: list[bytes], pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document: encoded, then decoded from the ids."""
-    coded = decode(encode(docs.select("doc_id", "text"), tokens, pattern).drop("text"), tokens)
+    coded = round_trip(docs.select("doc_id", "text"), tokens, pattern)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

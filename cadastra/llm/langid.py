@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.llm.tables import written
-from cadastra.llm.text import U
+from cadastra.llm.text import U, frugal
 
 SAMPLE_DOCS = 1500
 ROUNDS = 3
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, names: list[str], rounds: int = ROUNDS, sample_docs: in
         return [], np.zeros((len(names), 0))
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, int(min(1.0, sample_docs / seen[k]) * 1_000_000))])
     sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < F.element_at(share, F.col("lang")))
-    words = written(sample.mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    words = written(sample.mapInArrow(frugal(_words), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     at = {k: i for i, k in enumerate(langs)}
     table = np.full((len(names), len(langs)), 1.0 / len(names))
     context = docs.sparkSession.sparkContext
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, names: list[str], rounds: int = ROUNDS, sample_docs: in
             row, k = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(total[row, k])], names=["row", "k", "n"])
 
-        counts = words.mapInArrow(gather, "row int, k int, n double").groupBy("row", "k").agg(F.round(F.sum("n"), 3).alias("n")).collect()
+        counts = words.mapInArrow(frugal(gather), "row int, k int, n double").groupBy("row", "k").agg(F.round(F.sum("n"), 3).alias("n")).collect()
         table = np.full((len(names), len(langs)), SMOOTHING)
         for r in counts:  # at most the vocabulary times the labels
             table[r["row"], r["k"]] += r["n"]
@@ -236,7 +236,7 @@ def predict(docs: DataFrame, names: list[str], langs: list[str], table: np.ndarr
     from pyspark.sql import types as T
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def identify(docs: DataFrame, names: list[str]) -> DataFrame:

@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 
 from cadastra.llm.graph import components
 from cadastra.llm.tables import fresh, parallelism, small, written
-from cadastra.llm.text import U, chunks, hash_spans, mix, mix_int, shingles, slices
+from cadastra.llm.text import U, chunks, frugal, hash_spans, mix, mix_int, shingles, slices
 
-#: Rows of a block of the product, columns multiplied at once.
-BLOCK, COLUMNS = 512, 4096
+#: Rows of a block of the product, columns multiplied at once, entries of the incidence matrix for each partition of its columns.
+BLOCK, COLUMNS, ENTRIES = 512, 4096, 2_000_000
 
 
 def shingle_sets(texts: pa.Array, k: int):
@@ -79,16 +79,16 @@ def _rows(names, *arrays):
 
 
 def classes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, cls (null for an empty set)."""
+    """doc_id, key, n_shingles, cls (null for an empty set) of (doc_id, key, text)."""
 
     def run(batches):
         for b in slices(batches):
             sets = list(shingle_sets(b.column("text"), k))
             cls = [set_class(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64())], names=["doc_id", "n_shingles", "cls"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64())], names=["doc_id", "key", "n_shingles", "cls"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, cls long")
+    return docs.select("doc_id", "key", "text").mapInArrow(frugal(run), f"doc_id {kind}, key long, n_shingles long, cls long")
 
 
 PACKED = "to_part int, owners binary, sizes binary, counts binary, h binary, df binary"
@@ -159,9 +159,8 @@ def _sets(b, k: int, wanted: list | None = None):
     return np.array(list(seen), dtype=np.int64), sizes, np.repeat(np.arange(len(sets)), sizes), np.concatenate([np.zeros(0, U), *sets])
 
 
-def _dealt_columns(df: DataFrame, k: int, narrow: bool, wanted: bool) -> DataFrame:
+def _dealt_columns(df: DataFrame, k: int, parts: int, narrow: bool, wanted: bool) -> DataFrame:
     """The incidence matrix dealt by columns; narrow: 32 bits of a column's hash beside its part, which only ever join too much."""
-    parts = parallelism(df.sparkSession)
 
     def show(batches):
         for b in slices(batches):
@@ -170,12 +169,11 @@ def _dealt_columns(df: DataFrame, k: int, narrow: bool, wanted: bool) -> DataFra
                 yield _deal(_part_of(h, parts), owner, cls, sizes, h.astype(np.uint32) if narrow else h, np.zeros(len(h), np.uint8), parts)
 
     columns = ["text", "cls"] if wanted else ["text"]
-    return df.select(*columns).mapInArrow(show, PACKED).repartition(parts, "to_part")
+    return df.select(*columns).mapInArrow(frugal(show), PACKED).repartition(parts, "to_part")
 
 
-def repeated_counts(docs: DataFrame, k: int) -> DataFrame:
+def repeated_counts(docs: DataFrame, k: int, parts: int) -> DataFrame:
     """(cls, repeated): how many of a class's shingles occur in other classes too (a few more at worst)."""
-    parts = parallelism(docs.sparkSession)
 
     def count(batches):
         owner, _, h, _ = _gather(_no_df(batches), np.uint32)
@@ -194,8 +192,8 @@ def repeated_counts(docs: DataFrame, k: int) -> DataFrame:
         np.add.at(sums, at, np.concatenate(n).astype(np.int64))
         yield _rows(["cls", "repeated"], own, sums)
 
-    counted = _dealt_columns(docs, k, True, False).mapInArrow(count, PACKED)
-    return counted.repartition(parts, "to_part").mapInArrow(total, "cls long, repeated long")
+    counted = _dealt_columns(docs, k, parts, True, False).mapInArrow(frugal(count), PACKED)
+    return counted.repartition(parts, "to_part").mapInArrow(frugal(total), "cls long, repeated long")
 
 
 def _no_df(batches):
@@ -205,9 +203,8 @@ def _no_df(batches):
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("owners", "sizes", "counts", "h")), empty], names=["owners", "sizes", "counts", "h", "df"])
 
 
-def candidates(kept: DataFrame, k: int, percent: int) -> DataFrame:
+def candidates(kept: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
     """Edges (a, b) between classes that show a column; each column's classes form a star. kept: (text, cls)."""
-    parts = parallelism(kept.sparkSession)
 
     def order(batches):
         owner, size, h, df = _repeated(*_gather(_no_df(batches), U)[:3])
@@ -235,9 +232,9 @@ def candidates(kept: DataFrame, k: int, percent: int) -> DataFrame:
         pairs = np.unique(np.stack([y[rows][~first], head[~first]], axis=1), axis=0)
         yield _rows(["a", "b"], pairs[:, 0].copy(), pairs[:, 1].copy())
 
-    ordered = _dealt_columns(kept, k, False, True).mapInArrow(order, PACKED)
-    shown = ordered.repartition(parts, "to_part").mapInArrow(show, "x long, y long")
-    return shown.repartition(parts, "x").mapInArrow(meet, "a long, b long").distinct()
+    ordered = _dealt_columns(kept, k, parts, False, True).mapInArrow(frugal(order), PACKED)
+    shown = ordered.repartition(parts, "to_part").mapInArrow(frugal(show), "x long, y long")
+    return shown.repartition(parts, "x").mapInArrow(frugal(meet), "a long, b long").distinct()
 
 
 def product(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> np.ndarray:
@@ -312,56 +309,76 @@ def _links(batches, percent):
         yield out
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for each document.
-
-    Two documents link when 100 * intersection >= percent * union of their shingle
-    sets; n_links counts the other sets linked with a document's own.
-    """
-    docs = docs.select("doc_id", "text")
+def linked_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, key, n_shingles, n_links, root (any class of the row's component; null for an empty set) and least (doc_id, key): the component's first row, of (doc_id, key, text)."""
     spark = docs.sparkSession
     rows = written(classes(docs, k))
-    reps = rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
-    able = repeated_counts(docs, k).join(reps, "cls").filter(F.col("repeated") * 100 >= F.col("n") * percent)
+    parts = max(parallelism(spark), -(-(rows.agg(F.sum("n_shingles")).first()[0] or 0) // ENTRIES))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
+    reps = rows.filter("cls IS NOT NULL").groupBy("cls").agg(first, F.first("n_shingles").alias("n"))
+    reps = written(reps.withColumn("rep", F.col("least.key")))
+    able = repeated_counts(docs, k, parts).join(reps, "cls").filter(F.col("repeated") * 100 >= F.col("n") * percent)
     able = written(able.select("cls", "rep"))
-    kept = docs.join(small(able, 24), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "cls")
-    near = components(candidates(kept, k, percent)).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
+    kept = docs.join(small(able, 24), F.col("key") == F.col("rep")).select("text", "cls")
+    near = components(candidates(kept, k, percent, parts)).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
     blocks = near.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     near = near.join(blocks, "comp").withColumn("blk", F.pmod(F.xxhash64("cls", F.lit("row")), F.col("blocks")).cast("int"))
     shown = written(able.join(near, "cls"))
 
     def sets(batches):
         keep = ["cls", "comp", "blocks", "blk"]
-        for b in batches:
+        for b in slices(batches):
             found = list(shingle_sets(b.column("text"), k))
             right = pa.array([set_class(s) == c for s, c in zip(found, b.column("cls").to_pylist(), strict=True)], pa.bool_())
             out = pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([s.tobytes() for s in found], pa.binary())], names=[*keep, "hashes"])
-            yield out.filter(right)  # a repeated doc_id may bring another text
+            yield out.filter(right)  # rows of equal keys may differ in text, if hashes meet
 
-    texts = docs.join(small(shown, 48), F.col("doc_id").eqNullSafe(F.col("rep")))
-    matrix = texts.select("text", "cls", "comp", "blocks", "blk").mapInArrow(sets, "cls long, comp long, blocks int, blk int, hashes binary")
+    texts = docs.join(small(shown, 48), F.col("key") == F.col("rep"))
+    matrix = texts.select("text", "cls", "comp", "blocks", "blk").mapInArrow(frugal(sets), "cls long, comp long, blocks int, blk int, hashes binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     matrix = matrix.select("comp", "cls", "blk", "hashes", other.alias("o")).select("comp", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "cls", "blk", "hashes")
-    matrix = matrix.repartition(parallelism(spark), "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    links = written(matrix.mapInArrow(lambda b: _links(b, percent), "a long, b long, links long"))
+    matrix = matrix.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+    links = written(matrix.mapInArrow(frugal(lambda b: _links(b, percent)), "a long, b long, links long"))
 
+    # components meet as classes, each of which stands for all its copies; only then rows learn of them
     roots = components(links.select("a", "b"))
     counts = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
-    linked = roots.join(counts, "node", "left").withColumnRenamed("node", "cls")
-    rows = rows.join(linked, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    rows = rows.join(least, "root", "left")
-    component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    linked = written(roots.join(counts, "node", "left").withColumnRenamed("node", "cls"))
+    every = reps.select("cls", "least").join(small(linked, 40), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    joined = every.filter("n_links IS NOT NULL").groupBy("root").agg(F.min("least").alias("lowest"))
+    every = written(every.join(small(written(joined), 64), "root", "left").select("cls", "root", "n_links", F.coalesce("lowest", "least").alias("least")))
+    return rows.join(small(every, 64), "cls", "left").select("doc_id", "key", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "root", "least")
+
+
+def with_keys(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+
+
+def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for each document.
+
+    Two documents link when 100 * intersection >= percent * union of their shingle
+    sets; n_links counts the other sets linked with a document's own.
+    """
+    rows = linked_rows(with_keys(docs), k, percent)
+    component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), "n_links")
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with the smallest doc_id of their group, with the columns of docs; documents without doc_id stay."""
-    found = written(join(docs, k, percent))
-    (name,) = fresh(docs, "_stay")
-    stay = written(found.filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct())
-    kept = docs.join(small(stay, 8), F.col("doc_id") == F.col(name)).drop(name)
-    ids = found.filter("doc_id = component_id").count()
-    if stay.count() < ids:  # repeated doc_ids: one row of each
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    """One document of each group, with the columns of docs: the one with the smallest doc_id, those without last.
+
+    Documents without words stay, as they are linked with nothing; of rows alike in
+    doc_id and text one stays, and so do different texts of one doc_id that nothing links.
+    """
+    found = written(linked_rows(with_keys(docs), k, percent))
+    key, row = fresh(docs, "_stay", "_key")
+    first = F.col("root").isNotNull() & (F.col("key") == F.col("least.key")) & F.col("doc_id").eqNullSafe(F.col("least.doc_id"))
+    stay = written(found.filter(first).select(F.col("key").alias(key)).distinct())
+    rows = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    kept = rows.join(small(stay, 8), F.col(row) == F.col(key)).drop(key)
+    if found.filter(first).count() > stay.count():
+        kept = kept.dropDuplicates([row])
+    bare = found.filter("root IS NULL").select(F.col("key").alias(key)).distinct()
+    empty = rows.join(small(written(bare), 8), F.col(row) == F.col(key), "left_semi")
+    return kept.unionByName(empty).drop(row)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadastra.llm.tables import fresh, small, written
+from cadastra.llm.text import frugal
 
 KEY = b"cadastra surrogate key"
 MASCULINE = ("Mr", "Sir", "Herr", "Señor", "Sr", "Monsieur", "Господин", "Κύριος")
@@ -174,7 +175,7 @@ def _found(batches):
 
 def redrawn(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """(kind, value, attempt) of the entities whose first surrogate is taken by another one or is itself an entity."""
-    every = written(docs.select("text").mapInArrow(_found, "kind string, value string").distinct())
+    every = written(docs.select("text").mapInArrow(frugal(_found), "kind string, value string").distinct())
 
     def draw(batches):
         for b in batches:
@@ -242,4 +243,4 @@ def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             cols = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([len(x) for x in found], pa.int64()), pa.array(found, arrow)], names=[*keep, "n_entities", "entities"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)

@@ -29,6 +29,10 @@ from cadastra.llm.tables import BROADCAST_BYTES, parallelism, written
 from cadastra.llm.text import U, Rolling, chunks, hash_spans, mix
 
 
+#: Bytes of text for each partition in which hashes meet.
+PART = 16 << 20
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text (null as empty) and a row's key."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
@@ -62,9 +66,9 @@ def inside(first: np.ndarray, n_words: int, window: int, least: int) -> np.ndarr
     return ok
 
 
-def hit_blocks(docs: DataFrame, window: int) -> DataFrame:
+def hit_blocks(docs: DataFrame, window: int, parts: int) -> DataFrame:
     """(key, blocks): the numbers of a row's reference blocks that also occur at another place, as packed int32."""
-    size, parts = (window + 1) // 2, parallelism(docs.sparkSession)
+    size = (window + 1) // 2
 
     def show(batches):
         rolling = Rolling()
@@ -127,14 +131,16 @@ def _runs(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 def repeats(docs: DataFrame, window: int) -> DataFrame:
     """(key, spans): a row's words that repeated windows cover, as packed int32 pairs (first, end). Rows without any are absent."""
-    size, parts = (window + 1) // 2, parallelism(docs.sparkSession)
+    size = (window + 1) // 2
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(parallelism(docs.sparkSession), -(-total // PART))
 
     def pack(batches):
         for b in batches:
             packed = [np.array(x.as_py(), dtype=np.int32).tobytes() for x in b.column("numbers")]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(packed, pa.binary())], names=["hit_key", "blocks"])
 
-    hits = written(hit_blocks(docs, window).mapInArrow(pack, "hit_key long, blocks binary"))
+    hits = written(hit_blocks(docs, window, parts).mapInArrow(pack, "hit_key long, blocks binary"))
 
     def extend(batches):
         rolling = Rolling()

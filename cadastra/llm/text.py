@@ -8,10 +8,13 @@ word hashes. Two different sequences share a 64-bit hash with a chance of 2^-64.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 SPACE = np.zeros(256, dtype=bool)
@@ -35,11 +38,33 @@ def mix_int(x: int) -> int:
     return int(mix(np.array([x & (2**64 - 1)], dtype=U))[0])
 
 
-def slices(batches, rows: int = 1500):
-    """Arrow batches cut to so many rows, for steps that hold a batch's words or shingles at once."""
+def slices(batches, rows: int = 1500, column: str = "text", size: int = 4 << 20):
+    """Arrow batches cut to so many rows and about so many bytes of a column, for steps that hold a batch's words or shingles at once."""
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        if not b.num_rows:
+            continue
+        lengths = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto = np.cumsum(lengths)
+        i = 0
+        while i < b.num_rows:
+            start = upto[i] - lengths[i]
+            j = min(i + rows, b.num_rows, max(i + 1, int(np.searchsorted(upto, start + size, side="right"))))
+            yield b.slice(i, j - i)
+            i = j
+
+
+def frugal(run):
+    """A function over batches that gives freed memory back to the system at its end, as its worker stays for other steps."""
+
+    @functools.wraps(run)
+    def bounded(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim is not None:
+            trim(0)
+
+    return bounded
 
 
 class Chunk:

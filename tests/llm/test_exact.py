@@ -89,6 +89,9 @@ def test_keep_first(spark, docs):
     kept = ngram_join.keep_first(docs)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {c for _, _, c in components(pairs(docs), 5, 80)}
+    rows = [(3, "one two three four five six"), (3, "seven eight nine ten eleven twelve"), (4, "one two three four five six"), (4, "a b c d e f"), (3, "one two three four five six"), (None, "a b c d e f"), (None, "g h i j k l"), (None, None), (5, "")]
+    kept = ngram_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in kept) == collections.Counter([rows[0], rows[1], rows[3], rows[6], rows[7], rows[8]])
     assert ngram_join.keep_first(empty(spark)).count() == 0
 
 
