@@ -14,17 +14,8 @@ from cadastra.llm.tables import shared_dir, table
 LEAST_SCORE = 0.5
 
 
-#: Rows of a batch between Spark and Python while the pipeline runs: whole texts of 10,000 rows, the default, fill an executor.
-BATCH_ROWS = "2000"
-
-
-def small_batches(spark):
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-
-
 def language(spark, docs, sf_dir):
     """Language ID: documents without an identified language go."""
-    small_batches(spark)
     names = langid.pieces(public_tokenizers.path("piece_bpe_32k.model"))
     langs, model = langid.fit(docs.filter(~langid.held_out()), names)
     found = langid.predict(docs, names, langs, model)
@@ -33,13 +24,11 @@ def language(spark, docs, sf_dir):
 
 def near_duplicates(spark, docs, sf_dir):
     """N-gram Jaccard join on five words at 0.8: the smallest doc_id of each group stays."""
-    small_batches(spark)
     return ngram_join.keep_first(docs, k=5, percent=80)
 
 
 def surrogates(spark, docs, sf_dir):
     """PII: entities give way to surrogates; n_chars follows the text."""
-    small_batches(spark)
     return pii.replace(docs).drop("n_entities", "entities").withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
@@ -50,10 +39,9 @@ def mixture(spark, docs, sf_dir):
 
 def tokens(spark, docs, sf_dir):
     """Byte-level BPE: the documents with the ids of their tokens, which decode to their texts."""
-    small_batches(spark)
     vocabulary = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    coded = bpe.encode(docs, vocabulary, public_tokenizers.PATTERN)
-    decoded = bpe.decode(coded, vocabulary).withColumn("text", F.decode("decoded", "UTF-8")).drop("decoded")
+    coded = bpe.round_trip(docs, vocabulary, public_tokenizers.PATTERN)
+    decoded = coded.withColumn("text", F.decode("decoded", "UTF-8")).drop("decoded")
     return decoded.withColumn("n_tokens", F.size("ids").cast("long")).select(*docs.columns, "n_tokens", "ids")
 
 
