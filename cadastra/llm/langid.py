@@ -29,8 +29,8 @@ SAMPLE_DOCS = 1500
 ROUNDS = 3
 #: Added to each piece's expected count, and the probability of a letter that no piece covers.
 SMOOTHING, UNKNOWN = 0.05, 1e-7
-#: Longest piece in letters, longest part of a word that is scored at once, words a task remembers.
-PIECE, PART, REMEMBERED = 16, 32, 150_000
+#: Letters of a word (with its mark) up to which words of one length are summed together, words a task remembers.
+SHORT, REMEMBERED = 32, 150_000
 #: Texts whose new words are scored together.
 GROUP = 250
 WORD = r"\p{L}[\p{L}\p{M}]*"
@@ -42,14 +42,7 @@ def pieces(model_path: str) -> list[str]:
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=model_path)
-    found = [m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
-    return [p for p in found if len(p) <= PIECE]
-
-
-def parts(word: str) -> list[str]:
-    """A marked word in parts of at most PART letters."""
-    word = MARK + word
-    return [word[i : i + PART] for i in range(0, len(word), PART)]
+    return [m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
 
 
 def _step(h: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -68,6 +61,7 @@ class Segmenter:
 
     def __init__(self, names: list[str], probabilities: np.ndarray):
         self.p = np.asarray(probabilities, dtype=np.float64).reshape(len(names), -1)
+        self.longest = max(map(len, names), default=1)
         by_length: dict[int, list[int]] = {}
         for i, name in enumerate(names):
             by_length.setdefault(len(name), []).append(i)
@@ -89,7 +83,7 @@ class Segmenter:
         every = np.arange(len(codes))
         for i in range(codes.shape[1]):
             at, h = every, np.zeros(len(codes), dtype=U)
-            for j in range(i + 1, min(codes.shape[1], i + PIECE) + 1):
+            for j in range(i + 1, min(codes.shape[1], i + self.longest) + 1):
                 h = _step(h, codes[at, j - 1])
                 place = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
                 hit = self.hash[place] == h
@@ -113,21 +107,57 @@ class Segmenter:
 
     @staticmethod
     def grouped(words: list[str]):
-        """(word numbers, code points) of the words' parts, of equal length and not too many at once."""
-        by_length: dict[int, list[tuple[int, str]]] = {}
+        """(word numbers, code points) of the short words with their marks, of equal length and not too many at once."""
+        by_length: dict[int, list[int]] = {}
         for i, word in enumerate(words):
-            for part in parts(word):
-                by_length.setdefault(len(part), []).append((i, part))
+            if len(word) < SHORT:
+                by_length.setdefault(len(word), []).append(i)
         for group in by_length.values():
             for k in range(0, len(group), 4096):
-                number, part = zip(*group[k : k + 4096], strict=True)
-                yield np.array(number), _codes(list(part))
+                number = group[k : k + 4096]
+                yield np.array(number), _codes([MARK + words[i] for i in number])
+
+    def lattice(self, word: str) -> np.ndarray:
+        """[i, n]: the piece of n + 1 letters from letter i of a marked word on, or -1."""
+        codes = _codes([MARK + word])[0]
+        rows = np.full((len(codes), self.longest), -1)
+        h, at = np.zeros(len(codes), dtype=U), np.arange(len(codes))
+        for n in range(self.longest):
+            at = at[at + n < len(codes)]
+            if not len(at):
+                break
+            h[at] = _step(h[at], codes[at + n])
+            place = np.minimum(np.searchsorted(self.hash, h[at]), len(self.hash) - 1)
+            hit = self.hash[place] == h[at]
+            rows[at[hit], n] = self.row[place[hit]]
+            at = at[hit]
+        return rows
+
+    def _arcs_of(self, rows: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of letters and pieces (-1: a letter that no piece covers) of the steps from letter i on."""
+        n = np.flatnonzero(rows[i] >= 0)
+        if not len(n) or n[0] > 0:
+            n = np.append(0, n)
+        return n + 1, rows[i, n]
+
+    def long_forward(self, rows: np.ndarray) -> np.ndarray:
+        """[i, language]: the log probability of the first i letters of a long word; logarithms, as it would underflow."""
+        logs = np.log(np.vstack([self.p, np.full(self.p.shape[1], UNKNOWN)]))
+        alpha = np.full((len(rows) + 1, self.p.shape[1]), -np.inf)
+        alpha[0] = 0.0
+        for i in range(len(rows)):
+            n, row = self._arcs_of(rows, i)
+            alpha[i + n] = np.logaddexp(alpha[i + n], alpha[i] + logs[row])
+        return alpha
 
     def logs(self, words: list[str]) -> np.ndarray:
         """The log probability of each word in each language."""
         total = np.zeros((len(words), self.p.shape[1]))
         for number, codes in self.grouped(words):
-            np.add.at(total, number, np.log(self.forward(codes, self.arcs(codes))[-1]))
+            total[number] = np.log(self.forward(codes, self.arcs(codes))[-1])
+        for i, word in enumerate(words):
+            if len(word) >= SHORT:
+                total[i] = self.long_forward(self.lattice(word))[-1]
         return total
 
     def expected(self, words: list[str], k: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -146,6 +176,19 @@ class Segmenter:
                 if row is not None:
                     share = alpha[i, at] * self.p[row, lang[at]] * beta[j, at] * scale[at]
                     np.add.at(counts, row * size[1] + lang[at], share)
+        for word, lang, n in zip(words, k.tolist(), times.tolist(), strict=True):
+            if len(word) >= SHORT:
+                rows = self.lattice(word)
+                own = np.append(np.log(self.p[:, lang]), np.log(UNKNOWN))
+                alpha = self.long_forward(rows)[:, lang]
+                beta = np.full(len(rows) + 1, -np.inf)
+                beta[-1] = 0.0
+                for i in range(len(rows) - 1, -1, -1):
+                    step, row = self._arcs_of(rows, i)
+                    logs = own[row] + beta[i + step]
+                    beta[i] = np.logaddexp.reduce(logs)
+                    seen = row >= 0
+                    np.add.at(counts, row[seen] * size[1] + lang, n * np.exp(alpha[i] + logs[seen] - alpha[-1]))
         return counts.reshape(size)
 
 

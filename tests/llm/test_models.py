@@ -260,3 +260,14 @@ def test_forward_sums_all_segmentations():
             assert math.isclose(model.logs([w])[0, k], math.log(brute(langid.MARK + w, dict(zip(names, p[:, k], strict=True)))))
     counts = model.expected(["ab"], np.array([0]), np.array([1.0]))[:, 0]
     assert math.isclose(sum(c * len(n) for c, n in zip(counts, names, strict=True)), 3.0)
+
+
+def test_long_words_are_summed_whole():
+    names, p = ["▁", "a", "b", "ab", "▁a", "ba", "aba", "▁ab"], np.random.default_rng(1).random((8, 2))
+    model, word = langid.Segmenter(names, p), "abcab" * 3
+    short = model.logs([word])
+    long_ = model.long_forward(model.lattice(word))[-1]
+    assert np.allclose(short[0], long_) and math.isclose(long_[0], math.log(brute(langid.MARK + word, dict(zip(names, p[:, 0], strict=True)))))
+    counts = model.expected(["ab" * 40], np.array([1]), np.array([2.0]))[:, 1]
+    assert math.isclose(sum(c * len(n) for c, n in zip(counts, names, strict=True)), 2 * 81.0)
+    assert np.isfinite(model.logs(["x" * 3000])).all()
