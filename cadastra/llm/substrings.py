@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.llm.tables import BROADCAST_BYTES, parallelism, written
-from cadastra.llm.text import U, Rolling, chunks, hash_spans, mix
+from cadastra.llm.text import U, Rolling, chunks, frugal, hash_spans, mix, slices
 
 
 #: Bytes of text for each partition in which hashes meet.
@@ -116,8 +116,8 @@ def hit_blocks(docs: DataFrame, window: int, parts: int) -> DataFrame:
         hit = again[at] == ref if len(again) else np.zeros(len(ref), dtype=bool)
         yield pa.RecordBatch.from_arrays([pa.array(owner[hit]), pa.array(number[hit])], names=["key", "number"])
 
-    shown = docs.select("key", "text").mapInArrow(show, "p int, probe binary, ref binary, owner binary, number binary")
-    hits = shown.repartition(parts, "p").mapInArrow(meet, "key long, number int")
+    shown = docs.select("key", "text").mapInArrow(frugal(show), "p int, probe binary, ref binary, owner binary, number binary")
+    hits = shown.repartition(parts, "p").mapInArrow(frugal(meet), "key long, number int")
     return hits.groupBy("key").agg(F.collect_set("number").alias("numbers"))
 
 
@@ -140,7 +140,7 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
             packed = [np.array(x.as_py(), dtype=np.int32).tobytes() for x in b.column("numbers")]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(packed, pa.binary())], names=["hit_key", "blocks"])
 
-    hits = written(hit_blocks(docs, window, parts).mapInArrow(pack, "hit_key long, blocks binary"))
+    hits = written(hit_blocks(docs, window, parts).mapInArrow(frugal(pack), "hit_key long, blocks binary"))
 
     def extend(batches):
         rolling = Rolling()
@@ -190,8 +190,8 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])], names=["q", "key", "place"])
 
     candidates = docs.join(sized(hits, "blocks"), F.col("key") == F.col("hit_key")).select("key", "text", "blocks")
-    windows = candidates.mapInArrow(extend, "p int, h binary, key binary, place binary").repartition(parts, "p")
-    found = windows.mapInArrow(agree, "q int, key binary, place binary").repartition(parts, "q")
+    windows = candidates.mapInArrow(frugal(extend), "p int, h binary, key binary, place binary").repartition(parts, "p")
+    found = windows.mapInArrow(frugal(agree), "q int, key binary, place binary").repartition(parts, "q")
 
     def unite(batches):
         keys, places = [], []
@@ -210,7 +210,7 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
             spans.append(np.stack([first, end], axis=1).astype(np.int32).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(key[np.concatenate([[0], cut])]), pa.array(spans, pa.binary())], names=["span_key", "spans"])
 
-    return written(found.mapInArrow(unite, "span_key long, spans binary"))
+    return written(found.mapInArrow(frugal(unite), "span_key long, spans binary"))
 
 
 def dedup(docs: DataFrame, window: int = 35) -> DataFrame:
@@ -219,7 +219,7 @@ def dedup(docs: DataFrame, window: int = 35) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def cut(batches):
-        for b in batches:
+        for b in slices(batches):
             spans = b.column("spans").to_pylist()
             n_words, n_removed, kept = [], [], []
             for c in chunks(b.column("text")):
@@ -237,4 +237,4 @@ def dedup(docs: DataFrame, window: int = 35) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     covered = docs.join(sized(repeats(docs, window), "spans"), F.col("key") == F.col("span_key"), "left").select("doc_id", "text", "spans")
-    return covered.mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    return covered.mapInArrow(frugal(cut), f"doc_id {kind}, n_words long, n_removed long, kept string")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from cadastra.llm.substrings import _runs, keyed, sized
 from cadastra.llm.tables import parallelism, small, written
-from cadastra.llm.text import U, Rolling, chunks, hash_spans, mix
+from cadastra.llm.text import U, Rolling, chunks, frugal, hash_spans, mix, slices
 
 #: Bytes after which a suffix array is built, and the most of a context's chunks, which stay together: beyond, window hashes are counted by a shuffle instead.
 BLOCK, MOST = 1 << 20, 8 << 20
@@ -263,8 +263,8 @@ def wide_runs(pieces: DataFrame, window: int) -> DataFrame:
                 which = pa.array(which)
                 yield pa.RecordBatch.from_arrays([pa.array(h), part.column("context").take(which), part.column("content").take(which), pa.array(at)], names=["h", "context", "content", "at"])
 
-    twice = written(pieces.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
-    single = pieces.filter("copies = 1").mapInArrow(place, "h long, context long, content long, at int").join(small(twice, 8), "h", "left_semi")
+    twice = written(pieces.mapInArrow(frugal(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
+    single = pieces.filter("copies = 1").mapInArrow(frugal(place), "h long, context long, content long, at int").join(small(twice, 8), "h", "left_semi")
     single = single.groupBy("context", "content").agg(F.sort_array(F.collect_list("at")).alias("at"))
     copied = pieces.filter("copies > 1").select("context", "content", F.sequence(F.lit(0), F.length("chunk") - window).alias("at"))
     return single.unionByName(copied)
@@ -275,7 +275,7 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
     spark = docs.sparkSession
 
     def find(batches):
-        for b in batches:
+        for b in slices(batches):
             keys = b.column("key").to_numpy()
             found = []
             for c in chunks(b.column("text")):
@@ -286,7 +286,7 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
                 key, first, n, context, content = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(context.view(np.int64)), pa.array(content.view(np.int64))], names=["key", "first", "n", "context", "content"])
 
-    items = written(docs.select("key", "text").mapInArrow(find, "key long, first int, n int, context long, content long"))
+    items = written(docs.select("key", "text").mapInArrow(frugal(find), "key long, first int, n int, context long, content long"))
     shared = written(items.groupBy("context").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("context"))
     items = written(items.join(small(shared, 8), "context"))
     chosen = items.groupBy("context", "content").agg(F.count(F.lit(1)).cast("int").alias("copies"), F.min(F.struct("key", "first", "n")).alias("rep"))
@@ -296,7 +296,7 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
     n_wide = wide.count()
 
     def cut(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = {n: [] for n in ("context", "content", "copies", "chunk")}
             for text, reps in zip(b.column("text"), b.column("reps").to_pylist(), strict=True):
                 raw = text.as_buffer()
@@ -339,14 +339,14 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
         chosen = written(chosen)
         n_chunks = chosen.agg(F.sum(F.size("reps"))).first()[0] or 0
         pieces = docs.join(small(chosen, 64, n_chunks, bound=64 << 20), F.col("key") == F.col("rep_key")).select("text", "reps")
-        return pieces.mapInArrow(cut, "context long, content long, copies int, chunk binary")
+        return pieces.mapInArrow(frugal(cut), "context long, content long, copies int, chunk binary")
 
     own = chosen.join(small(wide, 8, n_wide), "context", "left_anti") if n_wide else chosen
     pieces = chunks_of(own).repartition(parallelism(spark), "context").sortWithinPartitions("context")
-    runs = pieces.mapInArrow(sort, "context long, content long, runs binary")
+    runs = pieces.mapInArrow(frugal(sort), "context long, content long, runs binary")
     if n_wide:
         spread = written(chunks_of(chosen.join(small(wide, 8, n_wide), "context", "left_semi")))
-        runs = runs.unionByName(wide_runs(spread, window).mapInArrow(runs_of, "context long, content long, runs binary"))
+        runs = runs.unionByName(wide_runs(spread, window).mapInArrow(frugal(runs_of), "context long, content long, runs binary"))
     runs = written(runs)
     back = items.join(small(runs, 64), ["context", "content"]).select("key", "first", "runs")
     back = back.groupBy(F.col("key").alias("span_key")).agg(F.collect_list(F.struct("first", "runs")).alias("found"))
@@ -364,7 +364,7 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
                 spans.append(np.stack([a[new], e[last]], axis=1).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("span_key"), pa.array(spans, pa.binary())], names=["span_key", "spans"])
 
-    return written(back.mapInArrow(unite, "span_key long, spans binary"))
+    return written(back.mapInArrow(frugal(unite), "span_key long, spans binary"))
 
 
 def dedup(docs: DataFrame, window: int = 400) -> DataFrame:
@@ -373,7 +373,7 @@ def dedup(docs: DataFrame, window: int = 400) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def take(batches):
-        for b in batches:
+        for b in slices(batches):
             spans = b.column("spans").to_pylist()
             n_bytes, n_removed, n_spans, kept = [], [], [], []
             for c in chunks(b.column("text")):
@@ -394,4 +394,4 @@ def dedup(docs: DataFrame, window: int = 400) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *longs, pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     covered = docs.join(sized(repeats(docs, window), "spans"), F.col("key") == F.col("span_key"), "left").select("doc_id", "text", "spans")
-    return covered.mapInArrow(take, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return covered.mapInArrow(frugal(take), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
