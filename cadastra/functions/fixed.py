@@ -71,17 +71,86 @@ CLAUSES = {
     "التسليم": ["تسلم", "تسليم", "حالة حسنة", "لوازمه", "مفاتيح"],
     "الضمان/الكفالة": ["ضمان", "كفالة", "مبلغ ضمان"],
     "الفسخ": ["فسخ", "وجوبا", "فسخ هذا العقد", "ينفسخ"],
+    "الإشعار المسبق": ["إشعار", "إعلام", "شهرين", "شهر على الأقل", "تنبيه"],
+    "التسويغ للغير": ["للغير", "إعارته", "التسويغ الفرعي"],
+    "المعاليم/الضرائب": ["معاليم الشؤون", "الاداءات البلدية", "ضريبة", "أداء"],
+    "الإصلاحات": ["إصلاحات", "تحسينات", "تغيير بالمحل"],
+    "ماء/كهرباء": ["الماء والكهرباء", "عدادين", "فواتير", "استهلاك"],
+    "الكرامة": ["غير لائق بالكرامة", "السيرة السيئة"],
+    "التفقد": ["تفقد المحل", "من ينوبه"],
+    "الترفيع": ["الترفيع", "ترفيع في الايجار"],
+    "الشهود": ["شاهد", "شاهدين", "شهود"],
     "التسجيل الرسمي": ["تسجيل", "كاتب عدل", "قباضة التسجيل", "الشهر العقاري"],
+    "خلو من الرهن": ["خلو", "رهن", "خالص", "قيد"],
+    "العربون": ["عربون", "تسبيق"],
+    "أجل البيع النهائي": ["البيع النهائي", "أجل", "لا يتجاوز موعد"],
+    "الصلاحيات": ["صلاحيات", "التصرف الكامل", "التفويض"],
+    "شروط الإلغاء": ["إلغاء الوكالة", "شروط الإلغاء", "إلغاء هذا العقد"],
+    "أجل الوكالة": ["أجل الوكالة", "مدة الوكالة", "لمدة سنة"],
 }
 
-# Labels of a legal passage and their words, first match wins.
+# Clauses that a contract of each subtype must have; other subtypes count as a lease.
+MANDATORY = {
+    "كراء": ["تعريف الأطراف", "موضوع العقد", "المدة", "الثمن/المقدار", "الدفع", "التسليم", "الفسخ", "المعاليم/الضرائب"],
+    "بيع": ["تعريف الأطراف", "موضوع العقد", "الثمن/المقدار", "الدفع", "التسجيل الرسمي", "خلو من الرهن", "الشهود"],
+    "وعد": ["تعريف الأطراف", "موضوع العقد", "الثمن/المقدار", "العربون", "أجل البيع النهائي", "التسجيل الرسمي"],
+    "وكالة": ["تعريف الأطراف", "موضوع العقد", "الصلاحيات", "أجل الوكالة", "شروط الإلغاء"],
+}
+LEASE = "كراء"
+
+# Labels of a legal passage and their words, first match wins; the label without any.
 LEGAL_LABELS = {
-    "sanction": ["nullité", "sanction", "amende", "peine"],
-    "obligation": ["obligation", "doit", "autorisation requise"],
-    "formality": ["enregistrement", "notaire", "publication"],
-    "condition": ["si", "sous réserve", "à condition"],
-    "official text": ["décret", "loi", "arrêté", "circulaire"],
+    "عقوبة/جزاء": ["بطلان", "عقوبة", "غرامة", "سجن", "جريمة", "مخالفة", "nullité", "sanction", "amende", "peine"],
+    "التزام قانوني": ["يجب", "يلتزم", "موافقة", "ترخيص", "إذن", "إلزامية", "يوجب", "يستوجب", "واجب", "obligation", "doit", "autorisation requise"],
+    "إجراء رسمي": ["تسجيل", "توثيق", "كاتب عدل", "قباضة", "شهر عقاري", "نشر", "إيداع", "تقييد", "enregistrement", "notaire", "publication"],
+    "شرط/حالة": ["في حالة", "إذا", "شريطة", "بشرط", "ما لم", "si", "sous réserve", "à condition"],
+    "نص قانوني رسمي": ["مرسوم", "قانون", "أمر", "قرار", "منشور", "تعليمة", "décret", "loi", "arrêté", "circulaire"],
+}
+LEGAL_DEFAULT = "معلومة عامة"
+
+# Words before a city, words of a relative date, cities looked for in long addresses.
+CITY_PREFIXES = ["location de vacances ", "location ", "vente ", "à louer ", "a louer ", "à vendre ", "a vendre "]
+RELATIVE_WORDS = ["month", "day", "week", "hour", "minute", "ago", "just now"]
+ADDRESS_CITIES = ["hammamet", "hammam sousse", "tunis", "sfax", "sousse", "nabeul", "ariana", "monastir", "bizerte", "mahdia", "djerba", "la marsa", "kairouan"]
+
+# What is no city, and cities written wrongly.
+NO_CITIES = ["non spcifi", "non specifi", "non spécifié", "la", "louer", "vendre", "inconnu", "autre", "", "none", "nan", "tunisie", "tunisia"]
+CITY_TYPOS = {
+    "nabul": "nabeul",
+    "nabel": "nabeul",
+    "nbeul": "nabeul",
+    "mgrine": "megrine",
+    "mégrine": "megrine",
+    "kala kebira": "kalaa kebira",
+    "kala sghira": "kalaa sghira",
+    "cit el khadra": "cite el khadra",
+    "cit el wafa afh 2": "cite el wafa",
+    "cite el wafa afh2": "cite el wafa",
+    "kairouan ville": "kairouan",
+    "ariana ville": "ariana",
+    "sfax ville": "sfax",
+    "sousse ville": "sousse",
+    "monastir ville": "monastir",
+    "mahdia ville": "mahdia",
+    "gammarth sup": "gammarth",
+    "gammarth superieur": "gammarth",
+    "sidi bou ali sousse": "sidi bou ali",
+    "location tunis": "tunis",
+    "vente tunis": "tunis",
+    "sahloul": "sahloul",
+    "klibia": "kelibia",
+    "khezama est": "khezama est",
+    "khezama ouest": "khezama ouest",
 }
 
+# Regions in the order in which they are looked for.
+REGIONS = ["Tunis", "Ariana", "Ben Arous", "Manouba", "Nabeul", "Zaghouan", "Bizerte", "Béja", "Jendouba", "Kef", "Siliana", "Kairouan", "Kasserine", "Sidi Bouzid", "Sousse", "Monastir", "Mahdia", "Sfax", "Gafsa", "Tozeur", "Kebili", "Gabès", "Medenine", "Tataouine"]
+
+# Quality of pictures by source, first match wins.
+SOURCE_QUALITY = {"century21": 0.95, "homeintunisia": 0.90, "mubawab": 0.85, "tayara": 0.70, "tunisie annonces": 0.65, "mubawab partial": 0.75, "facebook marketplace": 0.50, "bnb": 0.75}
+
+# The central bank's rate by (year, quarter).
+RATES = {(2022, 1): 6.25, (2022, 2): 6.25, (2022, 3): 7.00, (2022, 4): 8.00, (2023, 1): 8.00, (2023, 2): 8.00, (2023, 3): 8.00, (2023, 4): 8.00, (2024, 1): 7.50, (2024, 2): 7.50, (2024, 3): 7.50, (2024, 4): 7.25, (2025, 1): 7.25, (2025, 2): 7.00, (2025, 3): 7.00, (2025, 4): 7.00}
+
 # Accented Latin letters and their plain forms.
 ACCENTED, PLAIN = "àâäáãåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"

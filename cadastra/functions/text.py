@@ -27,6 +27,12 @@ def fold_accents(c: Column) -> Column:
     return F.translate(F.lower(c), ACCENTED, PLAIN)
 
 
+def arabic(c: Column) -> Column:
+    """Arabic letters in their plain forms, without vowel signs; white space collapsed."""
+    plain = F.regexp_replace(F.translate(c, "أإآٱةى", "ااااهي"), "[ً-ٟ]", "")
+    return F.trim(F.regexp_replace(plain, "[ \t\n\r]+", " "))
+
+
 def contains_any(c: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [c.contains(w) for w in words])
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.mllib.linalg import Vectors as OldVectors
+from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadastra.functions.text import fold_accents
+
 #: Rows of a tree's sample, trees, and sampled rows a group; fixed whatever the data.
 SAMPLE, TREES = 256, 100
 
@@ -74,10 +78,33 @@ def inliers(df: DataFrame, groups: list[str], columns: list[str], row: list[str]
     return kept.select(*df.columns, F.round("score", 6).alias("score"))
 
 
-def text_vectors(df: DataFrame, dims: int, features: int = 1024) -> DataFrame:
-    """(doc_id, vector): TF-IDF of hashed words, reduced to its leading components and normalised."""
-    tokens = RegexTokenizer(inputCol="text", outputCol="words", pattern="\\W+").transform(df.fillna({"text": ""}))
-    tf = HashingTF(inputCol="words", outputCol="tf", numFeatures=features).transform(tokens)
-    tfidf = IDF(inputCol="tf", outputCol="tfidf", minDocFreq=2).fit(tf).transform(tf)
-    reduced = PCA(k=dims, inputCol="tfidf", outputCol="pca").fit(tfidf).transform(tfidf)
-    return Normalizer(inputCol="pca", outputCol="unit").transform(reduced).select("doc_id", vector_to_array("unit").alias("vector"))
+def text_vectors(df: DataFrame, dims: int, features: int = 10_000, least_docs: int = 2) -> DataFrame:
+    """(doc_id, vector): TF-IDF of the most frequent 1- to 3-grams of words, with 1 + ln(tf), reduced by a distributed SVD and normalised.
+
+    Letters lose their accents; texts without any of the grams have a zero vector.
+    """
+    words = RegexTokenizer(inputCol="plain", outputCol="n1", pattern=r"[a-z0-9]{2,}", gaps=False)
+    grams = words.transform(df.select("doc_id", fold_accents(F.coalesce("text", F.lit(""))).alias("plain")))
+    for n in (2, 3):
+        grams = NGram(n=n, inputCol="n1", outputCol=f"n{n}").transform(grams)
+    grams = grams.select("doc_id", F.concat("n1", "n2", "n3").alias("grams"))
+    counts = CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=features, minDF=least_docs).fit(grams).transform(grams).select("doc_id", "counts")
+    damped = F.udf(lambda v: Vectors.sparse(v.size, v.indices, 1 + np.log(v.values)), VectorUDT())
+    tf = counts.select("doc_id", damped("counts").alias("tf"))
+    unit = Normalizer(inputCol="tfidf", outputCol="row").transform(IDF(inputCol="tf", outputCol="tfidf").fit(tf).transform(tf)).select("doc_id", "row")
+    svd = RowMatrix(unit.select("row").rdd.map(lambda r: OldVectors.fromML(r["row"]))).computeSVD(dims, computeU=False)
+    basis = svd.V.toArray()  # features times dims: of fixed size
+    shared = df.sparkSession.sparkContext.broadcast(basis)
+
+    def project(batches):
+        for b in batches:
+            rows = []
+            for i, x in zip(b["i"], b["x"], strict=True):
+                y = np.asarray(x) @ shared.value[np.asarray(i, dtype=np.int64)] if len(i) else np.zeros(shared.value.shape[1])
+                rows.append((y / max(np.linalg.norm(y), 1e-12)).tolist())
+            yield pd.DataFrame({"doc_id": b["doc_id"], "vector": rows})
+
+    parts = F.udf(lambda v: (v.indices.tolist(), v.values.tolist()), "i array<int>, x array<double>")
+    split = unit.select("doc_id", parts("row").alias("p")).select("doc_id", "p.i", "p.x")
+    kind = dict(df.dtypes)["doc_id"]
+    return split.mapInPandas(project, f"doc_id {kind}, vector array<double>")

@@ -26,15 +26,49 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
+def numbered(df: DataFrame, keys: list[str], row: str, output: str) -> DataFrame:
+    """df with a number from 0 on in each group, in an order by the md5 of the row's id: counted in 4,096 buckets, so that no group meets in one task."""
+    df = df.withColumn("_bucket", F.substring(F.md5(F.col(row).cast("string")), 1, 3))
+    ahead = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = df.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_ahead"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(row)) - 1
+    return df.withColumn("_own", own).join(F.broadcast(sizes), [*keys, "_bucket"]).withColumn(output, (F.col("_ahead") + F.col("_own")).cast("long")).drop("_bucket", "_own", "_ahead")
+
+
 def hot_deck(df: DataFrame, row: str, value: str, salt: str, output: str) -> DataFrame:
     """Missing values drawn from the known ones by a hash of the row's id."""
     donors = df.filter(F.col(value).isNotNull())
     n = donors.count()
     if not n:
         return df.withColumn(output, F.col(value))
-    numbered = donors.select(F.col(value).alias("_donor"), (F.row_number().over(Window.orderBy(row)) - 1).cast("long").alias("_slot"))
+    deck = numbered(donors.select(F.col(value).alias("_donor"), row, F.lit(0).alias("_all")), ["_all"], row, "_slot").select("_donor", "_slot")
     drawn = df.withColumn("_slot", F.floor(uniform(F.col(row), F.lit(salt)) * n).cast("long"))
-    return drawn.join(numbered, "_slot", "left").withColumn(output, F.coalesce(F.col(value), F.col("_donor"))).drop("_slot", "_donor")
+    return drawn.join(deck, "_slot", "left").withColumn(output, F.coalesce(F.col(value), F.col("_donor"))).drop("_slot", "_donor")
+
+
+def rate_tiered(df: DataFrame, group: str, row: str, value: str, salt: str, output: str, most: float = 0.6) -> DataFrame:
+    """Missing values of a group: its median while no more than `most` are missing, else drawn from its known ones."""
+    stats = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.count(value).alias("_known"), F.median(value).alias("_median"))
+    deck = numbered(df.filter(F.col(value).isNotNull()).select(group, row, F.col(value).alias("_donor")), [group], row, "_slot").select(group, "_slot", "_donor")
+    drawn = df.join(stats, group).withColumn("_slot", F.floor(uniform(F.col(row), F.lit(salt)) * F.col("_known")).cast("long")).join(deck, [group, "_slot"], "left")
+    other = F.when(1 - F.col("_known") / F.col("_n") <= most, F.col("_median")).otherwise(F.col("_donor"))
+    return drawn.withColumn(output, F.coalesce(F.col(value), other)).drop("_n", "_known", "_median", "_slot", "_donor")
+
+
+def filled_with_medians(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Each column's missing values by its median."""
+    m = df.agg(*[F.median(c).alias(f"_m_{c}") for c in columns])
+    return df.join(F.broadcast(m), how="cross").withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in columns}).drop(*[f"_m_{c}" for c in columns])
+
+
+def without_empty(df: DataFrame, most: float, protected: list[str]) -> DataFrame:
+    """df without the columns that are null in more than `most` of the rows or hold one value alone, but for protected ones."""
+    share = [F.avg(F.col(c).isNull().cast("int")).alias(f"null_{c}") for c in df.columns]
+    ends = [x for c in df.columns for x in (F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"))]
+    row = df.agg(*share, *ends).first()
+    gone = [c for c in df.columns if c not in protected and row[f"null_{c}"] is not None and (row[f"null_{c}"] > most or (row[f"null_{c}"] == 0 and row[f"min_{c}"] == row[f"max_{c}"]))]
+    return df.drop(*gone)
 
 
 def quantile_trim(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:

@@ -25,10 +25,11 @@ def every():
     return Window.partitionBy(F.lit(0))
 
 
-@query(r"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+')[1:20] AS w FROM documents) SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS first_words FROM w")
+@query(r"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w), f AS (SELECT doc_id, x, min(i) AS i FROM p GROUP BY 1, 2) SELECT doc_id, md5(coalesce(string_agg(x, ' ' ORDER BY i) FILTER (WHERE x IS NOT NULL), '')) AS words, count(x)::INT AS n FROM (SELECT w.doc_id, f.x, f.i FROM w LEFT JOIN f ON f.doc_id = w.doc_id) GROUP BY doc_id")
 def array_order_distinct(spark, sf_dir):
-    w = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)), 1, 20)
-    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_distinct(w), " ").alias("first_words"))
+    w = F.array_distinct(F.coalesce(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)), F.array().cast("array<string>")))
+    d = read(spark, sf_dir, "documents").select("doc_id", w.alias("w"))
+    return d.select("doc_id", F.md5(F.array_join("w", " ")).alias("words"), F.size("w").alias("n"))
 
 
 @query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY lower(event_type), user_id ORDER BY event_id) AS r FROM events) WHERE r = 1")
@@ -162,11 +163,10 @@ def road_density(spark, sf_dir):
     return n.select("n_nationkey", F.round(F.coalesce("d", F.avg("d").over(every())), 5).alias("density"))
 
 
-@query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(translate(substring(text, 1, 200) || ' أإآ ة ى مُدَّة', 'أإآٱةى', 'اااا' || 'هي'), '[\x{064B}-\x{065F}]', '', 'g'), '[ \t\n\r]+', ' ', 'g'))) AS normal FROM documents")
+@query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(translate(text || ' أإآ ة ى مُدَّة', 'أإآٱةى', 'اااا' || 'هي'), '[\x{064B}-\x{065F}]', '', 'g'), '[ \t\n\r]+', ' ', 'g'))) AS normal FROM documents")
 def arabic_normalise(spark, sf_dir):
-    t = F.concat(F.substring("text", 1, 200), F.lit(" أإآ ة ى مُدَّة"))
-    t = F.regexp_replace(F.translate(t, "أإآٱةى", "ااااهي"), "[ً-ٟ]", "")
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(F.trim(F.regexp_replace(t, "[ \t\n\r]+", " "))).alias("normal"))
+    t = F.concat("text", F.lit(" أإآ ة ى مُدَّة"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.arabic(t)).alias("normal"))
 
 
 @query(r"SELECT conv_id, turn, md5(trim(regexp_replace(regexp_replace('☎ ' || text, '\p{So}', '', 'g'), '[ \t\n\r]+', ' ', 'g'))) AS clean FROM conversations")

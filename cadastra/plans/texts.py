@@ -135,21 +135,21 @@ MANDATORY = ["parties", "term", "price"]
 
 @query("WITH f AS (SELECT doc_id, lower(text) AS t FROM documents), c AS (SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(f'contains(t, {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{k}' END" for k, ws in COVER.items()) + "], lambda x: x IS NOT NULL) AS present FROM f) SELECT doc_id, array_to_string(present, ',') AS present, array_to_string(list_filter(['parties', 'term', 'price'], lambda x: NOT list_contains(present, x)), ',') AS missing FROM c")
 def clause_coverage(spark, sf_dir):
-    t = F.lower("text")
-    present = F.filter(F.array(*[F.when(text.contains_any(t, ws), k) for k, ws in COVER.items()]), lambda x: x.isNotNull())
-    missing = F.filter(F.array(*[F.lit(k) for k in MANDATORY]), lambda x: ~F.array_contains(present, x))
-    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(present, ",").alias("present"), F.array_join(missing, ",").alias("missing"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"))
+    d = d.select("doc_id", F.filter(F.array(*[F.when(text.contains_any(F.col("t"), ws), k) for k, ws in COVER.items()]), lambda x: x.isNotNull()).alias("present"))
+    missing = F.array_except(F.array(*[F.lit(k) for k in MANDATORY]), "present")
+    return d.select("doc_id", F.array_join("present", ",").alias("present"), F.array_join(missing, ",").alias("missing"))
 
 
 _CASES = " ".join(f"WHEN {' OR '.join(f'contains(t, {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{k}'" for k, ws in fixed.LEGAL_LABELS.items())
 
 
-@query(f"WITH f AS (SELECT doc_id, n_chars, lower(text) AS t FROM documents) SELECT doc_id, CASE {_CASES} ELSE 'general' END AS label, CASE WHEN n_chars % 11 <= 2 THEN 'Faible' WHEN n_chars % 11 <= 5 THEN 'Moyen' WHEN n_chars % 11 <= 8 THEN 'Élevé' ELSE 'Critique' END AS risk, CASE WHEN n_chars % 11 >= 9 THEN 'CRITIQUE' WHEN n_chars % 11 >= 5 THEN 'ÉLEVÉ' ELSE 'NORMALE' END AS alert FROM f")
+@query(f"WITH f AS (SELECT doc_id, n_chars, lower(text) AS t FROM documents) SELECT doc_id, CASE {_CASES} ELSE '{fixed.LEGAL_DEFAULT}' END AS label, CASE WHEN n_chars % 11 <= 2 THEN 'Faible' WHEN n_chars % 11 <= 5 THEN 'Moyen' WHEN n_chars % 11 <= 8 THEN 'Élevé' ELSE 'Critique' END AS risk, CASE WHEN n_chars % 11 >= 9 THEN 'CRITIQUE' WHEN n_chars % 11 >= 5 THEN 'ÉLEVÉ' ELSE 'NORMALE' END AS alert FROM f")
 def ordered_rule_label(spark, sf_dir):
     score = F.col("n_chars") % 11
     risk = F.when(score <= 2, "Faible").when(score <= 5, "Moyen").when(score <= 8, "Élevé").otherwise("Critique")
     alert = F.when(score >= 9, "CRITIQUE").when(score >= 5, "ÉLEVÉ").otherwise("NORMALE")
-    return read(spark, sf_dir, "documents").select("doc_id", text.first_match(F.lower("text"), fixed.LEGAL_LABELS, "general").alias("label"), risk.alias("risk"), alert.alias("alert"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.first_match(F.lower("text"), fixed.LEGAL_LABELS, fixed.LEGAL_DEFAULT).alias("label"), risk.alias("risk"), alert.alias("alert"))
 
 
 @query("""WITH p AS (SELECT doc_id, text, string_split(text, 'tion') AS parts FROM documents), o AS (SELECT doc_id, text, unnest(list_transform(range(1, len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda x: length(x)))::BIGINT + (i - 1) * 4)) AS s, unnest(range(1, len(parts))) AS n FROM p)

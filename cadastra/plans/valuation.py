@@ -36,7 +36,7 @@ def conditional_median_impute(spark, sf_dir):
 _U = "(('0x' || substring(md5(concat_ws('-', {})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
-@query(f"""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS x FROM orders), d AS (SELECT x AS donor, row_number() OVER (ORDER BY o_orderkey) - 1 AS slot FROM o WHERE x IS NOT NULL)
+@query(f"""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS x FROM orders), d AS (SELECT x AS donor, row_number() OVER (ORDER BY substring(md5(o_orderkey::VARCHAR), 1, 3), o_orderkey) - 1 AS slot FROM o WHERE x IS NOT NULL)
 SELECT o_orderkey, coalesce(x, donor) AS filled FROM (SELECT *, floor({_U.format("o_orderkey, 'deck'")} * (SELECT count(*) FROM d))::BIGINT AS slot FROM o) LEFT JOIN d USING (slot)""")
 def tiered_impute(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("x"))
@@ -172,11 +172,14 @@ def monte_carlo_closed_form(spark, sf_dir):
 _QUARTERS = [("2022-01-01", 0.0, 0.2), ("2023-01-01", 0.2, 0.45), ("2024-01-01", 0.45, 0.75), ("2025-01-01", 0.75, 1.0)]
 
 
-@query(f"SELECT o_orderkey, day AS imputed FROM (SELECT o_orderkey, {_U.format('o_orderkey, 1')} AS u FROM orders WHERE o_orderkey % 5 = 0) JOIN (VALUES " + ", ".join(map(str, _QUARTERS)) + ") q(day, lo, hi) ON u >= lo AND u < hi")
+@query(f"SELECT o_orderkey, coalesce(own, day) AS imputed FROM (SELECT o_orderkey, {_U.format('o_orderkey, 1')} AS u, CASE WHEN o_orderkey % 5 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS own FROM orders) JOIN (VALUES " + ", ".join(map(str, _QUARTERS)) + ") q(day, lo, hi) ON u >= lo AND u < hi")
 def weighted_date_impute(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0").select("o_orderkey", impute.uniform(F.col("o_orderkey"), F.lit(1)).alias("u"))
-    q = spark.createDataFrame(_QUARTERS, "day string, lo double, hi double")
-    return o.join(lookup.dimension(q), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("o_orderkey", F.col("day").alias("imputed"))
+    own = F.when(F.col("o_orderkey") % 5 > 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
+    o = read(spark, sf_dir, "orders").select("o_orderkey", own.alias("own"), impute.uniform(F.col("o_orderkey"), F.lit(1)).alias("u"))
+    day = F.lit(None).cast("string")
+    for name, low, high in _QUARTERS:
+        day = F.when((F.col("u") >= low) & (F.col("u") < high), name).otherwise(day)
+    return o.select("o_orderkey", F.coalesce("own", day).alias("imputed"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS norm FROM embeddings")
@@ -203,4 +206,4 @@ def isolation_forest(spark, sf_dir):
 
 @query(None)
 def tfidf_svd(spark, sf_dir):
-    return forest.text_vectors(read(spark, sf_dir, "documents").select("doc_id", "text"), 16)
+    return forest.text_vectors(read(spark, sf_dir, "documents").select("doc_id", "text"), 32)
