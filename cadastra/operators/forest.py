@@ -6,8 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,8 +93,9 @@ def text_vectors(df: DataFrame, dims: int, features: int = 10_000, least_docs: i
     damped = F.udf(lambda v: Vectors.sparse(v.size, v.indices, 1 + np.log(v.values)), VectorUDT())
     tf = counts.select("doc_id", damped("counts").alias("tf"))
     unit = Normalizer(inputCol="tfidf", outputCol="row").transform(IDF(inputCol="tf", outputCol="tfidf").fit(tf).transform(tf)).select("doc_id", "row")
-    svd = RowMatrix(unit.select("row").rdd.map(lambda r: OldVectors.fromML(r["row"]))).computeSVD(dims, computeU=False)
-    basis = svd.V.toArray()  # features times dims: of fixed size
+    rows = MLUtils.convertVectorColumnsFromML(unit.select("row"), "row").persist(StorageLevel.DISK_ONLY)  # read by each step of the SVD
+    basis = RowMatrix(rows).computeSVD(dims, computeU=False).V.toArray()  # features times dims: of fixed size
+    rows.unpersist()
     shared = df.sparkSession.sparkContext.broadcast(basis)
 
     def project(batches):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,9 +78,42 @@ def canonical(raw: DataFrame, source: str) -> DataFrame:
     return raw.select(F.lit(source).alias("source"), row.alias("row_id"), *numbers.values(), *places.values(), day.alias("published"))
 
 
-def unified(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """All sources in one table."""
+def _files(spark: SparkSession, pattern: str):
+    """(path, time of change) of what a path or pattern names, in any store that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [(f.getPath().toString(), f.getModificationTime()) for f in found or []]
+
+
+def first_existing(spark: SparkSession, *paths: str) -> str | None:
+    """The first of the candidate paths that exists."""
+    return next((p for p in paths if _files(spark, p)), None)
+
+
+def latest(spark: SparkSession, pattern: str, by_name: bool = False) -> str | None:
+    """The newest file of a pattern by time of change, or the last by name."""
+    found = _files(spark, pattern)
+    return max(found, key=lambda f: (f[0],) if by_name else (f[1], f[0]))[0] if found else None
+
+
+def sheet(spark: SparkSession, path: str, header_row: int = 0, separator: str = ",") -> DataFrame:
+    """The exported sheet of a workbook whose header stands in row header_row (from 0); rows without any value go."""
+    raw = spark.read.option("sep", separator).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+    top = raw.head(header_row + 1)
+    if len(top) <= header_row:
+        return raw.limit(0)
+    names = [(v or f"column_{i}").strip() for i, v in enumerate(top[-1])]
+    body = raw.withColumn("_line", F.monotonically_increasing_id()).filter(F.col("_line") > header_row).drop("_line")
+    return body.toDF(*names).dropna("all")
+
+
+def unified(spark: SparkSession, paths: dict[str, str | list[str]]) -> DataFrame:
+    """All sources in one table; of a source's candidate paths the first that exists counts, and a source without any is passed over."""
     out = spark.createDataFrame([], CANONICAL)
-    for source, path in paths.items():
+    for source, candidates in paths.items():
+        path = first_existing(spark, *([candidates] if isinstance(candidates, str) else candidates))
+        if path is None:
+            logging.getLogger(__name__).warning("source %s is missing", source)
+            continue
         out = out.unionByName(canonical(scan(spark, path, LAYOUTS[source]), source))
     return out

@@ -56,3 +56,38 @@ def test_runner_retries_and_skips():
 
     log = run([Step("a", flaky), Step("b", broken), Step("c", lambda: 1, ("a", "b")), Step("d", lambda: 2, ("a",)), Step("e", lambda: 3, ("nowhere",))], pause_s=0)
     assert [(n, s, r) for n, s, r, *_ in log] == [("a", "ok", 5), ("b", "failed", 0), ("c", "skipped", 0), ("d", "ok", 2), ("e", "skipped", 0)]
+
+
+def test_missing_and_newest_sources(spark, tmp_path):
+    import os
+
+    from cadastra.sources import listings
+
+    for i, name in enumerate(("b_old.csv", "a_new.csv")):
+        (tmp_path / name).write_text("id,prix_affiche,ville\n1,12 000,Sfax\n")
+        os.utime(tmp_path / name, (1000 + i, 1000 + i))
+    absent = str(tmp_path / "absent.csv")
+    assert listings.first_existing(spark, absent, str(tmp_path / "b_old.csv")).endswith("b_old.csv") and listings.first_existing(spark, absent) is None
+    assert listings.latest(spark, f"{tmp_path}/*.csv").endswith("a_new.csv") and listings.latest(spark, f"{tmp_path}/*.csv", by_name=True).endswith("b_old.csv")
+    both = listings.unified(spark, {"facebook": [absent, str(tmp_path / "a_new.csv")], "mubawab": absent})
+    assert [(r["source"], r["city"]) for r in both.collect()] == [("facebook", "Sfax")]
+
+
+def test_sheet_with_header_offset(spark, tmp_path):
+    from cadastra.sources import listings
+
+    (tmp_path / "s.csv").write_text("title,,\n,,\nyear, rate ,\n2024,7.5,\n,,\n2025,7.0,x\n")
+    rows = listings.sheet(spark, str(tmp_path / "s.csv"), 2)
+    assert rows.columns == ["year", "rate", "column_2"] and [r["year"] for r in rows.collect()] == ["2024", "2025"]
+    assert listings.sheet(spark, str(tmp_path / "s.csv"), 99).count() == 0
+
+
+def test_region_order_and_city_rules(spark):
+    from pyspark.sql import functions as F
+
+    from cadastra.functions import extract
+
+    cases = {"Vente Tunis": "tunis", "mgrine": "megrine", "Inconnu": None, " x ": None, "Sousse, 3 days ago": "sousse", None: None}
+    df = spark.createDataFrame([(k,) for k in cases], "c string")
+    assert {r["c"]: r["v"] for r in df.select("c", extract.city(F.col("c")).alias("v")).collect()} == cases
+    assert df.select(extract.region(F.lit("sousse et TUNIS"))).first()[0] == "Tunis"
