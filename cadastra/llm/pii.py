@@ -32,7 +32,8 @@ from pyspark.sql import types as T
 from cadastra.llm.tables import fresh, small, written
 from cadastra.llm.text import frugal
 
-KEY = b"cadastra surrogate key"
+#: The setting that holds the secret key, and the key of tests, where it is unset.
+KEY_SETTING, KEY = "spark.cadastra.pii.key", b"cadastra surrogate key"
 MASCULINE = ("Mr", "Sir", "Herr", "Señor", "Sr", "Monsieur", "Господин", "Κύριος")
 FEMININE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Sra", "Mme", "Mlle", "Madame", "Госпожа", "Κυρία")
 TITLE = {t: g for g, names in (("m", MASCULINE), ("f", FEMININE)) for t in names}
@@ -173,6 +174,12 @@ def _found(batches):
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["kind", "value"])
 
 
+def secret(docs: DataFrame) -> bytes:
+    """The key that the session's settings hold."""
+    own = docs.sparkSession.conf.get(KEY_SETTING, None)
+    return own.encode() if own else KEY
+
+
 def redrawn(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """(kind, value, attempt) of the entities whose first surrogate is taken by another one or is itself an entity."""
     every = written(docs.select("text").mapInArrow(frugal(_found), "kind string, value string").distinct())
@@ -196,8 +203,9 @@ def redrawn(docs: DataFrame, key: bytes = KEY) -> DataFrame:
         now = written(kept.unionByName(again.mapInArrow(draw, shape)))
 
 
-def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """docs with surrogates in text, n_entities and entities (kind, begin, end in the new text)."""
+def replace(docs: DataFrame, key: bytes | None = None) -> DataFrame:
+    """docs with surrogates in text, n_entities and entities (kind, begin, end in the new text); the key, if not given, is the session's."""
+    key = key or secret(docs)
     again = written(redrawn(docs, key))
     keep = [c for c in docs.columns if c not in ("n_entities", "entities")]
     kinds = T.StructType([T.StructField("kind", T.StringType()), T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())])

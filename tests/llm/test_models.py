@@ -200,6 +200,17 @@ def test_surrogates_keep_the_format(spark):
     assert surname[2] in spans and card in spans
 
 
+def test_the_key_is_a_setting(spark):
+    df = spark.createDataFrame([("Mr John Smith at a.b@mail.example.com",)], "text string")
+    text = lambda: pii.replace(df).first()["text"]
+    plain = text()
+    spark.conf.set(pii.KEY_SETTING, "another")
+    try:
+        assert text() != plain and text() == text()
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_surrogates_stay_distinct(spark):
     rows = [(i, f"call {200 + i // 100:03d}-{1000 + i % 9000:04d}; Mr Name{chr(97 + i % 26)}x Other{chr(97 + i // 26 % 26)}y") for i in range(700)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
