@@ -1,17 +1,22 @@
 """PII: detected entities give way to keyed surrogates of the same type.
 
-Detected are e-mail addresses, telephone numbers, IPv4 addresses, payment card numbers,
-secrets (tokens and keys) and names of persons behind a title. A surrogate comes from
-an HMAC of the entity's normal form under a secret key, and keeps the format: separators,
-length, case, script, the country code and exchange 555 of a telephone number, the
-card checksum, the private range of an address, the gender of a name. Surrogate mail
-domains are reserved ones.
+Detected are e-mail addresses, telephone numbers (international, North American, and
+national ones that begin with 0), IPv4 and IPv6 addresses, payment card numbers, IBANs,
+social security numbers, secrets (tokens and keys) and names of persons behind a title or
+words that introduce a name, with the bare recurrences of those names in the same document.
+A surrogate comes from an HMAC of the entity's normal form under a secret key, and keeps the
+format: separators, length, case, script, the country code, the leading 0 and exchange 555
+of a telephone number, the checksum of a card or IBAN and its country, the private range of
+an address, the gender of a name. Surrogate mail domains and the areas of social security
+numbers are reserved ones.
 
 Coreference: equal normal forms (case, spacing and punctuation aside) have one surrogate
-in the whole corpus; the parts of a name are entities of their own, so "Mr Smith" follows
-"Mr John Smith". Distinctness: the surrogates of all distinct entities are compared with
-each other and with all entities; one that is taken is drawn again until none is. These
-draws (normally few) reach their documents by a join.
+in the whole corpus; the parts of a name are entities of their own, so "Mr Smith" and a bare
+"Smith" follow "Mr John Smith". A bare part is taken as the name only when it is capitalised
+(wholly in capitals, if the name was so wherever it had its title). Distinctness: the
+surrogates of all distinct entities are compared with each other and with all entities,
+names of all kinds together; one that is taken is drawn again until none is, names with one
+more part each time. These draws (normally few) reach their documents by a join.
 
 Edge cases: a null text stays null and has no entities; entities do not overlap, the
 leftmost wins; repeated rows are treated alike; an empty table gives an empty result;
@@ -22,10 +27,11 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,16 +42,29 @@ from cadastra.llm.text import frugal
 KEY_SETTING, KEY = "spark.cadastra.pii.key", b"cadastra surrogate key"
 MASCULINE = ("Mr", "Sir", "Herr", "Señor", "Sr", "Monsieur", "Господин", "Κύριος")
 FEMININE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Sra", "Mme", "Mlle", "Madame", "Госпожа", "Κυρία")
-TITLE = {t: g for g, names in (("m", MASCULINE), ("f", FEMININE)) for t in names}
+NEUTRAL = ("Dr", "Prof", "Doctor", "Professor", "Доктор", "Профессор")
+CAPITAL = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme")
+TITLE = {t: g for g, names in (("m", MASCULINE), ("f", FEMININE), ("n", NEUTRAL)) for t in names}
+TITLE |= {t.upper(): TITLE[t] for t in CAPITAL}
+#: Words that introduce a name.
+CUES = ("My name is", "my name is", "Je m'appelle", "Je m’appelle", "je m'appelle", "je m’appelle", "Me llamo", "me llamo", "Mi nombre es", "Mein Name ist", "mein Name ist", "Ich heiße", "ich heiße", "Меня зовут", "меня зовут")
 NAMES = {
     "latin": {
         "m": "Adrian Bruno Carlos Dario Emil Felix Gaspar Henrik Ivo Jonas Kaspar Leon Marco Nestor Oskar Paul Quentin Ramon Simon Tomas Ulrich Viktor Walter Xavier Yannick Zeno".split(),
         "f": "Adela Beatriz Clara Daria Elena Flora Greta Helene Ines Julia Karin Lucia Marta Nadia Olivia Paula Renata Sofia Teresa Ursula Vera Wanda Xenia Yvonne Zelda".split(),
+        "n": "Alex Camille Charlie Dominique Eden Frankie Jamie Jules Kim Lou Morgan Noa Quinn Robin Sam Sascha".split(),
         "s": "Albrecht Barreto Castell Delmas Eberle Fontana Gerard Hartwig Ibarra Jansen Keller Lambert Marchand Navarro Olsen Perrin Quiroga Richter Salinas Thibault Urban Vidal Winkler Ximenes Ybarra Zeller".split(),
     },
-    "cyrillic": {"m": "Антон Борис Виктор Глеб Денис Егор Иван Кирилл".split(), "f": "Анна Вера Галина Дарья Елена Ирина Ксения Мария".split(), "s": "Белов Волков Громов Дроздов Зимин Ильин Климов Лосев".split()},
+    "cyrillic": {"m": "Антон Борис Виктор Глеб Денис Егор Иван Кирилл".split(), "f": "Анна Вера Галина Дарья Елена Ирина Ксения Мария".split(), "n": "Женя Саша Слава Валя".split(), "s": "Белов Волков Громов Дроздов Зимин Ильин Климов Лосев".split()},
     "greek": {"m": "Άρης Γιώργος Δήμος Ηλίας Κώστας Λουκάς Μάρκος Νίκος".split(), "f": "Άννα Γεωργία Δήμητρα Ελένη Ζωή Κατερίνα Μαρία Σοφία".split(), "s": "Βλάχος Γεωργίου Δημητρίου Ιωάννου Κωνσταντίνου Λάμπρου Μάρκου Παππάς".split()},
 }
+#: Given names whose gender is known without a title.
+GIVEN = {
+    "m": "Ahmed Alexander Andrew Anthony Antonio Carlos Charles Christian Daniel David Edward Francisco George Hans Henry Ivan James Jean John Jose Joseph José Juan Jürgen Klaus Luis Manuel Mark Martin Matthew Michael Mohamed Nicolas Paul Pedro Peter Philippe Pierre Richard Robert Stefan Steven Thomas William Wolfgang".split(),
+    "f": "Alice Amanda Ana Andrea Angela Anna Anne Barbara Carmen Catherine Charlotte Claire Elena Elizabeth Emily Emma Fatima Françoise Helen Ingrid Isabel Jennifer Jessica Julie Karen Laura Linda Lisa Lucy Margaret Maria Marie María Mary Monika Nathalie Patricia Petra Sabine Sandra Sarah Sophie Susan Sylvie Ursula".split(),
+}
+GENDER = {n.casefold(): g for g in "mf" for names in (*(NAMES[s][g] for s in NAMES), GIVEN[g]) for n in names}
+PERSON = ("m", "f", "n", "surname")
 #: Letters that stand for letters of the same script.
 SCRIPTS = ["abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿ", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "אבגדהוזחטיכלמנסעפצקרשת", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "कखगघचछजझटठडढतथदधनपफबभमयरलवशसह"]
 _NAME = r"[^\W\d_]['’\-]?[^\W\d_]+(?:['’\-][^\W\d_]+)*"
@@ -53,13 +72,19 @@ PATTERN = re.compile(
     r"(?P<email>[\w.%+\-]{1,64}@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+)"
     r"|(?P<secret>(?<![\w])(?:[0-9a-fA-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_\-]{20,})(?![\w])"
     r"|(?<=[=:] )[\"'](?=[^\"']*\d)[\w+/\-.]{16,}[\"'](?!\w))"
+    r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))"
+    r"|(?P<ssn>(?<![\w.\-])\d{3}-\d{2}-\d{4}(?![\w\-]))"
+    r"|(?P<ipv6>(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|::)(?:[0-9A-Fa-f]{0,4}:){1,6}[0-9A-Fa-f]{1,4}(?![\w:]))"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))"
     r"|(?P<card>(?<![\w.])\d{4}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}(?![\w]|\.\d))"
     r"|(?P<phone>(?<![\w.])(?:\+?\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])?\d{3}[.\-]\d{4}(?![\w\-])"
-    r"|(?<![\w.])\+\d{1,3}(?:[ .\-]?\(?\d{1,4}\)?)?(?:[ .\-]?\d{2,4}){2,4}(?![\w]))"
-    rf"|(?P<person>(?<!\w)(?:{'|'.join(sorted(TITLE, key=len, reverse=True))})\.?[ ]+{_NAME}(?:[ ]{_NAME}){{0,2}})"
+    r"|(?<![\w.])\+\d{1,3}(?:[ .\-]?\(?\d{1,4}\)?)?(?:[ .\-]?\d{2,4}){2,4}(?![\w])"
+    r"|(?<![\w.+\-])0(?:\d(?:[ .\-]\d{2}){4}|\d{2,4}[ /\-]\d{5,8})(?![\w\-]))"
+    rf"|(?P<person>(?<!\w)(?P<lead>(?:{'|'.join(sorted(TITLE, key=len, reverse=True))})\.?|{'|'.join(CUES)})[ ]+{_NAME}(?:[ ]{_NAME}){{0,2}})"
 )
 _HINT = re.compile(r"[0-9@]")
+_WORD = re.compile(rf"(?<![\w'’\-]){_NAME}")
+_OWNER = re.compile(r"['’][sS]$")
 
 
 class _Draw:
@@ -96,28 +121,73 @@ def _digits(text: str) -> str:
     return re.sub(r"\D", "", text)
 
 
+def iban(value: str) -> int:
+    """The remainder of an IBAN without blanks: 1 for a valid one."""
+    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97
+
+
+def _address(value: str) -> bool:
+    """Whether this is an IPv6 address with a digit and three groups at least, so no time and no name of a program."""
+    try:
+        ipaddress.IPv6Address(value)
+    except ValueError:
+        return False
+    return any(c.isdigit() for c in value) and len([g for g in value.split(":") if g]) >= 3
+
+
+def _persons(text: str, m: re.Match):
+    """(start, end, kind, normal form) of the parts of a name behind a title or cue."""
+    title = TITLE.get(m["lead"].rstrip("."), "n")
+    names = m[0][len(m["lead"]) :].split()
+    names = names[: next((i for i, n in enumerate(names) if not n[0].isupper() or n in TITLE), len(names))]
+    if m["lead"].isupper():  # the words after a name are in capitals, too
+        names = names[: next((i for i, n in enumerate(names) if not n.isupper()), 2)][:2]
+    at = m.end("lead")
+    for i, name in enumerate(names):
+        name = _OWNER.sub("", name)
+        a = text.index(name, at)
+        at, value = a + len(name), name.casefold()
+        given = i == 0 and (len(names) > 1 or m["lead"] in CUES)
+        yield a, at, (GENDER.get(value, "n") if title == "n" else title) if given else "surname", value
+
+
 def entities(text: str):
     """(start, end, kind, normal form) of the entities of a text, left to right."""
-    if not (_HINT.search(text) or any(t in text for t in TITLE)):
-        return
-    end = 0
+    if not (_HINT.search(text) or any(t in text for t in TITLE) or any(c in text for c in CUES)):
+        return []
+    found, known, end = [], {}, 0
     while m := PATTERN.search(text, end):
         kind, value, end = m.lastgroup, m[0], m.end()
         if kind == "person":
-            title, *names = value.split()
-            names = names[: next((i for i, n in enumerate(names) if not n[0].isupper() or n in TITLE), len(names))]
-            at = end = m.start() + len(title)
-            for i, name in enumerate(names):
-                a = text.index(name, at)
-                at = end = a + len(name)
-                yield a, at, TITLE[title.rstrip(".")] if i == 0 and len(names) > 1 else "surname", name.casefold()
+            end = m.end("lead")
+            for a, e, kind, name in _persons(text, m):
+                found.append((a, e, kind, name))
+                old, capital = known.get(name, (kind, True))
+                known[name] = (kind if old == "n" else old, capital and text[a:e].isupper())
+                end = e
         elif kind == "secret":
             quoted = value[0] in "\"'"
-            yield m.start() + quoted, m.end() - quoted, kind, value.strip("\"'").lower()
+            found.append((m.start() + quoted, m.end() - quoted, kind, value.strip("\"'").lower()))
         elif kind == "card" and (not 13 <= len(_digits(value)) <= 19 or luhn(_digits(value))):
             continue  # a number without a valid checksum is no card
+        elif kind == "iban" and iban(value.replace(" ", "")) != 1 or kind == "ipv6" and not _address(value):
+            end = m.start() + 1  # nor is this an account or address, but one may follow
         else:
-            yield m.start(), m.end(), kind, _digits(value) if kind in ("card", "phone") else value.lower()
+            found.append((m.start(), m.end(), kind, _digits(value) if kind in ("card", "phone", "ssn") else value.replace(" ", "").lower()))
+    if not known:
+        return found
+    found = [(a, e, known[v][0] if k == "n" else k, v) for a, e, k, v in found]
+    bare, i = [], 0
+    for w in _WORD.finditer(text):
+        name = _OWNER.sub("", w[0])
+        kind, capital = known.get(name.casefold(), (None, False))
+        if kind and (name.isupper() if capital else name[0].isupper()):
+            a, e = w.start(), w.start() + len(name)
+            while i < len(found) and found[i][1] <= a:
+                i += 1
+            if i == len(found) or found[i][0] >= e:
+                bare.append((a, e, kind, name.casefold()))
+    return sorted(found + bare)
 
 
 def _script(word: str) -> str:
@@ -138,10 +208,21 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
         exchange = value[at : at + 3] if at >= 0 else ""
         rest = value[len(keep) :]
         new = draw.like(rest)
+        if not keep and value[0] == "0":
+            new = "0" + new[1:]
         return keep + (new[:-7] + exchange + new[-4:] if exchange == "555" else new)
     if kind == "card":
         new = value[0] + draw.like(value[1:])
         return new[:-1] + next(d for d in "0123456789" if luhn(new[:-1] + d) == 0) if luhn(value) == 0 else new
+    if kind == "iban":
+        body = "".join(c if c.isalpha() and i < 4 else draw.like(c) for i, c in enumerate(value[4:])).upper()
+        return f"{value[:2]}{98 - iban(value[:2].upper() + '00' + body):02d}{body.lower()}"
+    if kind == "ssn":
+        return f"9{draw.like(value[1:])}"
+    if kind == "ipv6":
+        groups = value.split(":")
+        keep = 1 if re.match("f[cde]", value) else 0
+        return ":".join(g if i < keep else "".join("123456789abcdef"[draw(15)] for _ in g) for i, g in enumerate(groups))
     if kind == "ip":
         octets = value.split(".")
         keep = 1 if octets[0] in ("10", "127") else 2 if octets[:2] == ["192", "168"] or octets[0] == "172" and 16 <= int(octets[1]) <= 31 else 0
@@ -149,19 +230,24 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
     if kind == "secret":
         hexadecimal = re.fullmatch("[0-9a-f]+", value)
         return "".join("0123456789abcdef"[draw(16)] if hexadecimal else draw.like(c) for c in value)
-    names = NAMES[_script(value)][{"m": "m", "f": "f"}.get(kind, "s")]
-    return names[draw(len(names))].casefold() if attempt < 4 else draw.like(value)
+    script = _script(value)
+    names = NAMES[script].get("s" if kind == "surname" else kind) or NAMES[script]["s"]
+    ending = "а" if script == "cyrillic" and kind == "surname" and value.endswith("а") else ""
+    return "-".join(names[draw(len(names))].casefold() for _ in range(1 + attempt)) + ending
 
 
 def dressed(kind: str, original: str, new: str) -> str:
     """A surrogate's normal form in the format of the original."""
-    if kind in ("card", "phone"):
+    if kind in ("card", "phone", "ssn"):
         it = iter(new)
         return "".join(next(it) if c.isdigit() else c for c in original)
+    if kind == "iban":
+        it = iter(new.upper())
+        return "".join(" " if c == " " else next(it) for c in original)
     if original.isupper() and len(original) > 1:
         return new.upper()
-    if kind in ("m", "f", "surname"):
-        return new[:1].upper() + new[1:] if original[:1].isupper() else new
+    if kind in PERSON:
+        return "-".join(part[:1].upper() + part[1:] for part in new.split("-"))
     if len(new) == len(original):
         return "".join(n.upper() if o.isupper() and len(n.upper()) == 1 else n for n, o in zip(new, original, strict=True))
     return new
@@ -190,16 +276,17 @@ def redrawn(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("kind", "value", "attempt")), pa.array([surrogate(k, v, a, key) for k, v, a in rows], pa.string())], names=["kind", "value", "attempt", "new"])
 
     shape = "kind string, value string, attempt int, new string"
+    # few names stand for many would be a loss, so all surrogates of one sort must differ
+    sort = F.when(F.col("kind").isin(*PERSON), "person").otherwise(F.col("kind"))
+    taken = every.select(sort.alias("sort"), F.col("value").alias("new")).distinct()
     now = written(every.withColumn("attempt", F.lit(0)).mapInArrow(draw, shape))
-    # names stand apart: few stand for many would be a loss, so parts of one kind only must differ
-    taken = every.select("kind", F.col("value").alias("new"), F.lit(True).alias("real"))
     while True:
-        first = Window.partitionBy("kind", "new").orderBy(F.desc("attempt"), "value")
-        held = now.withColumn("turn", F.row_number().over(first)).join(taken, ["kind", "new"], "left")
-        again = written(held.filter("turn > 1 OR real").select("kind", "value", (F.col("attempt") + 1).alias("attempt")))
+        held = now.groupBy(sort.alias("sort"), "new").agg(F.min(F.struct(-F.col("attempt"), "kind", "value")).alias("own"))
+        free = held.join(taken, ["sort", "new"], "left_anti").select("own.kind", "own.value")
+        again = written(now.join(free, ["kind", "value"], "left_anti").select("kind", "value", (F.col("attempt") + 1).alias("attempt")))
         if again.isEmpty():
             return now.filter("attempt > 0").select("kind", "value", "attempt")
-        kept = now.join(again.select("kind", "value"), ["kind", "value"], "left_anti").select("kind", "value", "attempt", "new")
+        kept = now.join(free, ["kind", "value"], "left_semi").select("kind", "value", "attempt", "new")
         now = written(kept.unionByName(again.mapInArrow(draw, shape)))
 
 
