@@ -1,8 +1,8 @@
 """Models, codecs and surrogates: brute force, round trips, held-out quality; edge cases."""
 
 import collections
-import ipaddress
 import hashlib
+import ipaddress
 import math
 import re
 import zlib
