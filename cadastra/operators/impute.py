@@ -6,8 +6,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float], name: str, accuracy: int = 100_000) -> DataFrame:
+    """Exact interpolated percentiles of each group (no keys: of all rows) as an array, without all values of a group in one task.
+
+    A sketch brackets each rank between two values 4 / accuracy of the rows apart; rows are counted by value inside
+    the brackets and as a whole between them, so what meets in one task is a ten-thousandth of the group. Groups
+    below 10 * accuracy rows are counted by value. Nulls are left out; a group of nulls has nulls.
+    """
+    v, margin = F.col("_v"), 2 / accuracy
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    ends = [F.lit(min(max(p + m, 0.0), 1.0)) for p in shares for m in (-margin, margin)]
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", F.array(*ends), accuracy).alias("_ends"), F.count("_v").alias("_n"))
+    large, known = F.col("_n") >= 10 * accuracy, []
+    for i, p in enumerate(shares):
+        low = F.when(large & F.lit(p > margin), F.col("_ends")[2 * i]).otherwise(float("-inf"))
+        known.append((low, F.when(large & F.lit(p < 1 - margin), F.col("_ends")[2 * i + 1]).otherwise(float("inf"))))
+    if keys:
+        same = [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in keys]
+        rows = rows.alias("_l").join(cuts.alias("_r"), same).select(*[F.col(f"_l.{k}").alias(k) for k in keys], "_v", "_ends", "_n")
+    else:
+        rows = rows.join(F.broadcast(cuts), how="cross")
+    inside, last = F.lit(False), F.lit(float("inf"))
+    for low, high in known:
+        inside, last = inside | v.between(low, high), F.least(last, F.when(low > v, low).otherwise(float("inf")))
+    steps = rows.select(*keys, "_n", F.when(inside, v).otherwise(last).alias("_at"), F.coalesce(inside, F.lit(False)).alias("_in"), "_v")
+    steps = steps.groupBy(*keys, "_n", "_at", "_in").agg(F.count("_v").alias("_c"))
+    steps = steps.withColumn("_c", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_at", "_in")))
+    place = [(F.col("_n") - 1) * F.lit(p) for p in shares]
+    found = [F.min(F.when((F.col("_n") > 0) & (F.col("_c") > f(x)), F.struct("_at", "_in"))).alias(f"_{n}_{i}") for i, x in enumerate(place) for n, f in (("a", F.floor), ("b", F.ceil))]
+    out, got = steps.groupBy(*keys, "_n").agg(*found), []
+    for i, x in enumerate(place):
+        a, b = F.col(f"_a_{i}"), F.col(f"_b_{i}")
+        mixed = (F.ceil(x) - x) * a["_at"] + (x - F.floor(x)) * b["_at"]
+        got.append(F.when(~(a["_in"] & b["_in"]), F.raise_error(F.lit("a percentile outside its bracket")).cast("double")).when(a["_at"] == b["_at"], a["_at"]).otherwise(mixed))
+    return out.select(*keys, F.array(*got).alias(name))
+
+
 def group_medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.median(value).alias(name))
+    """(keys, median) of the groups."""
+    return percentiles(df, keys, value, [0.5], "_q").select(*keys, F.col("_q")[0].alias(name))
 
 
 def hierarchical(df: DataFrame, value: str, levels: list[list[str]], output: str) -> DataFrame:
@@ -15,7 +52,7 @@ def hierarchical(df: DataFrame, value: str, levels: list[list[str]], output: str
     names, out = [], df
     for i, keys in enumerate(levels):
         names.append(f"_median_{i}")
-        medians = group_medians(df, keys, value, names[-1]) if keys else df.agg(F.median(value).alias(names[-1]))
+        medians = group_medians(df, keys, value, names[-1])
         out = out.join(medians, keys, "left") if keys else out.join(F.broadcast(medians), how="cross")
     return out.withColumn(output, F.coalesce(F.col(value), *[F.col(n) for n in names])).drop(*names)
 
@@ -49,7 +86,7 @@ def hot_deck(df: DataFrame, row: str, value: str, salt: str, output: str) -> Dat
 
 def rate_tiered(df: DataFrame, group: str, row: str, value: str, salt: str, output: str, most: float = 0.6) -> DataFrame:
     """Missing values of a group: its median while no more than `most` are missing, else drawn from its known ones."""
-    stats = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.count(value).alias("_known"), F.median(value).alias("_median"))
+    stats = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.count(value).alias("_known")).join(group_medians(df, [group], value, "_median"), group)
     deck = numbered(df.filter(F.col(value).isNotNull()).select(group, row, F.col(value).alias("_donor")), [group], row, "_slot").select(group, "_slot", "_donor")
     drawn = df.join(stats, group).withColumn("_slot", F.floor(uniform(F.col(row), F.lit(salt)) * F.col("_known")).cast("long")).join(deck, [group, "_slot"], "left")
     other = F.when(1 - F.col("_known") / F.col("_n") <= most, F.col("_median")).otherwise(F.col("_donor"))
@@ -58,8 +95,10 @@ def rate_tiered(df: DataFrame, group: str, row: str, value: str, salt: str, outp
 
 def filled_with_medians(df: DataFrame, columns: list[str]) -> DataFrame:
     """Each column's missing values by its median."""
-    m = df.agg(*[F.median(c).alias(f"_m_{c}") for c in columns])
-    return df.join(F.broadcast(m), how="cross").withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in columns}).drop(*[f"_m_{c}" for c in columns])
+    for c in columns:
+        m = group_medians(df, [], c, f"_m_{c}")
+        df = df.join(F.broadcast(m), how="cross").withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}"))).drop(f"_m_{c}")
+    return df
 
 
 def without_empty(df: DataFrame, most: float, protected: list[str]) -> DataFrame:
@@ -74,14 +113,14 @@ def without_empty(df: DataFrame, most: float, protected: list[str]) -> DataFrame
 def quantile_trim(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Rows within the quantiles, column after column, each on what the one before left; nulls stay."""
     for c in columns:
-        q = df.agg(F.percentile(c, F.array(F.lit(low), F.lit(high))).alias("_q"))
+        q = percentiles(df, [], c, [low, high], "_q")
         df = df.join(F.broadcast(q), how="cross").filter(F.coalesce(F.col(c).between(F.col("_q")[0], F.col("_q")[1]), F.lit(True))).drop("_q")
     return df
 
 
 def iqr_fences(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Quartiles, fences at 1.5 times their distance, and rows beyond."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    q = percentiles(df, keys, value, [0.25, 0.75], "_q")
     q = q.select(*keys, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3"))
     q = q.withColumn("low", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn("high", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     out = df.join(q, keys).filter((F.col(value) < F.col("low")) | (F.col(value) > F.col("high"))).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_out"))
@@ -93,5 +132,5 @@ def distance_trim(df: DataFrame, columns: list[str], share: float) -> DataFrame:
     stats = df.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
     z = sum((F.pow(F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")), 2) for c in columns), F.lit(0.0))
     scored = df.join(F.broadcast(stats), how="cross").withColumn("z", F.sqrt(z)).drop(*[f"_{n}_{c}" for c in columns for n in "ms"])
-    cut = scored.agg(F.percentile("z", F.lit(1 - share)).alias("_cut"))
+    cut = percentiles(scored, [], "z", [1 - share], "_q").select(F.col("_q")[0].alias("_cut"))
     return scored.join(F.broadcast(cut), how="cross").filter(F.col("z") <= F.col("_cut")).drop("_cut")
