@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Names of months.
+MONTHS = ["janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"]
+
 FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "yyyy/MM/dd")
 #: Days of the units in relative dates.
 DAYS = {"minute": 1 / 1440, "hour": 1 / 24, "day": 1, "week": 7, "month": 30, "year": 365}
@@ -30,6 +33,23 @@ def from_path(c: Column) -> Column:
     return F.try_to_timestamp(F.concat_ws("-", y.cast("string"), F.lpad(m.cast("string"), 2, "0"), F.lit("01")), F.lit("yyyy-MM-dd"))
 
 
+def from_expiry(c: Column, days: int = 90) -> Column:
+    """The instant so many days before the one that a link's parameter oe names by eight hexadecimal digits; null without it."""
+    code = F.nullif(F.regexp_extract(c, r"oe=([0-9A-Fa-f]{8})", 1), F.lit(""))
+    return F.timestamp_seconds(F.conv(code, 16, 10).cast("long") - days * 86400)
+
+
+def french_month(c: Column) -> Column:
+    """(year, month) of a label such as 'février 2024'; nulls without a month or a year."""
+    t = F.lower(c)
+    year = F.nullif(F.regexp_extract(t, r"([0-9]{4})", 1), F.lit("")).try_cast("int")
+    month = F.lit(None).cast("int")
+    for i, name in reversed(list(enumerate(MONTHS, 1))):
+        month = F.when(t.contains(name), i).otherwise(month)
+    both = year.isNotNull() & month.isNotNull()
+    return F.struct(F.when(both, year).alias("year"), F.when(both, month).alias("month"))
+
+
 def french_quarter(c: Column) -> Column:
     """(year, quarter) of a label such as 'deuxième trimestre 2024'."""
     t = F.lower(c)

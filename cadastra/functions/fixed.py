@@ -152,5 +152,25 @@ SOURCE_QUALITY = {"century21": 0.95, "homeintunisia": 0.90, "mubawab": 0.85, "ta
 # The central bank's rate by (year, quarter).
 RATES = {(2022, 1): 6.25, (2022, 2): 6.25, (2022, 3): 7.00, (2022, 4): 8.00, (2023, 1): 8.00, (2023, 2): 8.00, (2023, 3): 8.00, (2023, 4): 8.00, (2024, 1): 7.50, (2024, 2): 7.50, (2024, 3): 7.50, (2024, 4): 7.25, (2025, 1): 7.25, (2025, 2): 7.00, (2025, 3): 7.00, (2025, 4): 7.00}
 
+# Shares of (year, quarter) among the listings without a date.
+DATE_SHARES = {
+    (2022, 1): 0.004, (2022, 2): 0.005, (2022, 3): 0.005, (2022, 4): 0.006,
+    (2023, 1): 0.007, (2023, 2): 0.008, (2023, 3): 0.008, (2023, 4): 0.007,
+    (2024, 1): 0.010, (2024, 2): 0.012, (2024, 3): 0.013, (2024, 4): 0.015,
+    (2025, 1): 0.060, (2025, 2): 0.080, (2025, 3): 0.120, (2025, 4): 0.180,
+    (2026, 1): 0.460,
+}
+
+# Levels of density and the level of other words; population above which a city is high, medium.
+LEVELS, LEVEL_DEFAULT = {"very_high": 5, "high": 4, "medium": 3, "low": 2, "very_low": 1}, 3
+POPULATION_STEPS = [(200_000, "high"), (50_000, "medium")]
+
+# Least and most price a square metre by segment, of other segments; least and most change of prices.
+PRICE_M2_BOUNDS, PRICE_M2_OTHER = {"residentiel": (10, 8000), "foncier": (5, 3000), "commercial": (20, 15000), "divers": (5, 10000)}, (5, 10000)
+CHANGE_BOUNDS = (-50, 200)
+
+# Months of the high season where too few dates are known.
+HIGH_SEASON = [3, 4, 5, 9, 10, 11]
+
 # Accented Latin letters and their plain forms.
 ACCENTED, PLAIN = "àâäáãåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from cadastra.functions.fixed import ACCENTED, PLAIN
 
 
+# Patterns of telephone numbers, in their order.
+PHONES = [r"\+216\s?[0-9]{2}\s?[0-9]{3}\s?[0-9]{3}", r"\+216[0-9]{8}", r"216[0-9]{8}", r"\b([2579][0-9]{7})\b"]
+
+
 def strip_noise(c: Column) -> Column:
     """Only ASCII letters, digits and plain punctuation; white space collapsed; empty as null."""
     ascii_only = F.regexp_replace(c, r"[^\x00-\x7F]", "")
@@ -42,6 +46,19 @@ def hits(c: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [c.contains(w).cast("int") for w in words])
 
 
+def pairs(c: Column, line: str, separator: str) -> Column:
+    """Lines of a label and a value as a map; lines of another form are passed over, of equal labels the last counts."""
+    parts = F.filter(F.transform(F.split(c, line), lambda x: F.transform(F.split(x, separator), lambda v: F.trim(v))), lambda p: F.size(p) == 2)
+    last = F.filter(parts, lambda p, i: ~F.exists(F.slice(parts, i + 2, F.size(parts)), lambda q: q[0] == p[0]))
+    return F.map_from_entries(F.transform(last, lambda p: F.struct(p[0].alias("key"), p[1].alias("value"))))
+
+
+def phone(c: Column) -> Column:
+    """The first number of a text, by ordered patterns, as its last eight digits; null without one."""
+    found = [F.nullif(F.regexp_extract(c, p, 0), F.lit("")) for p in PHONES]
+    return F.right(F.regexp_replace(F.coalesce(*found), r"[^0-9]", ""), F.lit(8))
+
+
 def first_match(c: Column, rules: dict[str, list[str]], default: str | None) -> Column:
     """The first label one of whose words the text contains."""
     out = F.when(F.lit(False), F.lit(None).cast("string"))

@@ -63,6 +63,26 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
+def drawn(u: Column, choices: list[tuple[Column, float]]) -> Column:
+    """The choice into whose share of the weights a number in [0, 1) falls."""
+    total, above = sum(w for _, w in choices), 0.0
+    ends = []
+    for c, w in choices:
+        above += w
+        ends.append((c, above / total))
+    out = ends[-1][0]
+    for c, end in reversed(ends[:-1]):
+        out = F.when(u < end, c).otherwise(out)
+    return out
+
+
+def filled_with_mode(df: DataFrame, keys: list[str], value: str, default: str) -> DataFrame:
+    """Missing values by the most frequent one of their group (ties: the smallest), else the default."""
+    n = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    best = F.min_by(value, F.struct(-F.col("_n"), value)).alias("_mode")
+    return df.join(n.groupBy(*keys).agg(best), keys, "left").withColumn(value, F.coalesce(value, "_mode", F.lit(default))).drop("_mode")
+
+
 def numbered(df: DataFrame, keys: list[str], row: str, output: str) -> DataFrame:
     """df with a number from 0 on in each group, in an order by the md5 of the row's id: counted in 4,096 buckets, so that no group meets in one task."""
     df = df.withColumn("_bucket", F.substring(F.md5(F.col(row).cast("string")), 1, 3))

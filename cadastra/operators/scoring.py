@@ -21,6 +21,21 @@ def minmax(df: DataFrame, value: str, output: str) -> DataFrame:
     return df.join(F.broadcast(ends), how="cross").withColumn(output, F.coalesce(x, F.lit(0.5))).drop("_lo", "_hi")
 
 
+def weighted_minmax(df: DataFrame, parts: list[tuple[Column, float]], output: str, digits: int = 4) -> DataFrame:
+    """The weighted sum of the parts, each scaled to 0 to 1 over all rows: one pass finds all ends."""
+    names = [f"_part_{i}" for i in range(len(parts))]
+    wide = df.select("*", *[c.alias(n) for (c, _), n in zip(parts, names, strict=True)])
+    ends = wide.agg(*[f(n).alias(f"{n}_{e}") for n in names for f, e in ((F.min, "lo"), (F.max, "hi"))])
+
+    def scaled(n: str) -> Column:
+        low, high = F.col(f"{n}_lo"), F.col(f"{n}_hi")
+        return F.coalesce(F.when(low == high, clip(F.col(n), 0.0, 1.0)).otherwise((F.col(n) - low) / F.nullif(high - low, F.lit(0.0))), F.lit(0.5))
+
+    score = sum((scaled(n) * w for n, (_, w) in zip(names, parts, strict=True)), F.lit(0.0))
+    out = wide.join(F.broadcast(ends), how="cross").withColumn(output, F.round(score, digits))
+    return out.select(*df.columns, output)
+
+
 def hierarchical_code(df: DataFrame, group: str, key: str, rare: int) -> DataFrame:
     """(group, key, n, code): group * 1000 + rank by frequency; keys rarer than `rare` share group * 1000."""
     n = df.groupBy(group, key).agg(F.count(F.lit(1)).alias("n"))

@@ -92,17 +92,37 @@ def high_season_from_data(spark, sf_dir):
     return m.withColumn("high_season", F.col("n") > F.median("n").over(every()))
 
 
-@query("SELECT event_id, make_timestamp((('0x' || lower(to_hex((floor(epoch(ts))::BIGINT))))::BIGINT - 90 * 86400) * 1000000) AS published FROM events")
+#: Links of pictures of seven forms, from the md5 of an event's number: with an expiry, in capitals, short of a digit, with other letters, without it, empty, null.
+LINK = """CASE event_id % 7
+ WHEN 0 THEN concat('https://cdn.example/v/a.jpg?oh=00_', h, '&oe=6', substring(h, 1, 7), '&_nc=1')
+ WHEN 1 THEN concat('https://cdn.example/b.png?oe=5', upper(substring(h, 3, 7)))
+ WHEN 2 THEN concat('https://cdn.example/c.png?oe=', substring(h, 1, 5))
+ WHEN 3 THEN concat('https://cdn.example/d.png?oe=zz', h)
+ WHEN 4 THEN 'https://cdn.example/e.png'
+ WHEN 5 THEN '' END"""
+
+
+@query(f"WITH l AS (SELECT event_id, {LINK} AS link FROM (SELECT event_id, md5(event_id::VARCHAR) AS h FROM events)), x AS (SELECT event_id, nullif(regexp_extract(link, 'oe=([0-9A-Fa-f]{{8}})', 1), '') AS code FROM l) SELECT event_id, make_timestamp((('0x' || lower(code))::BIGINT - 90 * 86400) * 1000000) AS published FROM x")
 def hex_epoch_dates(spark, sf_dir):
-    code = F.hex(F.unix_timestamp(F.col("ts").cast("timestamp")))  # as in an expiry parameter of a link
-    seconds = F.conv(code, 16, 10).cast("long") - 90 * 86400
-    return read(spark, sf_dir, "events").select("event_id", F.timestamp_seconds(seconds).cast("timestamp_ntz").alias("published"))
+    e = read(spark, sf_dir, "events").select("event_id", F.md5(F.col("event_id").cast("string")).alias("h"))
+    return e.select("event_id", dates.from_expiry(F.expr(LINK)).cast("timestamp_ntz").alias("published"))
+
 
+#: Paths of pictures of seven forms, from an order's number: with a month, with a month that is none, without a day's folder, and others.
+PATH = """CASE o_orderkey % 7
+ WHEN 0 THEN concat('https://x.example/wp/uploads/', y, '/', m, '/a-300x200.jpg')
+ WHEN 1 THEN concat('/uploads/', y, '/', m, '/uploads/1999/12/b.jpg')
+ WHEN 2 THEN concat('/uploads/', y, '/13/c.jpg')
+ WHEN 3 THEN concat('/uploads/', y, '/00/d.jpg')
+ WHEN 4 THEN concat('/uploads/', y, '-', m, '/e.jpg')
+ WHEN 5 THEN '' END"""
+PATH_PARTS = {"y": "CAST(2015 + o_custkey % 11 AS STRING)", "m": "lpad(CAST(1 + o_orderkey % 12 AS STRING), 2, '0')"}
 
-@query("SELECT o_orderkey, date_trunc('month', o_orderdate)::TIMESTAMP AS uploaded FROM orders")
+
+@query(f"WITH p AS (SELECT o_orderkey, {PATH} AS p FROM (SELECT *, {PATH_PARTS['y']} AS y, {PATH_PARTS['m']} AS m FROM orders)) SELECT o_orderkey, try_strptime(regexp_extract(p, '/uploads/([0-9]{{4}}/[0-9]{{2}})/', 1) || '/01', '%Y/%m/%d') AS uploaded FROM p")
 def path_dates(spark, sf_dir):
-    path = F.concat(F.lit("/uploads/"), F.date_format("o_orderdate", "yyyy/MM"), F.lit("/x.jpg"))
-    return read(spark, sf_dir, "orders").select("o_orderkey", dates.from_path(path).cast("timestamp_ntz").alias("uploaded"))
+    o = read(spark, sf_dir, "orders").withColumns({n: F.expr(e) for n, e in PATH_PARTS.items()})
+    return o.select("o_orderkey", dates.from_path(F.expr(PATH)).cast("timestamp_ntz").alias("uploaded"))
 
 
 @query("""WITH s AS (SELECT p_partkey, least(100, round(least(p_size * 11, 500) / 500.0 * 60 + (p_partkey % 6) / 5.0 * 30 + CASE WHEN p_partkey % 2 = 0 THEN 10 ELSE 0 END, 0))::INT AS score FROM part)
@@ -175,10 +195,19 @@ def symbol_strip(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(F.trim(F.regexp_replace(t, "[ \t\n\r]+", " "))).alias("clean"))
 
 
-@query("SELECT p_partkey, p_brand AS brand, p_size AS size FROM part")
+#: Criteria of a part as lines of labels and values: repeated labels, lines without a value, values with a second colon, none, null.
+CRITERIA = """CASE p_partkey % 5
+ WHEN 0 THEN concat('brand : ', p_brand, '|size: ', CAST(p_size AS STRING), '|name: ', p_name)
+ WHEN 1 THEN concat('size: 0|brand:', p_brand, '|no value|size:', CAST(p_size AS STRING))
+ WHEN 2 THEN concat('brand: ', p_brand, ': ', p_type, '|size: n/a')
+ WHEN 3 THEN '' END"""
+
+
+@query(f"""WITH c AS (SELECT p_partkey, {CRITERIA} AS c FROM part), l AS (SELECT p_partkey, unnest(string_split(c, '|')) AS line, generate_subscripts(string_split(c, '|'), 1) AS i FROM c),
+k AS (SELECT p_partkey, i, trim(split_part(line, ':', 1)) AS k, trim(split_part(line, ':', 2)) AS v FROM l WHERE len(string_split(line, ':')) = 2)
+SELECT p_partkey, arg_max(v, i) FILTER (WHERE k = 'brand') AS brand, try_cast(arg_max(v, i) FILTER (WHERE k = 'size') AS INT) AS size FROM part LEFT JOIN k USING (p_partkey) GROUP BY 1""")
 def label_value_map(spark, sf_dir):
-    lines = F.concat(F.lit("brand: "), F.col("p_brand"), F.lit("\nsize: "), F.col("p_size").cast("string"))
-    m = F.str_to_map(lines, F.lit("\n"), F.lit(": "))
+    m = text.pairs(F.expr(CRITERIA), r"\|", ":")
     return read(spark, sf_dir, "part").select("p_partkey", F.try_element_at(m, F.lit("brand")).alias("brand"), F.try_element_at(m, F.lit("size")).try_cast("int").alias("size"))
 
 
