@@ -19,7 +19,8 @@ All training documents are counted and all documents scored whole. How it runs:
 2. Chunks ask the partitions of the word hashes for counts and get numbers of words back,
    in the order in which they asked, so that no key travels twice.
 3. Pairs of words, counted within a chunk, meet in partitions by a hash of the pair. A pair
-   that occurs once always has one table, so sweeps hold only the pairs that repeat.
+   that occurs once always has one table, so sweeps hold only the pairs that repeat; the
+   others are written once, so that every pair's count is looked up when texts are scored.
 4. In a sweep, partitions of pairs tell partitions of words their sums of tables, and are
    told the parent's probabilities and the contexts' tables.
 5. Chunks ask again, for all their pairs and words, and score their documents.
@@ -379,7 +380,7 @@ def summed(u: np.ndarray, w: np.ndarray, n: np.ndarray):
 
 # sweeps: states of partitions of pairs and of words, and what they tell each other
 
-#: to -1: a partition's own state, otherwise what it tells the partition `to` (of words: words, contexts, the tables and at first the customers of either).
+#: to -1: a partition's own state, -2: its pairs that occur once, otherwise what it tells the partition `to` (of words: words, contexts, the tables and at first the customers of either).
 PAIRS = shape(part="l", to="l", u="b", w="b", c="b", t="b", ts="b", more="b", like="ad")
 WORDS = shape(part="l", to="l", c="b", rest_w="b", rest_u="b", g="b", t0="b", tu="b", gs="ab", t0s="ab", tus="ab", sums="ad", like="ad")
 
@@ -402,12 +403,15 @@ def told_words(part: int, state, base: np.ndarray, first: bool, like: list) -> p
 
 
 def first_pairs(texts: DataFrame, parts: int, base: np.ndarray) -> DataFrame:
-    """The pairs that repeat in the training texts, with a table each."""
+    """All pairs of the training texts: those that repeat as states, with a table each, and those that occur once beside them."""
 
     def meet(asked: pa.Table) -> pa.Table:
+        part = asked.column("part")[0].as_py()
         u, w, c, _ = summed(joined(asked.column("u"), unsteps), joined(asked.column("w")), joined(asked.column("n")))
+        once = (part, -2, steps(u[c == 1]), squeeze(w[c == 1]), None, None, None, None, None)
         u, w, c = u[c > 1], w[c > 1], c[c > 1]
-        return told_words(asked.column("part")[0].as_py(), (u, w, c, np.ones_like(c), np.zeros_like(c)), base, True, [0.0] * len(DISCOUNTS))
+        told = told_words(part, (u, w, c, np.ones_like(c), np.zeros_like(c)), base, True, [0.0] * len(DISCOUNTS))
+        return pa.concat_tables([told, pa.Table.from_batches([batch(PAIRS[0], [once])])])
 
     return written(asked_pairs(texts, parts, True).groupBy("part").applyInArrow(meet, PAIRS[1]))
 
@@ -478,13 +482,13 @@ def seat_pairs(pairs: DataFrame, words: DataFrame, base: np.ndarray, unit: float
             ts = ts + t if sweep > BURN else ts
         return told_words(row["part"], (u, w, c, t, ts), base, False, seatings(c, t) if sweep <= BURN else [])
 
-    states = pairs.filter(F.col("to") < 0).groupBy("part")
+    states = pairs.filter(F.col("to") == -1).groupBy("part")
     return written(states.cogroup(words.filter(F.col("to") >= 0).groupBy("to")).applyInArrow(run, PAIRS[1]))
 
 
 def totals(states: DataFrame, column: str) -> np.ndarray:
     """The sums of an array column over the partitions' states."""
-    rows = states.filter(F.col("to") < 0).select(F.posexplode(column).alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()  # one row a place
+    rows = states.filter(F.col("to") == -1).select(F.posexplode(column).alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()  # one row a place
     return np.array([r["x"] for r in sorted(rows, key=lambda r: r["at"])])
 
 
@@ -503,9 +507,10 @@ class Model:
 
 
 def sampled(texts: DataFrame, met: DataFrame, base: np.ndarray, model: Model, start: tuple[int, int], end: int):
-    """The states of words and of pairs after all sweeps; fills the model's levels and samples."""
+    """The states of words and of pairs after all sweeps, and the pairs that occur once; fills the model's levels and samples."""
     words = met.filter("chunk < 0").select("part", F.lit(-1).cast("long").alias("to"), F.col("b").alias("c"), *[F.lit(None).cast("binary").alias(n) for n in ("rest_w", "rest_u", "g", "t0", "tu")], *[F.lit(None).cast("array<binary>").alias(n) for n in ("gs", "t0s", "tus")], *[F.lit(None).cast("array<double>").alias(n) for n in ("sums", "like")])
     pairs = first_pairs(texts, model.parts, base)
+    once = written(pairs.filter("to = -2").select("part", "u", "w"), codec="zstd")
     guests, tables, old = 0.0, float(model.distinct), None
     for sweep in range(BURN + SAMPLES + 1):
         if sweep:
@@ -528,7 +533,7 @@ def sampled(texts: DataFrame, met: DataFrame, base: np.ndarray, model: Model, st
                 model.level = pick(top + like[cells:, None], sweep, 2)
         else:
             model.samples.append((guests, tables))
-    return words, pairs
+    return words, pairs, once
 
 
 # scores
@@ -536,32 +541,50 @@ def sampled(texts: DataFrame, met: DataFrame, base: np.ndarray, model: Model, st
 TOLD = shape(part="l", chunk="l", kind="l", a="b", b="b", more="ab")
 
 
-def told_pairs(texts: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
-    """For each chunk and partition counts of the pairs that the chunk asks for, and sums of their tables over the samples."""
+def found_pairs(known: tuple[np.ndarray, np.ndarray], u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Each pair's place among distinct known pairs, or -1; both numbers are compared."""
+    us, ws = (np.unique(x) for x in known)
+    key = np.searchsorted(us, known[0]) * len(ws) + np.searchsorted(ws, known[1])
+    if not len(key):
+        return np.full(len(u), -1)
+    order = np.argsort(key)
+    at_u, at_w = (np.minimum(np.searchsorted(x, y), len(x) - 1) for x, y in ((us, u), (ws, w)))
+    asked = at_u * len(ws) + at_w
+    place = np.minimum(np.searchsorted(key, asked, sorter=order), len(key) - 1)
+    place = order[place]
+    return np.where((us[at_u] == u) & (ws[at_w] == w) & (key[place] == asked), place, -1)
+
+
+def told_pairs(texts: DataFrame, pairs: DataFrame, once: DataFrame, parts: int) -> DataFrame:
+    """For each chunk and partition counts of the pairs that the chunk asks for, and sums of their tables over the samples.
+
+    Both come from the partition's own pairs, never from what happens to be asked at once.
+    """
     schema, spark = TOLD
 
     def run(own: pa.Table, asked: pa.Table) -> pa.Table:
         if not asked.num_rows:
             return pa.Table.from_batches([batch(schema, [])])
-        n = [unsqueeze(x.as_py()) for x in asked.column("n")]
-        u, w, c, at = summed(joined(asked.column("u"), unsteps), joined(asked.column("w")), np.concatenate(n))
-        ts = c.clip(max=1) * SAMPLES
-        if own.num_rows:
-            row = own.to_pylist()[0]
-            su, sw, s = unsteps(row["u"]), unsqueeze(row["w"]), unsqueeze(row["ts"])
-            # both in order, and all that repeat are asked for by their own texts
-            order = np.lexsort((np.concatenate([w, sw]), np.concatenate([u, su])))
-            pos = np.empty(len(order), dtype=np.int64)
-            pos[order] = np.arange(len(order))
-            before = np.cumsum(order < len(u))
-            ts[before[pos[len(u) :]] - 1] = s
-        c, ts = c[at], ts[at]
-        cuts = np.cumsum([0, *map(len, n)])
-        part, chunk = asked.column("part")[0].as_py(), asked.column("chunk").to_pylist()
-        return pa.Table.from_batches([batch(schema, [(part, k, 0, squeeze(c[a:b]), squeeze(ts[a:b]), None) for k, a, b in zip(chunk, cuts[:-1], cuts[1:], strict=True)])])
+        rows = sorted(own.to_pylist(), key=lambda r: r["to"])  # those that occur once, then those that repeat
+        u, w = np.concatenate([np.zeros(0, np.int64), *(unsteps(r["u"]) for r in rows)]), np.concatenate([np.zeros(0, np.int64), *(unsqueeze(r["w"]) for r in rows)])
+        c, ts = np.ones(len(u) + 1, dtype=np.int64), np.full(len(u) + 1, SAMPLES)
+        for r in rows:
+            if r["to"] == -1:
+                repeat = unsqueeze(r["c"])
+                c[len(u) - len(repeat) : -1], ts[len(u) - len(repeat) : -1] = repeat, unsqueeze(r["ts"])
+        c[-1] = ts[-1] = 0  # of a pair not seen in training
+        part, out = asked.column("part")[0].as_py(), []
+        sets = [(unsteps(a.as_py()), unsqueeze(b.as_py())) for a, b in zip(asked.column("u"), asked.column("w"), strict=True)]
+        at = found_pairs((u, w), *(np.concatenate(x) for x in zip(*sets, strict=True)))
+        lo = 0
+        for chunk, (x, _) in zip(asked.column("chunk").to_pylist(), sets, strict=True):
+            own_at, lo = at[lo : lo + len(x)], lo + len(x)
+            out.append((part, chunk, 0, squeeze(c[own_at]), squeeze(ts[own_at]), None))
+        return pa.Table.from_batches([batch(schema, out)])
 
-    states = pairs.filter(F.col("to") < 0).groupBy("part")
-    return states.cogroup(asked_pairs(texts, parts, False).groupBy("part")).applyInArrow(run, spark)
+    states = pairs.filter("to = -1").select("part", "to", "u", "w", "c", "ts")
+    single = once.select("part", F.lit(-2).cast("long").alias("to"), "u", "w", F.lit(None).cast("binary").alias("c"), F.lit(None).cast("binary").alias("ts"))
+    return states.unionByName(single).groupBy("part").cogroup(asked_pairs(texts, parts, False).drop("n").groupBy("part")).applyInArrow(run, spark)
 
 
 def told_words_again(texts: DataFrame, words: DataFrame, base: np.ndarray) -> DataFrame:
@@ -615,7 +638,7 @@ def score(docs: DataFrame) -> DataFrame:
     model = Model(total, distinct, parts)
     known = named(texts, met.filter("chunk >= 0").select("part", "chunk", "a"), base)
     discard(texts)
-    words, pairs = sampled(known, met, base, model, (start, train_docs), end)
+    words, pairs, once = sampled(known, met, base, model, (start, train_docs), end)
     discard(met)
     low = total + 0.5 * (distinct + 1)
 
@@ -652,6 +675,8 @@ def score(docs: DataFrame) -> DataFrame:
         pair_c, pair_t = np.zeros(len(pu)), np.zeros(len(pu))
         pair_c[asked], pair_t[asked] = joined(of_pairs.column("a")), joined(of_pairs.column("b")) / SAMPLES
         logs = np.log10((pair_c[at] - d * pair_t[at] + up) / (theta + customers[u]))
+        if not np.isfinite(logs).all():
+            raise ArithmeticError("a token's probability is not a positive number: counts and tables of its pair do not fit")
         begin, count = starts[:-1], c[tokens]
         rows = len(begin)
         held = np.frombuffer(row["held"], dtype=np.uint8) == 1
@@ -669,11 +694,11 @@ def score(docs: DataFrame) -> DataFrame:
     scores = []
     for turn in range(TURNS):  # a part of the chunks at a time, so that what travels takes a part of the disk
         own = known.filter(F.pmod(F.xxhash64("chunk"), F.lit(TURNS)) == turn)
-        told = told_pairs(own, pairs, parts).unionByName(told_words_again(own, words, base))
+        told = told_pairs(own, pairs, once, parts).unionByName(told_words_again(own, words, base))
         scores.append(written(own.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(judge, spark)))
         del own, told
         if turn == TURNS - 1:
-            for table in (known, words, pairs):
+            for table in (known, words, pairs, once):
                 discard(table)
         else:
             settle(known)

@@ -6,13 +6,15 @@ import collections
 import zlib
 
 import numpy as np
-
+import pytest
 from pyspark.sql import functions as F
 
 from cadastra.llm import pitman_yor, suffixes
 
 # op6
 
+ONE_CHUNK: dict = {}
+
 
 def split(n):
     """n ids of training and of held-out documents."""
@@ -31,6 +33,24 @@ def test_pairs_beyond_the_most_frequent_words(spark):
     assert score[held[0]] > score[held[1]] + 1
 
 
+@pytest.mark.parametrize(("parts", "turns"), [(4, 3), (17, 1), (17, 5)])
+def test_scores_do_not_depend_on_chunks_and_turns(spark, monkeypatch, parts, turns):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    if "scores" not in ONE_CHUNK:
+        ONE_CHUNK["scores"] = {r["doc_id"]: r["score"] for r in pitman_yor.score(docs.coalesce(1)).collect()}
+    monkeypatch.setattr(pitman_yor, "TURNS", turns)
+    found = {r["doc_id"]: r["score"] for r in pitman_yor.score(docs.repartition(parts, "doc_id")).collect()}
+    assert found.keys() == ONE_CHUNK["scores"].keys() and all(np.isfinite(x) for x in found.values())
+    assert all(np.isclose(x, found[k], rtol=1e-12) for k, x in ONE_CHUNK["scores"].items())
+
+
+def test_found_pairs_compares_both_numbers():
+    u, w = np.array([3, 3, 7, 9]), np.array([5, 8, 5, 9])
+    at = pitman_yor.found_pairs((u, w), np.array([7, 3, 3, 9, 1, 7]), np.array([5, 8, 9, 9, 5, 8]))
+    assert at.tolist() == [2, 1, -1, 3, -1, -1]
+    assert pitman_yor.found_pairs((u[:0], w[:0]), u, w).tolist() == [-1] * 4
+
+
 def test_probabilities_sum_to_one(spark):
     texts = ["a b a b c", "a b b", "c a b a a d", "a " * 300, "b b " * 90]
     ids = split(5)[0]
@@ -44,8 +64,8 @@ def test_probabilities_sum_to_one(spark):
     base = np.zeros(1, dtype=np.int64)
     model = pitman_yor.Model(row["total"], row["words"], 1)
     named = pitman_yor.named(coded, met.filter("chunk >= 0"), base)
-    words, pairs = pitman_yor.sampled(named, met, base, model, (start, 5), end)
-    w, p = (x.filter("to < 0").first() for x in (words, pairs))
+    words, pairs, _ = pitman_yor.sampled(named, met, base, model, (start, 5), end)
+    w, p = (x.filter("to = -1").first() for x in (words, pairs))
     read = pitman_yor.unsqueeze
     c = read(w["c"])
     c[start - 1], own = 5, np.arange(1, len(c) + 1) != start
