@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cadastra.functions import extract, fixed, text
+from cadastra.functions import extract, fixed, nested, text
 from cadastra.operators import dedup, impute, lookup
 from cadastra.plans.tables import LISTINGS, listings, read
+from cadastra.sources import markup
 
 QUERIES: dict = {}
 
@@ -254,21 +255,50 @@ r AS (SELECT n_name, unnest(regexp_extract_all(html, '<tr><td>.*?</tr>')) AS row
 SELECT n_name, trim(regexp_extract(row, '<td>(.*?)</td><td>(.*?)</td>', 1)) AS name, replace(trim(regexp_extract(row, '<td>(.*?)</td><td>(.*?)</td>', 2)), ',', '.')::DOUBLE AS balance FROM r""")
 def html_table(spark, sf_dir):
     s = read(spark, sf_dir, "supplier").join(lookup.dimension(read(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
-    row = F.concat(F.lit("<tr><td>"), "s_name", F.lit("</td><td> "), F.col("s_suppkey").cast("string"), F.lit(",5 </td></tr>"))
-    html = s.groupBy("n_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", row.alias("row")))), lambda x: x["row"]), "").alias("body"))
-    rows = html.select("n_name", F.explode(F.regexp_extract_all("body", F.lit("(<tr><td>.*?</tr>)"), F.lit(1))).alias("row"))
-    cells = F.regexp_extract_all("row", F.lit("<td>(.*?)</td>"), F.lit(1))
-    return rows.select("n_name", F.trim(cells[0]).alias("name"), text.number(F.trim(cells[1])).alias("balance"))
+    row = F.concat(F.lit("<tr><td>"), "s_name", F.lit("<td> "), F.col("s_suppkey").cast("string"), F.lit(",5 "))
+    body = s.groupBy("n_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", row.alias("row")))), lambda x: x["row"]), "").alias("body"))
+    cells = markup.tables(body.select("n_name", F.concat(F.lit("<table><tr><th>name</th><th>balance</th></tr>"), "body").alias("html")), "n_name", "html")
+    of = lambda name: F.max(F.when(F.col("header") == name, F.col("value")))
+    return cells.groupBy("n_name", "table", "line").agg(of("name").alias("name"), text.number(of("balance")).alias("balance")).select("n_name", "name", "balance")
+
+
+#: The links of a page's navigation as a table with two rows of headers, spans and tags that are never closed, in the midst of the page.
+AS_TABLE = [("<nav><ul>", "<table><thead><tr><th rowspan=2>path<th colspan=2>text<th></tr><tr><th>name<th>kind<th></thead>"), ('<li><a href="([^"]*)">([^<]*)</a></li>', "<tr><td>$1<td> <b>$2</b> <td colspan=2>link &lt;a&gt;"), ("</ul></nav>", "</table>")]
+
+
+@query("""WITH m AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>.*?</nav>'), '<li><a href="([^"]*)">([^<]*)</a></li>', 0) AS li FROM pages), i AS (SELECT page_id, unnest(range(0, len(li))) AS line, unnest(li) AS li FROM m),
+c AS (SELECT page_id, line::INT AS line, regexp_extract(li, 'href="([^"]*)"', 1) AS a, regexp_extract(li, '">([^<]*)</a>', 1) AS b FROM i)
+SELECT * FROM (SELECT page_id, line, 0 AS at, 'path' AS header, trim(a) AS value FROM c UNION ALL SELECT page_id, line, 1, 'text name', trim(b) FROM c UNION ALL SELECT page_id, line, 2, 'text kind', 'link <a>' FROM c UNION ALL SELECT page_id, line, 3, 'Col_3', 'link <a>' FROM c) WHERE value <> ''""")
+def html_page_tables(spark, sf_dir):
+    html = F.col("html")
+    for pattern, tags in AS_TABLE:
+        html = F.regexp_replace(html, pattern, tags)
+    cells = markup.tables(read(spark, sf_dir, "pages").select("page_id", html.alias("html")), "page_id", "html")
+    return cells.filter("table = 0").select("page_id", "line", "at", "header", "value")
 
 
 NESTED = "concat('{\"', event_type, '\":[{\"note\":', CAST(value AS STRING), ',\"avis\":', CAST(user_id AS STRING), '},{\"note\":null,\"avis\":1}],\"none\":[]}')"
 
 
-@query("SELECT event_type AS region, count(value)::BIGINT AS rated, (sum(user_id) + count(*))::BIGINT AS avis FROM events GROUP BY 1")
+@query("""WITH j AS (SELECT ('{"' || event_type || '":[{"note":' || value || ',"avis":' || user_id || '},{"note":null,"avis":1}],"none":[]}')::JSON AS j FROM events), r AS (SELECT k.key AS region, k.value AS places FROM j, json_each(j.j) k)
+SELECT region, count(try_cast(p.value ->> 'note' AS DOUBLE))::BIGINT AS rated, sum((p.value ->> 'avis')::BIGINT)::BIGINT AS avis FROM r, json_each(r.places) p GROUP BY 1""")
 def nested_json(spark, sf_dir):
-    schema = "map<string, array<struct<note: double, avis: long>>>"
-    places = read(spark, sf_dir, "events").select(F.explode(F.from_json(F.expr(NESTED), schema)).alias("region", "places"))
-    return places.select("region", F.explode("places").alias("p")).groupBy("region").agg(F.count("p.note").alias("rated"), F.sum("p.avis").alias("avis"))
+    """Places by region from objects whose keys are not known before."""
+    regions = nested.entries(read(spark, sf_dir, "events").select(F.try_parse_json(F.expr(NESTED)).alias("v")), "v", "_pos", "region", "places")
+    p = nested.entries(regions.select("region", "places"), "places", "_pos", "_key", "p")
+    return p.groupBy("region").agg(F.count(F.try_variant_get("p", "$.note", "double")).alias("rated"), F.sum(F.try_variant_get("p", "$.avis", "long")).alias("avis"))
+
+
+@query("""SELECT event_type, p.key AS path, count(*)::BIGINT AS n, round(avg(p.value::DOUBLE), 6)::DOUBLE AS mean, 0::BIGINT AS broken FROM (SELECT event_type, props::JSON AS j FROM events WHERE json_valid(props)) e, json_each(e.j) p GROUP BY 1, 2
+UNION ALL SELECT event_type, NULL, 0, NULL, count(*) FROM (SELECT event_type, CASE WHEN event_id % 9 = 0 THEN props[:4] ELSE props END AS props FROM events) WHERE NOT json_valid(props) GROUP BY 1""")
+def json_props(spark, sf_dir):
+    """Leaves of raw properties by path, and how many texts of a kind that lost their ends are no JSON."""
+    e = read(spark, sf_dir, "events")
+    found = nested.leaves(e, "event_id", "props").join(e.select("event_id", "event_type"), "event_id")
+    found = found.groupBy("event_type", "path").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.expr("try_cast(value AS DOUBLE)")), 6).alias("mean")).withColumn("broken", F.lit(0).cast("long"))
+    cut = e.select("event_id", F.when(F.col("event_id") % 9 == 0, F.substring("props", 1, 4)).otherwise(F.col("props")).alias("props"))
+    lost = nested.malformed(cut, "event_id", "props").join(e.select("event_id", "event_type"), "event_id").groupBy("event_type").agg(F.count(F.lit(1)).alias("broken"))
+    return found.unionByName(lost.select("event_type", F.lit(None).cast("string").alias("path"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("mean"), "broken"))
 
 
 @query("SELECT o_orderkey, o_totalprice, sparse AS kept_sparse FROM (SELECT *, CASE WHEN o_orderkey % 10 = 0 THEN 1 END AS sparse FROM orders)")

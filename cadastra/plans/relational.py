@@ -251,7 +251,8 @@ def nearest_period_lookup(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"), F.quarter("o_orderdate").alias("q"))
     d = spark.createDataFrame(_SPARSE, "dy int, dq int, rate double")
     away = F.abs(4 * (F.col("y") - F.col("dy")) + F.col("q") - F.col("dq"))
-    return lookup.nearest(o, d, ["y", "q"], away, ["dy", "dq"], ["rate"]).select("o_orderkey", "rate")
+    at, dim_at = ((4 * F.col(y) + F.col(q), F.lit(0.0)) for y, q in (("y", "q"), ("dy", "dq")))
+    return lookup.nearest(o, d, ["y", "q"], at, dim_at, away, ["dy", "dq"], ["rate"]).select("o_orderkey", "rate")
 
 
 @query("""WITH c AS (SELECT c_custkey, 30 + (c_custkey * 37 % 1000) / 100.0 AS lat, 5 + (c_custkey * 91 % 1000) / 100.0 AS lon FROM customer), n AS (SELECT n_nationkey, 30 + (n_nationkey * 7 % 25) / 2.5 AS nlat, 5 + (n_nationkey * 11 % 25) / 2.5 AS nlon FROM nation),
@@ -261,7 +262,8 @@ def nearest_centroid(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select("c_custkey", (30 + (F.col("c_custkey") * 37 % 1000) / 100.0).alias("lat"), (5 + (F.col("c_custkey") * 91 % 1000) / 100.0).alias("lon"))
     n = read(spark, sf_dir, "nation").select("n_nationkey", (30 + (F.col("n_nationkey") * 7 % 25) / 2.5).alias("nlat"), (5 + (F.col("n_nationkey") * 11 % 25) / 2.5).alias("nlon"))
     km = lookup.planar_km(F.col("lat"), F.col("lon"), F.col("nlat"), F.col("nlon"))
-    out = lookup.nearest(c, n.withColumn("nk", F.col("n_nationkey")), ["lat", "lon"], F.round(km, 6), ["nk"], ["n_nationkey", "nlat", "nlon"])
+    at, dim_at = lookup.plane(F.col("lat"), F.col("lon")), lookup.plane(F.col("nlat"), F.col("nlon"))
+    out = lookup.nearest(c, n, ["lat", "lon"], at, dim_at, F.round(km, 6), ["n_nationkey"], ["n_nationkey", "nlat", "nlon"])
     return out.select("c_custkey", "n_nationkey", F.round(km, 3).alias("km"))
 
 

@@ -1,4 +1,4 @@
-"""Resumable ingest with Structured Streaming: new files only, late repeats dropped, windows closed by a watermark."""
+"""Resumable ingest with Structured Streaming: new files only, late repeats dropped, counts of open and closed windows."""
 
 from __future__ import annotations
 
@@ -15,10 +15,23 @@ def ingest(spark: SparkSession, source: str, schema, key: str, time: str, out: s
     rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
-def daily_counts(spark: SparkSession, source: str, schema, time: str, by: str) -> DataFrame:
-    """Counts by day from a stream in append mode; the days that the watermark (none late) has closed."""
-    out, state = shared_folder(spark, "daily"), shared_folder(spark, "state")
-    rows = spark.readStream.schema(schema).parquet(source).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, "0 seconds")
+def daily_counts(spark: SparkSession, source: str, schema, time: str, by: str, out: str | None = None, state: str | None = None, late: str | None = None, files: int | None = None) -> DataFrame:
+    """Counts by day from a stream: every day so far, the open one too, as of all files read by now.
+
+    Each micro-batch writes the counts that it changed under its number, so a batch that runs again writes the same folder
+    and the latest number of a day stands; `state` remembers the counts and where the stream stopped. With `late` a day's
+    state goes, and rows for it with it, once the watermark has passed its end; without, no row is ever too late. `files`:
+    new files in a batch at most.
+    """
+    out, state = out or shared_folder(spark, "daily"), state or shared_folder(spark, "state")
+    reader = spark.readStream.schema(schema)
+    rows = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(source).withColumn(time, F.col(time).cast("timestamp"))
+    rows = rows.withWatermark(time, late) if late else rows
     counts = rows.groupBy(F.window(time, "1 day").alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("day"), by, "n")
-    counts.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+
+    def save(changed: DataFrame, number: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    spark.createDataFrame([], counts.schema).write.mode("overwrite").parquet(f"{out}/batch=-1")  # so that there is a table before any row
+    counts.writeStream.foreachBatch(save).option("checkpointLocation", state).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).groupBy("day", by).agg(F.max_by("n", "batch").alias("n"))
