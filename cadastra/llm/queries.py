@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cadastra.llm import ann, bpe, langid, mixing, ngram_join, oracles, pii, pitman_yor, substrings, suffixes
+from cadastra.llm import ann, bpe, collocations, langid, lexical, mixing, ngram_join, oracles, pii, pitman_yor, substrings, suffixes, warc
 from cadastra.llm.fingerprints import fingerprint_pairs
 from cadastra.llm.tables import table
 
@@ -54,10 +54,22 @@ def op10_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"), langid.pieces(public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op11_warc_archives(spark, sf_dir):
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+def op12_phrase_collocations(spark, sf_dir):
+    return collocations.mine(table(spark, sf_dir, "documents"), longest=3, least=10, share=50, top=2000)
+
+
+def op13_ranked_search(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries() -> dict:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": oracles.ngram_join(4, 85), "op3_substring_dedup": oracles.substring_dedup(35), "op4_source_mixing": mixing.oracle()}
+    return {"op1_ngram_jaccard_join": oracles.ngram_join(4, 85), "op3_substring_dedup": oracles.substring_dedup(35), "op4_source_mixing": mixing.oracle(), "op11_warc_archives": warc.oracle(), "op12_phrase_collocations": collocations.oracle(10, 50, 2000), "op13_ranked_search": lexical.oracle(10)}

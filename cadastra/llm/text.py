@@ -74,9 +74,9 @@ class Chunk:
         self.data, self.offs, self.first = data, offs, first
         self.n = len(offs) - 1
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and ends of the words, and the index of each text's first word (n + 1 values)."""
-        word = ~SPACE[self.data]
+    def words(self, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the words, and the index of each text's first word (n + 1 values); apart: the bytes between words."""
+        word = ~apart[self.data]
         cut = np.zeros(len(word) + 1, dtype=bool)
         cut[self.offs] = True
         before = np.empty(len(word), dtype=bool)
