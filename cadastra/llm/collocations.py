@@ -82,16 +82,18 @@ def oracle(least: int = 10, share: int = 50, top: int = 2000) -> str:
     """DuckDB SQL for the rows of mine with phrases of 2 to 3 words."""
     return f"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{STOPS}')) AS piece FROM documents),
-w AS (SELECT lang, regexp_extract_all(piece, '{WORD}') AS w FROM p),
-o AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
-g AS (SELECT lang, w[i:i] AS g FROM o UNION ALL SELECT lang, w[i:i + 1] FROM o WHERE i < len(w) UNION ALL SELECT lang, w[i:i + 2] FROM o WHERE i + 1 < len(w)),
-f AS (SELECT lang, g, count(*) AS f FROM g GROUP BY ALL),
-n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(g) = 1 GROUP BY 1),
-c AS (SELECT lang, g, f AS a, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1 AND f >= {least}),
-s AS (SELECT c.lang, c.g, a, k, x.f AS l, y.f AS r, ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
-  FROM c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:len(c.g)]),
+q AS (SELECT row_number() OVER () AS pid, lang, regexp_extract_all(piece, '{WORD}') AS w FROM p),
+o AS (SELECT pid, lang, unnest(w) AS w1, unnest(range(1, len(w) + 1)) AS i FROM q),
+l AS (SELECT lang, w1, lead(w1) OVER (PARTITION BY pid ORDER BY i) AS w2, lead(w1, 2) OVER (PARTITION BY pid ORDER BY i) AS w3 FROM o),
+f1 AS (SELECT lang, w1 AS g, count(*) AS f FROM l GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, w1 || ' ' || w2 AS g, count(*) AS f FROM l WHERE w2 IS NOT NULL GROUP BY ALL),
+f3 AS (SELECT lang, w1, w2, w3, w1 || ' ' || w2 || ' ' || w3 AS g, count(*) AS f FROM l WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= {least}),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY 1),
+f AS (SELECT lang, g, f FROM f1 UNION ALL SELECT lang, g, f FROM f2),
+c AS (SELECT lang, g, f AS a, 1 AS k, w1 AS head, w2 AS tail FROM f2 WHERE f >= {least} UNION ALL SELECT lang, g, f, 1, w1, w2 || ' ' || w3 FROM f3 UNION ALL SELECT lang, g, f, 2, w1 || ' ' || w2, w3 FROM f3),
+s AS (SELECT c.lang, c.g, a, k, x.f AS l, y.f AS r, ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score FROM c JOIN f x ON x.lang = c.lang AND x.g = head JOIN f y ON y.lang = c.lang AND y.g = tail),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
-i AS (SELECT lang, g, max(f) AS longer FROM (SELECT lang, g[1:2] AS g, a AS f FROM c WHERE len(g) = 3 UNION ALL SELECT lang, g[2:3], a FROM c WHERE len(g) = 3) GROUP BY ALL),
-r AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN i USING (lang, g) WHERE longer IS NULL OR 100 * longer < {share} * a),
+i AS (SELECT lang, g, max(f) AS longer FROM (SELECT lang, w1 || ' ' || w2 AS g, f FROM f3 UNION ALL SELECT lang, w2 || ' ' || w3, f FROM f3) GROUP BY ALL),
+r AS (SELECT lang, g AS phrase, a, l, r, score FROM b LEFT JOIN i USING (lang, g) WHERE longer IS NULL OR 100 * longer < {share} * a),
 t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM r)
 SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score FROM t JOIN n USING (lang) WHERE rank <= {top}"""
