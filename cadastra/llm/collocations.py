@@ -1,10 +1,13 @@
 """Phrase collocations of each language by top-order marginalisation.
 
-Every word is taken once, with the words that follow it in its piece as lead columns, padded
-with nulls at the piece's end. Only these longest windows are counted; ROLLUP over the columns
+Every word is taken once, with the words that follow it in its piece as lead columns, cut
+off at the piece's end. Only these longest windows are counted; ROLLUP over the columns
 sums them to the counts of all shorter prefixes, as each occurrence of a phrase is the prefix of
 just one window. Phrases are not exploded a second time for each length.
 
+Words that are too rare for any candidate end a window before that, where the frequent ones fit a
+bounded broadcast; this only makes less travel.
+
 Candidates have 2 to `longest` words and at least `least` occurrences, so all their parts are
 among the phrases that occur as often; rarer ones go right after the rollup. The score of a cut is
 floor(10^6 a a / (l r)), in decimals of 38 digits, which hold it up to 10^16 occurrences (more
@@ -23,9 +26,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastra.llm.tables import written
+from cadastra.llm.tables import settle, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of frequent words up to which they are broadcast.
+PRUNE_BYTES = 64 << 20
 #: Where pieces end, and what words are made of.
 STOPS, WORD = "[.,;:!?\\x0A-\\x0D]", "[^\\x20\\x09]+"
 
@@ -39,16 +44,46 @@ def windows(docs: DataFrame, longest: int) -> DataFrame:
     return at.select("lang", *[F.get("words", F.col("at") + i).alias(f"w{i + 1}") for i in range(longest)])
 
 
+def pruned(found: DataFrame, longest: int, least: int) -> DataFrame:
+    """The windows up to their first word that occurs less than `least` times, so that rare words do not travel with them.
+
+    No phrase with such a word is a candidate. The frequent words are broadcast behind a check of their bytes; where
+    there are more, windows stay as they are, with the same phrases in the end.
+    """
+    words = found.groupBy("lang", "w1").agg(F.count(F.lit(1)).alias("f")).filter(F.col("f") >= least)
+    frequent = written(words.select(F.col("lang").alias("_lang"), F.col("w1").alias("_word"), F.lit(True).alias("_known")))
+    size = frequent.agg(F.sum(F.octet_length("_lang") + F.octet_length("_word") + 48)).first()[0] or 0
+    if size > PRUNE_BYTES:
+        return found
+    for i in range(longest):
+        own = frequent.select(*[F.col(c).alias(f"{c}{i}") for c in frequent.columns])
+        found = found.join(F.broadcast(own), (F.col("lang") == F.col(f"_lang{i}")) & (F.col(f"w{i + 1}") == F.col(f"_word{i}")), "left")
+    whole = F.lit(True)
+    for i in range(longest):
+        whole = whole & F.coalesce(F.col(f"_known{i}"), F.lit(False))
+        found = found.withColumn(f"_kept{i}", F.when(whole, F.col(f"w{i + 1}")))
+    return found.select("lang", *[F.col(f"_kept{i}").alias(f"w{i + 1}") for i in range(longest)])
+
+
 def phrases(docs: DataFrame, longest: int, least: int) -> DataFrame:
-    """lang, words (array), f: all phrases of up to `longest` words that occur `least` times; with no words: all of the language's words."""
+    """lang, words (array), f: all phrases of up to `longest` words that occur `least` times; with no words: all of the language's words.
+
+    A longest window's count is final, so only prefixes travel twice. Windows that begin with a rare word are counted
+    together, without words.
+    """
     names = [f"w{i + 1}" for i in range(longest)]
-    tops = windows(docs, longest).groupBy("lang", *names).agg(F.count(F.lit(1)).alias("f"))
-    sums = tops.rollup("lang", *names).agg(F.sum("f").alias("f"), F.grouping_id().alias("rolled"))
-    kinds = {(1 << (longest - k)) - 1: k for k in range(longest + 1)}  # columns rolled up -> words left
+    tops = pruned(windows(docs, longest), longest, least).groupBy("lang", F.concat_ws(" ", *names).alias("window")).agg(F.count(F.lit(1)).alias("f"))
+    tops = written(tops, codec="zstd")
+    settle(tops)
+    words = F.filter(F.split("window", " "), lambda w: w != "")
+    whole = tops.filter(F.col("f") >= least).select("lang", words.alias("words"), "f").filter(F.size("words") == longest)
+    heads = names[:-1]
+    sums = tops.select("lang", "f", *[F.get(words, F.lit(i)).alias(n) for i, n in enumerate(heads)]).rollup("lang", *heads).agg(F.sum("f").alias("f"), F.grouping_id().alias("rolled"))
+    kinds = {(1 << (longest - 1 - k)) - 1: k for k in range(longest)}  # columns rolled up -> words left
     size = F.coalesce(*[F.when(F.col("rolled") == mask, F.lit(k)) for mask, k in kinds.items()])
-    sums = sums.withColumn("size", size).filter("size = 0 OR f >= " + str(int(least)))
-    whole = F.coalesce(*[F.when(F.col("size") == k, F.col(names[k - 1]).isNotNull() if k else F.lit(True)) for k in range(longest + 1)])
-    return sums.filter(whole).select("lang", F.slice(F.array(*names), F.lit(1), F.col("size")).alias("words"), "f")
+    sums = sums.withColumn("size", size).filter((F.col("size") == 0) | (F.col("f") >= least))
+    full = F.coalesce(*[F.when(F.col("size") == k, F.col(heads[k - 1]).isNotNull() if k else F.lit(True)) for k in range(longest)])
+    return sums.filter(full).select("lang", F.slice(F.array(*heads), F.lit(1), F.col("size")).alias("words"), "f").unionByName(whole)
 
 
 def mine(docs: DataFrame, longest: int = 3, least: int = 10, share: int = 50, top: int = 2000) -> DataFrame:

@@ -127,8 +127,9 @@ def expected_phrases(rows, longest, least, share, top):
 TEXTS = [("The cat sat. the cat ran, The cat sat\tdown", "en")] * 6 + [("a a a a a a", None), ("A a; é ü É ü é ü", "und"), (None, "en"), ("", None), ("le chat dort le chat dort", "fr")] * 7 + [("x" + " y z" * 3000, "long")]
 
 
-@pytest.mark.parametrize(("longest", "share"), [(3, 50), (4, 80), (2, 50)])
-def test_phrases_by_brute_force(spark, longest, share):
+@pytest.mark.parametrize(("longest", "share", "most"), [(3, 50, 1 << 20), (4, 80, 1 << 20), (2, 50, 1 << 20), (3, 50, 0)])
+def test_phrases_by_brute_force(spark, monkeypatch, longest, share, most):
+    monkeypatch.setattr(collocations, "PRUNE_BYTES", most)
     df = spark.createDataFrame([(*r, 1, "f") for r in TEXTS], "text string, lang string, f int, words string").repartition(5)
     found = [tuple(r) for r in collocations.mine(df, longest, 5, share, 4).collect()]
     assert sorted(found) == expected_phrases(TEXTS, longest, 5, share, 4)
