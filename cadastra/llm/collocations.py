@@ -31,15 +31,16 @@ from cadastra.llm.tables import settle, written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of frequent words up to which they are broadcast.
 PRUNE_BYTES = 64 << 20
-#: Where pieces end, and what words are made of.
+#: What ends pieces beside the full stop; the same as a pattern, and what words are made of.
+STOP = ",;:!?\n\x0b\x0c\r"
 STOPS, WORD = "[.,;:!?\\x0A-\\x0D]", "[^\\x20\\x09]+"
 
 
 def windows(docs: DataFrame, longest: int) -> DataFrame:
     """lang and columns w1 .. w{longest}: each word and those after it in its piece, null beyond its end."""
-    text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    pieces = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(text, STOPS)).alias("piece"))
-    words = pieces.select("lang", F.regexp_extract_all("piece", F.lit(WORD), F.lit(0)).alias("words")).filter(F.size("words") > 0)
+    text = F.translate(F.coalesce("text", F.lit("")), UPPER + STOP + "\t", LOWER + "." * len(STOP) + " ")  # then one sign ends pieces, another words
+    pieces = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(text, "\\.")).alias("piece"))
+    words = pieces.select("lang", F.array_remove(F.split("piece", " "), "").alias("words")).filter(F.size("words") > 0)
     at = words.select("lang", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at"))
     return at.select("lang", *[F.get("words", F.col("at") + i).alias(f"w{i + 1}") for i in range(longest)])
 
@@ -72,13 +73,11 @@ def phrases(docs: DataFrame, longest: int, least: int) -> DataFrame:
     together, without words.
     """
     names = [f"w{i + 1}" for i in range(longest)]
-    tops = pruned(windows(docs, longest), longest, least).groupBy("lang", F.concat_ws(" ", *names).alias("window")).agg(F.count(F.lit(1)).alias("f"))
-    tops = written(tops, codec="zstd")
+    tops = written(pruned(windows(docs, longest), longest, least).groupBy("lang", *names).agg(F.count(F.lit(1)).alias("f")))
     settle(tops)
-    words = F.filter(F.split("window", " "), lambda w: w != "")
-    whole = tops.filter(F.col("f") >= least).select("lang", words.alias("words"), "f").filter(F.size("words") == longest)
+    whole = tops.filter((F.col("f") >= least) & F.col(names[-1]).isNotNull()).select("lang", F.array(*names).alias("words"), "f")
     heads = names[:-1]
-    sums = tops.select("lang", "f", *[F.get(words, F.lit(i)).alias(n) for i, n in enumerate(heads)]).rollup("lang", *heads).agg(F.sum("f").alias("f"), F.grouping_id().alias("rolled"))
+    sums = tops.rollup("lang", *heads).agg(F.sum("f").alias("f"), F.grouping_id().alias("rolled"))
     kinds = {(1 << (longest - 1 - k)) - 1: k for k in range(longest)}  # columns rolled up -> words left
     size = F.coalesce(*[F.when(F.col("rolled") == mask, F.lit(k)) for mask, k in kinds.items()])
     sums = sums.withColumn("size", size).filter((F.col("size") == 0) | (F.col("f") >= least))

@@ -542,17 +542,18 @@ TOLD = shape(part="l", chunk="l", kind="l", a="b", b="b", more="ab")
 
 
 def found_pairs(known: tuple[np.ndarray, np.ndarray], u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Each pair's place among distinct known pairs, or -1; both numbers are compared."""
-    us, ws = (np.unique(x) for x in known)
-    key = np.searchsorted(us, known[0]) * len(ws) + np.searchsorted(ws, known[1])
-    if not len(key):
+    """Each pair's place among distinct known pairs in ascending order, or -1; both numbers are compared."""
+    if not len(known[0]):
         return np.full(len(u), -1)
-    order = np.argsort(key)
-    at_u, at_w = (np.minimum(np.searchsorted(x, y), len(x) - 1) for x, y in ((us, u), (ws, w)))
-    asked = at_u * len(ws) + at_w
-    place = np.minimum(np.searchsorted(key, asked, sorter=order), len(key) - 1)
-    place = order[place]
-    return np.where((us[at_u] == u) & (ws[at_w] == w) & (key[place] == asked), place, -1)
+    width = int(max(known[1].max(), w.max(initial=0))) + 1
+    if (int(max(known[0].max(), u.max(initial=0))) + 1) * width >= 1 << 63:  # beyond three thousand million words
+        both = np.unique(np.concatenate([known[1], w]))
+        known, w, width = (known[0], np.searchsorted(both, known[1])), np.searchsorted(both, w), len(both)
+        us = np.unique(np.concatenate([known[0], u]))
+        known, u = (np.searchsorted(us, known[0]), known[1]), np.searchsorted(us, u)
+    key, asked = known[0] * width + known[1], u * width + w
+    place = np.minimum(np.searchsorted(key, asked), len(key) - 1)
+    return np.where(key[place] == asked, place, -1)
 
 
 def told_pairs(texts: DataFrame, pairs: DataFrame, once: DataFrame, parts: int) -> DataFrame:
@@ -565,21 +566,15 @@ def told_pairs(texts: DataFrame, pairs: DataFrame, once: DataFrame, parts: int)
     def run(own: pa.Table, asked: pa.Table) -> pa.Table:
         if not asked.num_rows:
             return pa.Table.from_batches([batch(schema, [])])
-        rows = sorted(own.to_pylist(), key=lambda r: r["to"])  # those that occur once, then those that repeat
-        u, w = np.concatenate([np.zeros(0, np.int64), *(unsteps(r["u"]) for r in rows)]), np.concatenate([np.zeros(0, np.int64), *(unsqueeze(r["w"]) for r in rows)])
-        c, ts = np.ones(len(u) + 1, dtype=np.int64), np.full(len(u) + 1, SAMPLES)
-        for r in rows:
-            if r["to"] == -1:
-                repeat = unsqueeze(r["c"])
-                c[len(u) - len(repeat) : -1], ts[len(u) - len(repeat) : -1] = repeat, unsqueeze(r["ts"])
-        c[-1] = ts[-1] = 0  # of a pair not seen in training
+        of = {r["to"]: r for r in own.to_pylist()}  # -2: the pairs that occur once, -1: those that repeat
+        pairs_of = lambda r: (unsteps(r["u"]), unsqueeze(r["w"])) if r else (np.zeros(0, np.int64),) * 2
+        single, repeat = pairs_of(of.get(-2)), pairs_of(of.get(-1))
+        c, ts = (np.append(unsqueeze(of[-1][k]) if -1 in of else [], 0).astype(np.int64) for k in ("c", "ts"))  # the last: of no pair
         part, out = asked.column("part")[0].as_py(), []
-        sets = [(unsteps(a.as_py()), unsqueeze(b.as_py())) for a, b in zip(asked.column("u"), asked.column("w"), strict=True)]
-        at = found_pairs((u, w), *(np.concatenate(x) for x in zip(*sets, strict=True)))
-        lo = 0
-        for chunk, (x, _) in zip(asked.column("chunk").to_pylist(), sets, strict=True):
-            own_at, lo = at[lo : lo + len(x)], lo + len(x)
-            out.append((part, chunk, 0, squeeze(c[own_at]), squeeze(ts[own_at]), None))
+        for chunk, us, ws in rows_of(asked.to_batches(), "chunk", "u", "w"):
+            u, w = unsteps(us), unsqueeze(ws)
+            once_, more = found_pairs(single, u, w) >= 0, found_pairs(repeat, u, w)
+            out.append((part, chunk, 0, squeeze(c[more] + once_), squeeze(ts[more] + once_ * SAMPLES), None))
         return pa.Table.from_batches([batch(schema, out)])
 
     states = pairs.filter("to = -1").select("part", "to", "u", "w", "c", "ts")

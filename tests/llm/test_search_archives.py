@@ -124,7 +124,7 @@ def expected_phrases(rows, longest, least, share, top):
     return sorted((g, i + 1, p.decode(), *rest) for g, x in out.items() for i, (_, _, p, *rest) in enumerate(sorted(x)[:top]))
 
 
-TEXTS = [("The cat sat. the cat ran, The cat sat\tdown", "en")] * 6 + [("a a a a a a", None), ("A a; é ü É ü é ü", "und"), (None, "en"), ("", None), ("le chat dort le chat dort", "fr")] * 7 + [("x" + " y z" * 3000, "long")]
+TEXTS = [("The cat sat. the cat ran, The cat sat\tdown", "en")] * 6 + [("a a a a a a", None), ("A a; é ü É ü é ü", "und"), ("A\tb\x0bc d\x0cA\tb\rc d\nA b", "und"), (".a b..a b?!a b:", "und"), (None, "en"), ("", None), ("le chat dort le chat dort", "fr")] * 7 + [("x" + " y z" * 3000, "long")]
 
 
 @pytest.mark.parametrize(("longest", "share", "most"), [(3, 50, 1 << 20), (4, 80, 1 << 20), (2, 50, 1 << 20), (3, 50, 0)])

@@ -49,6 +49,9 @@ def test_found_pairs_compares_both_numbers():
     at = pitman_yor.found_pairs((u, w), np.array([7, 3, 3, 9, 1, 7]), np.array([5, 8, 9, 9, 5, 8]))
     assert at.tolist() == [2, 1, -1, 3, -1, -1]
     assert pitman_yor.found_pairs((u[:0], w[:0]), u, w).tolist() == [-1] * 4
+    far = np.int64(1) << 40
+    at = pitman_yor.found_pairs((u * far, w * far), np.array([7, 3, 3, 9, 1, 7]) * far, np.array([5, 8, 9, 9, 5, 8]) * far)
+    assert at.tolist() == [2, 1, -1, 3, -1, -1]
 
 
 def test_probabilities_sum_to_one(spark):
