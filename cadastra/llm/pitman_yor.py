@@ -63,13 +63,22 @@ SEED = 11
 
 
 def squeeze(x: np.ndarray) -> bytes:
-    """Whole numbers from 0 on in the least width, which the first byte tells."""
-    kind = np.min_scalar_type(int(x.max())) if len(x) else np.dtype(np.uint8)
-    return bytes([kind.itemsize]) + x.astype(kind).tobytes()
+    """Whole numbers from 0 on in the fewest bytes each, how many the first byte tells."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    if width in (1, 2, 4, 8):
+        return bytes([width]) + x.astype(f"<u{width}").tobytes()
+    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def unsqueeze(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, dtype=f"<u{b[0]}", offset=1).astype(np.int64) if b else np.zeros(0, np.int64)
+    if not b:
+        return np.zeros(0, np.int64)
+    width = b[0]
+    if width in (1, 2, 4, 8):
+        return np.frombuffer(b, dtype=f"<u{width}", offset=1).astype(np.int64)
+    out = np.zeros(((len(b) - 1) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(b, dtype=np.uint8, offset=1).reshape(-1, width)
+    return out.view("<i8").ravel()
 
 
 def steps(x: np.ndarray) -> bytes:

@@ -44,6 +44,15 @@ def test_scores_do_not_depend_on_chunks_and_turns(spark, monkeypatch, parts, tur
     assert all(np.isclose(x, found[k], rtol=1e-12) for k, x in ONE_CHUNK["scores"].items())
 
 
+def test_squeezed_numbers():
+    for top in (0, 255, 256, 65_535, 65_536, 1 << 24, (1 << 24) - 1, 1 << 39, (1 << 62) + 1):
+        x = np.array([0, top // 3, top, 1 if top else 0])
+        packed = pitman_yor.squeeze(x)
+        assert pitman_yor.unsqueeze(packed).tolist() == x.tolist() and len(packed) == 1 + 4 * max(1, (top.bit_length() + 7) // 8)
+        assert pitman_yor.unsteps(pitman_yor.steps(np.sort(x))).tolist() == sorted(x.tolist())
+    assert pitman_yor.unsqueeze(pitman_yor.squeeze(x[:0])).tolist() == [] == pitman_yor.unsqueeze(None).tolist()
+
+
 def test_found_pairs_compares_both_numbers():
     u, w = np.array([3, 3, 7, 9]), np.array([5, 8, 5, 9])
     at = pitman_yor.found_pairs((u, w), np.array([7, 3, 3, 9, 1, 7]), np.array([5, 8, 9, 9, 5, 8]))
@@ -105,3 +114,15 @@ def test_a_wide_context_is_not_one_task(spark, monkeypatch):
     for i, t in enumerate(texts):
         gone = {j for k in range(len(t) - 39) if times[t[k : k + 40]] > 1 for j in range(k, k + 40)}
         assert found[i] == "".join(c for j, c in enumerate(t) if j not in gone)
+
+
+def test_planted_passages_go_from_400_bytes_on(spark):
+    """Passages of 300 to 700 bytes, each planted in two or three documents: those of 400 bytes and more go whole, shorter ones stay."""
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, size=int(rng.integers(2, 9))))) for _ in range(n))
+    passages = [("|" + words(200))[:size] for size in (300, 394, 398, 399, 400, 401, 430, 560, 700)]
+    texts = [f"{words(60)} é{i % 10}{passages[i % len(passages)]}{i % 10}# {words(40)}" for i in range(27)]  # other signs on either side of each copy
+    found = {r["doc_id"]: bytes(r["kept"]).decode() for r in suffixes.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), 400).collect()}
+    for i, text in enumerate(texts):
+        p = passages[i % len(passages)]
+        assert found[i] == (text.replace(p, "") if len(p) >= 400 else text), len(p)
