@@ -73,11 +73,13 @@ def phrases(docs: DataFrame, longest: int, least: int) -> DataFrame:
     together, without words.
     """
     names = [f"w{i + 1}" for i in range(longest)]
-    tops = written(pruned(windows(docs, longest), longest, least).groupBy("lang", *names).agg(F.count(F.lit(1)).alias("f")))
+    tops = pruned(windows(docs, longest), longest, least).groupBy("lang", F.concat_ws(" ", *names).alias("window")).agg(F.count(F.lit(1)).alias("f"))
+    tops = written(tops, codec="zstd")  # one text a window takes less memory and disk than a column a word
     settle(tops)
-    whole = tops.filter((F.col("f") >= least) & F.col(names[-1]).isNotNull()).select("lang", F.array(*names).alias("words"), "f")
+    words = F.when(F.col("window") != "", F.split("window", " "))
+    whole = tops.filter(F.col("f") >= least).select("lang", words.alias("words"), "f").filter(F.size("words") == longest)
     heads = names[:-1]
-    sums = tops.rollup("lang", *heads).agg(F.sum("f").alias("f"), F.grouping_id().alias("rolled"))
+    sums = tops.select("lang", "f", *[F.get(words, F.lit(i)).alias(n) for i, n in enumerate(heads)]).rollup("lang", *heads).agg(F.sum("f").alias("f"), F.grouping_id().alias("rolled"))
     kinds = {(1 << (longest - 1 - k)) - 1: k for k in range(longest)}  # columns rolled up -> words left
     size = F.coalesce(*[F.when(F.col("rolled") == mask, F.lit(k)) for mask, k in kinds.items()])
     sums = sums.withColumn("size", size).filter((F.col("size") == 0) | (F.col("f") >= least))
