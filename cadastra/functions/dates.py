@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 # Names of months.
 MONTHS = ["janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"]
 
-FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "yyyy/MM/dd")
+# Formats of dates, in their order; then those that a reader with the day first takes.
+FORMATS = ("d/M/yyyy H:m", "d/M/yyyy", "yyyy-M-d H:m:s", "yyyy-M-d H:m", "yyyy-M-d", "d-M-yyyy")
+DAY_FIRST = ("yyyy-M-d'T'H:m:s", "yyyy/M/d H:m", "yyyy/M/d", "d.M.yyyy H:m", "d.M.yyyy", "d/M/yyyy H:m:s", "d-M-yyyy H:m", "d MMMM yyyy", "d MMM yyyy")
 #: Days of the units in relative dates.
 DAYS = {"minute": 1 / 1440, "hour": 1 / 24, "day": 1, "week": 7, "month": 30, "year": 365}
 
 
 def parse(c: Column) -> Column:
-    """The first format that fits."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in FORMATS])
+    """The first format that fits the first 19 characters, else the first with the day first that fits all."""
+    whole = F.trim(c)
+    return F.coalesce(*[F.try_to_timestamp(F.substring(whole, 1, 19), F.lit(f)) for f in FORMATS], *[F.try_to_timestamp(whole, F.lit(f)) for f in DAY_FIRST])
 
 
 def relative(c: Column, reference: Column) -> Column:

@@ -20,6 +20,11 @@ BUILT = r"(?i)(?:construi[t]?\s+en|ann[ée]e?\s+(?:de\s+)?construction\s*:?\s*)\
 NEW, RENOVATED, OLD = r"(?i)\b(?:neuf|new)\b", r"(?i)\b(?:rénov[eé]|réhabilit|renovated)", r"(?i)\bancien\b"
 PRICE = r"([0-9][0-9\s]*?)\s*TND"
 PLACE = r"([A-Z][a-z-]{2,25}),\s*([A-Z][a-z-]{2,20})\s+[0-9]+\s*m"
+# Patterns of rooms.
+SALON_PLUS = r"(?i)\bS\+([0-9]+)\b"
+BEDROOMS, ROOMS = r"(?i)([0-9]+)\s*(?:chambre?s?|bedroom)", r"(?i)([0-9]+)\s*(?:pi[èe]ce?s?|room)"
+BATHS, SALONS = r"(?i)([0-9]+)\s*(?:salle?s?\s*(?:de\s*bain?|d'eau)|sdb)", r"(?i)([0-9]+)\s*(?:salon|living)"
+NEW_BUILDING = r"(?:immo|projet)\s*neuf"
 ROOM_SHORT = r"(?i)^App[.\s]*([0-9]+)\s*Pic$"
 
 
@@ -78,6 +83,24 @@ def room_shorthand(c: Column) -> tuple[Column, Column]:
     return F.when(n.isNotNull(), "Appartement").when(F.trim(c).rlike(r"(?i)^Surfaces?$"), "Terrain"), n
 
 
+def rooms(c: Column) -> dict[str, Column]:
+    """Type (S+N), bedrooms, rooms, baths and salons of a description; S+N has N bedrooms and N + 1 rooms, whatever else is said."""
+    n = whole(c, SALON_PLUS)
+    return {"kind": F.concat(F.lit("S+"), n.cast("string")), "bedrooms": F.coalesce(n, whole(c, BEDROOMS)), "rooms": F.coalesce(n + 1, whole(c, ROOMS)), "baths": whole(c, BATHS), "salons": whole(c, SALONS)}
+
+
+def property_type(c: Column, surface: Column, n_rooms: Column, description: Column) -> Column:
+    """A property's type: by a room shorthand, of new buildings by size, by the first word of a type, else as it is said; 'Autre' by the description's words, then the surface."""
+    v = F.lower(F.trim(c))
+    named = F.when(F.lit(False), F.lit(None).cast("string"))
+    for word, kind in fixed.TYPE_NAMES.items():
+        named = named.when(v.contains(word), F.lit(kind))
+    large = F.coalesce((surface > 150) | (n_rooms > 4), F.coalesce(surface > 150, F.lit(False)) | F.coalesce(n_rooms > 4, F.lit(False)))
+    own = F.coalesce(room_shorthand(c)[0], F.when(v.rlike(NEW_BUILDING), F.when(large, "Maison").otherwise("Appartement")), F.when(v == "autre", "Autre"), named, F.initcap(F.trim(c)))
+    other = F.coalesce(text.first_match(F.lower(F.coalesce(description, F.lit(""))), fixed.TYPE_WORDS, None), F.when(surface > 500, "Terrain").when((surface < 30) & (surface != 0), "Chambre"), F.lit("Autre"))
+    return F.when(c.isNotNull(), F.when(own == "Autre", other).otherwise(own))
+
+
 def _without_deal(v: Column) -> Column:
     out = v
     for p in reversed(fixed.CITY_PREFIXES):

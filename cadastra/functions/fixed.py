@@ -174,3 +174,109 @@ HIGH_SEASON = [3, 4, 5, 9, 10, 11]
 
 # Accented Latin letters and their plain forms.
 ACCENTED, PLAIN = "àâäáãåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+# Phrases of listings and what they are replaced by; of equal length the first goes first.
+PHRASES = {
+    "s+0": "studio",
+    "s+1": "appartement une chambre",
+    "s+2": "appartement deux chambres",
+    "s+3": "appartement trois chambres",
+    "s+4": "appartement quatre chambres",
+    "s+5": "appartement cinq chambres",
+    "dar arabiya": "maison arabe standing heritage",
+    "dar": "maison",
+    "villa prestige": "villa luxe standing haut gamme",
+    "standing": "luxe haut gamme prestige",
+    "rdc": "rez de chaussee",
+    "duplex": "duplex deux niveaux",
+    "triplex": "triplex trois niveaux",
+    "penthouse": "penthouse dernier etage luxe",
+    "pieds dans l eau": "bord mer front mer vue mer luxe",
+    "bord de mer": "vue mer front mer littoral",
+    "vue panoramique lac": "berges du lac luxe vue lac",
+    "berges du lac": "berges lac tunis luxe standing",
+    "les berges": "berges lac luxe",
+    "sidi bou said": "sidi bou said luxe village artistique",
+    "gammarth": "gammarth zone luxe prestige",
+    "la marsa": "la marsa balneare prestige",
+    "jardins de carthage": "jardins carthage luxe residence",
+    "kantaoui": "port el kantaoui touristique mer",
+    "yasmine hammamet": "yasmine hammamet zone touristique luxe",
+    "djerba": "djerba ile touristique mer",
+    "bien expose": "orientation soleil lumineux",
+    "tres lumineux": "lumineux ensoleille",
+    "entierement renove": "renove neuf etat neuf",
+    "cle en main": "pret habiter etat neuf",
+    "neuf jamais habite": "neuf etat parfait",
+    "residence fermee": "residence securisee gardiennage standing",
+    "residence securisee": "securite gardiennage standing",
+    "avec piscine": "piscine luxe",
+    "pied dans l eau": "bord mer luxe",
+    "vue sur mer": "vue mer premium",
+    "double vitrage": "isolation qualite construction",
+    "climatisation centralisee": "climatisation luxe",
+    "domotique": "domotique smart home luxe",
+    "ascenseur": "ascenseur immeuble standing",
+    "parking couvert": "parking garage securise",
+    "cave": "cave stockage",
+    "terrasse panoramique": "terrasse vue panoramique luxe",
+    "prix negociable": "prix flexible negociation",
+    "prix ferme": "prix fixe pas negociation",
+    "urgent": "vente urgente prix bas",
+    "investissement": "investissement rentabilite",
+    "rendement locatif": "rentabilite location investissement",
+    "haouma": "quartier voisinage",
+    "houma": "quartier",
+    "dar el baraka": "maison benediction standing",
+    "cite el wafa": "cite el wafa quartier",
+    "cite ennasr": "cite ennasr quartier",
+}
+
+# Words of property types, in their order.
+TYPE_NAMES = {
+    "appartement": "Appartement",
+    "appart": "Appartement",
+    "studio": "Appartement",
+    "duplex": "Appartement",
+    "triplex": "Appartement",
+    "penthouse": "Appartement",
+    "s+1": "Appartement",
+    "s+2": "Appartement",
+    "s+3": "Appartement",
+    "s+4": "Appartement",
+    "s+5": "Appartement",
+    "rdc": "Appartement",
+    "maison": "Maison",
+    "house": "Maison",
+    "dar": "Maison",
+    "bungalow": "Maison",
+    "villa": "Villa",
+    "propriete": "Villa",
+    "chalet": "Villa",
+    "chambre": "Chambre",
+    "room": "Chambre",
+    "colocation": "Chambre",
+    "local": "Local Commercial",
+    "commerce": "Local Commercial",
+    "boutique": "Local Commercial",
+    "magasin": "Local Commercial",
+    "hangar": "Local Commercial",
+    "entrepot": "Local Commercial",
+    "showroom": "Local Commercial",
+    "fonds de commerce": "Local Commercial",
+    "bureau": "Bureau",
+    "office": "Bureau",
+    "open space": "Bureau",
+    "coworking": "Bureau",
+    "terrain": "Terrain",
+    "lot": "Terrain",
+    "lotissement": "Terrain",
+    "parcelle": "Terrain",
+    "foncier": "Terrain",
+    "ferme": "Ferme",
+    "agricole": "Ferme",
+    "oliveraie": "Ferme",
+    "verger": "Ferme",
+    "exploitation": "Ferme",
+    "champ": "Ferme",
+}

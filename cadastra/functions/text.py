@@ -84,8 +84,8 @@ def richness(c: Column, short: int = 5, default: float = 0.3) -> Column:
 
 
 def replace_phrases(c: Column, phrases: dict[str, str]) -> Column:
-    """Phrases replaced, the longest first."""
-    for k in sorted(phrases, key=lambda k: (-len(k), k)):
+    """Phrases replaced one after another, the longest first and of equal length in their order, so that what one puts in another may replace."""
+    for k in sorted(phrases, key=len, reverse=True):
         c = F.replace(c, F.lit(k), F.lit(phrases[k]))
     return c
 

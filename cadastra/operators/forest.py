@@ -1,9 +1,13 @@
-"""Fitted models: isolation forests per group, and dense text vectors."""
+"""Fitted models: isolation forests per group, dense text vectors and their neighbours."""
 
 from __future__ import annotations
 
+import heapq
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.mllib.linalg.distributed import RowMatrix
@@ -11,12 +15,16 @@ from pyspark.mllib.util import MLUtils
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cadastra.functions.text import fold_accents
+from cadastra.operators.impute import group_medians, percentiles, uniform
+from cadastra.sources.folders import written
 
-#: Rows of a tree's sample, trees, and sampled rows a group; fixed whatever the data.
-SAMPLE, TREES = 256, 100
+#: Rows of a tree's sample, trees, and sampled rows a group; fixed whatever the data. Bytes of forests that a task holds at once.
+SAMPLE, TREES, SAMPLED, FOREST_BYTES = 256, 100, 1024, 64 << 20
+#: Bytes of query vectors that a task holds at once.
+QUERY_BYTES = 16 << 20
 
 
 def average_path(n: float) -> float:
@@ -24,59 +32,135 @@ def average_path(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def grow(x: np.ndarray, rng, limit: int, depth: int = 0):
-    """A tree as nested (column, split, left, right), or a leaf's path length."""
-    spread = x.max(axis=0) - x.min(axis=0) if len(x) else np.zeros(0)
-    open_ = np.flatnonzero(spread > 0)
-    if depth >= limit or len(x) <= 1 or not len(open_):
-        return depth + average_path(len(x))
-    c = int(rng.choice(open_))
-    at = float(rng.uniform(x[:, c].min(), x[:, c].max()))
-    left = x[:, c] < at
-    return c, at, grow(x[left], rng, limit, depth + 1), grow(x[~left], rng, limit, depth + 1)
+def grown(x: np.ndarray, rng, limit: int) -> tuple[list, list, list, list]:
+    """A tree as columns (-1: a leaf), splits (of leaves: path lengths), and the places of left and right nodes; nodes in preorder."""
+    column, at, left, right = [], [], [], []
+    todo = [(x, 0, None)]
+    while todo:
+        own, depth, link = todo.pop()
+        if link is not None:
+            link[0][link[1]] = len(column)
+        spread = np.flatnonzero(own.max(axis=0) > own.min(axis=0)) if len(own) > 1 else ()
+        left.append(-1)
+        right.append(-1)
+        if depth >= limit or not len(spread):
+            column.append(-1)
+            at.append(depth + average_path(len(own)))
+            continue
+        c = int(rng.choice(spread))
+        split = float(rng.uniform(own[:, c].min(), own[:, c].max()))
+        column.append(c)
+        at.append(split)
+        low = own[:, c] < split
+        todo += [(own[~low], depth + 1, (right, len(column) - 1)), (own[low], depth + 1, (left, len(column) - 1))]
+    return column, at, left, right
 
 
 def paths(tree, x: np.ndarray) -> np.ndarray:
-    if not isinstance(tree, tuple):
-        return np.full(len(x), tree)
-    c, at, low, high = tree
-    left, out = x[:, c] < at, np.empty(len(x))
-    out[left], out[~left] = paths(low, x[left]), paths(high, x[~left])
-    return out
-
-
-def inliers(df: DataFrame, groups: list[str], columns: list[str], row: list[str], contamination: float, least: int = 50) -> DataFrame:
-    """Rows but for the share with the shortest mean path in their group's forest; groups under `least` rows stay whole.
-
-    Trees grow on the driver from samples of fixed size (in md5 order, so for any partitioning alike); rows are scored in Arrow batches.
+    """Each row's path length, all rows going down a level at a time."""
+    column, at, left, right = tree
+    node = np.zeros(len(x), dtype=np.int64)
+    going = np.flatnonzero(column[node] >= 0)
+    while len(going):
+        n = node[going]
+        node[going] = np.where(x[going, column[n]] < at[n], left[n], right[n])
+        going = going[column[node[going]] >= 0]
+    return at[node]
+
+
+def forests(sample: DataFrame, columns: list[str], trees: int) -> DataFrame:
+    """(_key, tree, size, column, at, left, right): the trees of each group's sampled rows, grown in grouped tasks of at most about SAMPLED rows."""
+    kinds = "_key string, tree int, size long, column array<int>, at array<double>, left array<int>, right array<int>"
+
+    def grow(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("_hash", "ascending"), *[(c, "ascending") for c in columns]]).slice(0, SAMPLED)
+        x = np.stack([rows.column(c).to_numpy() for c in columns], axis=1)
+        size, out = min(SAMPLE, len(x)), []
+        for tree in range(trees):
+            rng = np.random.default_rng([42, tree])
+            out.append((rows.column("_key")[0].as_py(), tree, size, *grown(x[rng.choice(len(x), size, replace=False)], rng, int(np.ceil(np.log2(max(2, size)))))))
+        names = ["_key", "tree", "size", "column", "at", "left", "right"]
+        types = [pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    return sample.groupBy("_key").applyInArrow(grow, kinds)
+
+
+def scorer(shared):
+    """A function on Arrow arrays (group, list of values): anomaly scores by the group's forest, null for groups that it lacks."""
+
+    def score(keys: pa.Array, rows: pa.Array) -> pa.Array:
+        out, given = np.full(len(keys), np.nan), np.array([k is not None for k in keys.to_pylist()])
+        x = np.stack(rows.to_numpy(zero_copy_only=False)) if len(rows) else np.zeros((0, 1))
+        coded = keys.dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        for code, key in enumerate(coded.dictionary.to_pylist()):
+            if key in shared.value:
+                at = np.flatnonzero(given & (codes == code))
+                trees, norm = shared.value[key]
+                out[at] = 2.0 ** -(sum(paths(t, x[at]) for t in trees) / len(trees) / max(norm, 1e-9))
+        return pa.array(out, mask=np.isnan(out))
+
+    return score
+
+
+def inliers(df: DataFrame, groups: list[str], columns: list[str], row: list[str], contamination: float, least: int = 50, trees: int = TREES, standardise: bool = True, fill: bool = False) -> DataFrame:
+    """The rows with `score`, but for the share with the shortest mean path in their group's forest.
+
+    Groups of fewer than `least` whole rows stay, and so do rows with a null (no score); `fill`: nulls count as the
+    group's median instead. `standardise`: columns in standard deviations from their group's mean. A group's sample are
+    about its SAMPLED rows with the least hashes of `row`, found by a bound on the hash, so that no task sees a whole
+    group; forests grow in grouped tasks, and rows are scored where they are, FOREST_BYTES of forests at a time. The
+    cut is an exact percentile. The same rows give the same trees for any partitioning.
     """
-    stats = [f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]
-    z = df.join(df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), *stats), groups)
-    z = z.withColumns({f"_z_{c}": F.coalesce(F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")), F.lit(0.0)) for c in columns})
-    zs = [f"_z_{c}" for c in columns]
-    turn = F.row_number().over(Window.partitionBy(*groups).orderBy(F.md5(F.concat_ws("-", *row)), *row))
-    sample = z.withColumn("_turn", turn).filter(F.col("_turn") <= 4 * SAMPLE).select(*groups, *zs).toPandas()
-    forests = {}
-    for key, own in sample.groupby(groups):
-        x, rng = own[zs].to_numpy(), np.random.default_rng(42)
-        x = x[np.lexsort(x.T)]
-        size = min(SAMPLE, len(x))
-        forests["\0".join(map(str, key))] = [grow(x[rng.choice(len(x), size, replace=False)], rng, int(np.ceil(np.log2(max(2, size))))) for _ in range(TREES)], average_path(size)
-    shared = df.sparkSession.sparkContext.broadcast(forests)
-
-    @F.pandas_udf(T.DoubleType())
-    def score(key: pd.Series, *values: pd.Series) -> pd.Series:
-        x, out = np.stack([v.to_numpy() for v in values], axis=1), np.zeros(len(key))
-        for k in key.unique():
-            at = (key == k).to_numpy()
-            trees, norm = shared.value[k]
-            out[at] = 2.0 ** -(np.mean([paths(t, x[at]) for t in trees], axis=0) / max(norm, 1e-9))
-        return pd.Series(out)
-
-    scored = z.withColumn("score", score(F.array_join(F.array(*[F.col(g).cast("string") for g in groups]), "\0"), *zs))
-    cut = scored.groupBy(*groups).agg(F.percentile("score", F.lit(1 - contamination)).alias("_cut"))
-    kept = scored.join(cut, groups).filter((F.col("_n") < least) | (F.col("score") <= F.col("_cut")))
-    return kept.select(*df.columns, F.round("score", 6).alias("score"))
+    df = df.withColumn("_key", F.to_json(F.array(*[F.col(g).cast("string") for g in groups])) if groups else F.lit("[]"))
+    values = [F.col(c).cast("double") for c in columns]
+    if fill:
+        for i, c in enumerate(columns):
+            df = df.join(group_medians(df, ["_key"], c, f"_fill_{i}"), "_key")
+        values = [F.coalesce(v, F.col(f"_fill_{i}")) for i, v in enumerate(values)]
+    zs = [f"_z_{i}" for i in range(len(columns))]
+    whole = reduce(lambda a, b: a & b, [v.isNotNull() & ~F.isnan(v) for v in values])
+    df = df.withColumn("_whole", F.coalesce(whole, F.lit(False)))
+    stats = df.filter("_whole").withColumns(dict(zip(zs, values, strict=True))).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), *[f(z).alias(f"{z}_{n}") for z in zs for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    z = df.join(stats, "_key", "left")
+    shown = lambda v, i: F.coalesce(F.try_divide(v - F.col(f"_z_{i}_m"), F.col(f"_z_{i}_s")), F.lit(0.0)) if standardise else v
+    z = z.withColumns({zs[i]: shown(v, i) for i, v in enumerate(values)}).drop(*[f"{c}_{n}" for c in zs for n in "ms"])
+    z = z.withColumn("_hash", uniform(*[F.col(c) for c in row]))
+    bound = (SAMPLED + 10 * np.sqrt(SAMPLED)) / F.col("_n")  # ten standard deviations above, so SAMPLED rows are below it
+    sample = z.filter(F.col("_whole") & (F.col("_n") >= least) & (F.col("_hash") < bound)).select("_key", "_hash", *zs)
+    grown_ = written(forests(sample, zs, trees))
+    size = grown_.agg(F.sum(24 * F.size("column"))).first()[0] or 0
+    blocks = max(1, -(-size // FOREST_BYTES))
+    scored, parts = z.withColumn("_row", F.when(F.col("_whole"), F.array(*zs)).otherwise(F.array(*[F.lit(0.0)] * len(zs)))), []
+    for block in range(blocks):
+        held: dict = {}
+        for r in grown_.filter(F.pmod(F.xxhash64("_key"), F.lit(blocks)) == block).orderBy("_key", "tree").toLocalIterator():  # of counted bytes
+            tree = tuple(np.array(r[c], dtype=t) for c, t in (("column", np.int64), ("at", np.float64), ("left", np.int64), ("right", np.int64)))
+            held.setdefault(r["_key"], ([], average_path(r["size"])))[0].append(tree)
+        parts.append(f"_score_{block}")
+        shared = df.sparkSession.sparkContext.broadcast(held)
+        scored = scored.withColumn(parts[-1], F.arrow_udf(scorer(shared), "double")("_key", "_row"))
+    score = F.when(F.col("_whole"), F.coalesce(*parts))
+    scored = written(scored.withColumn("_score", score).drop("_row", "_hash", "_whole", *parts, *zs, *[f"_fill_{i}" for i in range(len(columns))]))
+    cut = percentiles(scored.filter("_score IS NOT NULL"), ["_key"], "_score", [1 - contamination], "_q").select("_key", F.col("_q")[0].alias("_cut"))
+    kept = scored.join(cut, "_key", "left").filter("_score IS NULL OR _score <= _cut")
+    return kept.withColumn("score", F.round("_score", 6)).drop("_key", "_n", "_score", "_cut")
+
+
+def trimmed_or_inliers(df: DataFrame, groups: list[str], columns: list[str], row: list[str], contamination: float = 0.05, large: int = 5000, least: int = 50, trees: int = 50) -> DataFrame:
+    """Inliers of groups of `large` whole rows and more; of others from `least` on the rows within the 1st and 99th percentile of each column in turn, nulls kept."""
+    same = [F.col(f"_a.{g}").eqNullSafe(F.col(f"_b.{g}")) for g in groups]
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+    sizes = df.groupBy(*groups).agg(F.count_if(whole).alias("_size"))
+    sized = df.alias("_a").join(sizes.alias("_b"), same).select("_a.*", "_size")
+    big = inliers(sized.filter(F.col("_size") >= large).drop("_size"), groups, columns, row, contamination, large, trees)
+    rest = sized.filter(F.col("_size") < large)
+    for c in columns:
+        q = percentiles(rest, groups, c, [0.01, 0.99], "_q")
+        joined = rest.alias("_a").join(q.alias("_b"), same).select("_a.*", "_q")
+        rest = joined.filter((F.col("_size") < least) | F.coalesce(F.col(c).between(F.col("_q")[0], F.col("_q")[1]), F.lit(True))).drop("_q")
+    return big.unionByName(rest.drop("_size").withColumn("score", F.lit(None).cast("double")))
 
 
 def text_vectors(df: DataFrame, dims: int, features: int = 10_000, least_docs: int = 2) -> DataFrame:
@@ -110,3 +194,49 @@ def text_vectors(df: DataFrame, dims: int, features: int = 10_000, least_docs: i
     split = unit.select("doc_id", parts("row").alias("p")).select("doc_id", "p.i", "p.x")
     kind = dict(df.dtypes)["doc_id"]
     return split.mapInPandas(project, f"doc_id {kind}, vector array<double>")
+
+
+def nearest_texts(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(doc_id, rank, other, score): for each row of `queries` (doc_id, vector) the k other rows of `vectors` with the largest inner product (to 12 digits), ties to the smaller id.
+
+    Queries come in blocks of about QUERY_BYTES, each against all vectors where they are: a matrix product for every
+    Arrow batch, after which a task keeps k rows a query. Null vectors take no part; a zero vector has products of 0.
+    """
+    kind = to_arrow_type(vectors.schema["doc_id"].dataType)
+    own = written(queries.filter("vector IS NOT NULL").select("doc_id", "vector"))
+    blocks = max(1, -(-(own.agg(F.sum(8 * F.size("vector"))).first()[0] or 0) // QUERY_BYTES))
+    found = None
+    for block in range(blocks):
+        held = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == block).orderBy("doc_id").collect()  # of counted bytes
+        if not held:
+            continue
+        asked = vectors.sparkSession.sparkContext.broadcast(([r["doc_id"] for r in held], np.array([r["vector"] for r in held])))
+
+        def search(batches, asked=asked):
+            ids, q = asked.value
+            best = [[] for _ in ids]
+            least = np.full(len(ids), -np.inf)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                names = b.column("doc_id").to_pylist()
+                for lo in range(0, len(ids), 1024):
+                    product = np.round(q[lo : lo + 1024] @ np.stack(b.column("vector").to_numpy(zero_copy_only=False)).T, 12)
+                    rows, at = np.nonzero(product >= least[lo : lo + 1024, None])
+                    ends = np.searchsorted(rows, np.arange(len(product) + 1))
+                    for i in np.flatnonzero(np.diff(ends)).tolist():
+                        n, near = lo + i, at[ends[i] : ends[i + 1]]
+                        best[n] = heapq.nsmallest(k, best[n] + [(-float(product[i, j]), names[j]) for j in near.tolist() if names[j] != ids[n]])
+                        least[n] = -best[n][-1][0] if len(best[n]) == k else -np.inf
+            out = [(ids[n], other, -score) for n, x in enumerate(best) for score, other in x]
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, kind, pa.float64()), strict=True)], names=["doc_id", "other", "score"])
+
+        name = dict(vectors.dtypes)["doc_id"]
+        part = vectors.filter("vector IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "vector").mapInArrow(search, f"doc_id {name}, other {name}, score double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        name = dict(vectors.dtypes)["doc_id"]
+        return vectors.sparkSession.createDataFrame([], f"doc_id {name}, rank int, other {name}, score double")
+    order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "other")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("doc_id", F.col("rank").cast("int").alias("rank"), "other", "score")

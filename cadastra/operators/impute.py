@@ -2,19 +2,41 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Groups above the bound of `percentiles` that are told apart from the rest; with more all are bracketed.
+LARGE_GROUPS = 10_000
+
 
 def percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float], name: str, accuracy: int = 100_000) -> DataFrame:
-    """Exact interpolated percentiles of each group (no keys: of all rows) as an array, without all values of a group in one task.
+    """Exact interpolated percentiles of each group (no keys: of all rows) as an array, without all values of a large group in one task.
 
-    A sketch brackets each rank between two values 4 / accuracy of the rows apart; rows are counted by value inside
-    the brackets and as a whole between them, so what meets in one task is a ten-thousandth of the group. Groups
-    below 10 * accuracy rows are counted by value. Nulls are left out; a group of nulls has nulls.
+    Groups of fewer than 10 * accuracy rows come from one aggregate. The others, which are counted first, are fewer than
+    the rows over that bound: their ranks are bracketed and counted (see bracketed). Nulls are left out; a group of nulls
+    has nulls.
     """
-    v, margin = F.col("_v"), 2 / accuracy
     rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    plain = lambda x: x.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in shares])).alias(name)).select(*keys, F.coalesce(name, F.array(*[F.lit(None).cast("double")] * len(shares))).alias(name))
+    sizes = rows.groupBy(*keys).agg(F.count("_v").alias("_size")).filter(F.col("_size") >= 10 * accuracy)
+    large = sizes.limit(LARGE_GROUPS).collect()
+    if not large:
+        return plain(rows)
+    if not keys or len(large) == LARGE_GROUPS:
+        return bracketed(rows, keys, shares, name, accuracy)
+    own = df.sparkSession.createDataFrame(large, sizes.schema).drop("_size")
+    same = reduce(lambda a, b: a & b, [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in keys])
+    split = lambda how: rows.alias("_l").join(F.broadcast(own.alias("_r")), same, how)
+    return bracketed(split("left_semi"), keys, shares, name, accuracy).unionByName(plain(split("left_anti")))
+
+
+def bracketed(rows: DataFrame, keys: list[str], shares: list[float], name: str, accuracy: int) -> DataFrame:
+    """Percentiles of `_v` in large groups: a sketch, whose ranks are off by a share of 1 / accuracy at most, brackets each
+    rank between two values 4 / accuracy of the rows apart; rows are counted by value inside the brackets and as a whole
+    between them, so what meets in one task is a ten-thousandth of the group."""
+    v, margin = F.col("_v"), 2 / accuracy
     ends = [F.lit(min(max(p + m, 0.0), 1.0)) for p in shares for m in (-margin, margin)]
     cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", F.array(*ends), accuracy).alias("_ends"), F.count("_v").alias("_n"))
     large, known = F.col("_n") >= 10 * accuracy, []
@@ -47,6 +69,20 @@ def group_medians(df: DataFrame, keys: list[str], value: str, name: str) -> Data
     return percentiles(df, keys, value, [0.5], "_q").select(*keys, F.col("_q")[0].alias(name))
 
 
+def group_summary(df: DataFrame, keys: list[str], medians: dict[str, Column], *others: Column) -> DataFrame:
+    """A row for each group: exact medians of columns, all worked out at once, and other aggregates; no keys: one row."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), c.cast("double").alias("x")) for n, c in medians.items()]))
+    long = percentiles(df.select(*keys, each.alias("_e")).select(*keys, F.col("_e.n").alias("_which"), F.col("_e.x").alias("_x")), [*keys, "_which"], "_x", [0.5], "_q")
+    wide = long.groupBy(*keys).agg(*[F.max(F.when(F.col("_which") == n, F.col("_q")[0])).alias(n) for n in medians])
+    if not others:
+        return wide
+    rest = df.groupBy(*keys).agg(*others)
+    if not keys:
+        return rest.join(F.broadcast(wide), how="cross")
+    same = reduce(lambda a, b: a & b, [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in keys])
+    return rest.alias("_l").join(wide.alias("_r"), same).select("_l.*", *medians)
+
+
 def hierarchical(df: DataFrame, value: str, levels: list[list[str]], output: str) -> DataFrame:
     """The value, else the median of the first level (list of keys; [] is all rows) that has one."""
     names, out = [], df
@@ -83,6 +119,13 @@ def filled_with_mode(df: DataFrame, keys: list[str], value: str, default: str) -
     return df.join(n.groupBy(*keys).agg(best), keys, "left").withColumn(value, F.coalesce(value, "_mode", F.lit(default))).drop("_mode")
 
 
+def with_mode(df: DataFrame, value: str) -> DataFrame:
+    """Missing values by the most frequent one of all rows (ties: the smallest)."""
+    n = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    mode = n.agg(F.min_by(value, F.struct(-F.col("_n"), value)).alias("_mode"))
+    return df.join(F.broadcast(mode), how="cross").withColumn(value, F.coalesce(value, "_mode")).drop("_mode")  # one row
+
+
 def numbered(df: DataFrame, keys: list[str], row: str, output: str) -> DataFrame:
     """df with a number from 0 on in each group, in an order by the md5 of the row's id: counted in 4,096 buckets, so that no group meets in one task."""
     df = df.withColumn("_bucket", F.substring(F.md5(F.col(row).cast("string")), 1, 3))
@@ -90,7 +133,7 @@ def numbered(df: DataFrame, keys: list[str], row: str, output: str) -> DataFrame
     sizes = df.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     sizes = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_ahead"))
     own = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(row)) - 1
-    return df.withColumn("_own", own).join(F.broadcast(sizes), [*keys, "_bucket"]).withColumn(output, (F.col("_ahead") + F.col("_own")).cast("long")).drop("_bucket", "_own", "_ahead")
+    return df.withColumn("_own", own).join(sizes, [*keys, "_bucket"]).withColumn(output, (F.col("_ahead") + F.col("_own")).cast("long")).drop("_bucket", "_own", "_ahead")
 
 
 def hot_deck(df: DataFrame, row: str, value: str, salt: str, output: str) -> DataFrame:

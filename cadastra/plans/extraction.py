@@ -192,14 +192,16 @@ def _n(words):
 
 
 @query(f"""WITH {NOTES}, v AS (SELECT *, ({_n(fixed.RENT_WORDS)}) AS rent, ({_n(fixed.SALE_WORDS)}) AS sale, CASE WHEN l_linenumber = 1 THEN 2 WHEN l_linenumber = 2 THEN 7 END AS own, CASE WHEN l_linenumber < 6 THEN l_extendedprice END AS price FROM notes)
-SELECT l_orderkey, l_linenumber, CASE WHEN own IN (1, 2) THEN own WHEN rent > 0 AND rent >= sale THEN 1 WHEN sale > 0 THEN 2 WHEN price < 5000 THEN 1 WHEN price > 20000 THEN 2 WHEN price IS NOT NULL THEN 1 END AS transaction FROM v""")
+, r AS (SELECT l_orderkey, l_linenumber, CASE WHEN own IN (1, 2) THEN own WHEN rent > 0 AND rent >= sale THEN 1 WHEN sale > 0 THEN 2 WHEN price < 5000 THEN 1 WHEN price > 20000 THEN 2 WHEN price IS NOT NULL THEN 1 END AS transaction FROM v)
+SELECT l_orderkey, l_linenumber, coalesce(transaction, (SELECT transaction FROM r WHERE transaction IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS transaction FROM r""")
 def transaction_resolved(spark, sf_dir):
     t = F.lower(F.coalesce("note", F.lit("")))
     own = F.when(F.col("l_linenumber") == 1, 2).when(F.col("l_linenumber") == 2, 7)
     v = notes(spark, sf_dir).select(*ID, own.alias("own"), F.when(F.col("l_linenumber") < 6, F.col("l_extendedprice")).alias("price"), text.hits(t, fixed.RENT_WORDS).alias("rent"), text.hits(t, fixed.SALE_WORDS).alias("sale"))
     price, rent, sale = F.col("price"), F.col("rent"), F.col("sale")
     bands = F.when(price < 5000, 1).when(price > 20_000, 2).when(price.isNotNull(), 1)
-    return v.select(*ID, F.when(F.col("own").isin(1, 2), F.col("own")).when((rent > 0) & (rent >= sale), 1).when(sale > 0, 2).otherwise(bands).alias("transaction"))
+    known = v.select(*ID, F.when(F.col("own").isin(1, 2), F.col("own")).when((rent > 0) & (rent >= sale), 1).when(sale > 0, 2).otherwise(bands).alias("transaction"))
+    return impute.with_mode(known, "transaction")
 
 
 _TYPES = " ".join(f"WHEN {_has(*ws, c='lower(note)')} THEN '{k}'" for k, ws in fixed.TYPE_WORDS.items())
@@ -337,7 +339,8 @@ def valid_listings(spark, sf_dir):
 
 @query("WITH m AS (SELECT s_nationkey AS k, median(s_acctbal / 100) AS lat, median(s_suppkey % 180) AS lon FROM supplier WHERE s_suppkey % 3 > 0 GROUP BY 1) SELECT n_nationkey, round(coalesce(lat, 36.8), 4)::DOUBLE AS lat, round(coalesce(lon, 10.1), 4)::DOUBLE AS lon FROM nation LEFT JOIN m ON k = n_nationkey")
 def region_coordinates(spark, sf_dir):
-    m = read(spark, sf_dir, "supplier").filter("s_suppkey % 3 > 0").groupBy(F.col("s_nationkey").alias("k")).agg(F.median(F.col("s_acctbal") / 100).alias("lat"), F.median(F.col("s_suppkey") % 180).alias("lon"))
+    m = read(spark, sf_dir, "supplier").filter("s_suppkey % 3 > 0").withColumnRenamed("s_nationkey", "k")
+    m = impute.group_summary(m, ["k"], {"lat": F.col("s_acctbal") / 100, "lon": F.col("s_suppkey") % 180})
     n = read(spark, sf_dir, "nation").join(m, F.col("k") == F.col("n_nationkey"), "left")
     return n.select("n_nationkey", F.round(F.coalesce("lat", F.lit(36.8)), 4).alias("lat"), F.round(F.coalesce("lon", F.lit(10.1)), 4).alias("lon"))
 
@@ -466,7 +469,7 @@ def signal_sheets(spark, sf_dir):
 @query(f"WITH {LISTINGS}, g AS (SELECT nation, count(*) AS n, median(unit_price) AS m FROM listings GROUP BY 1) SELECT nation || ': ' || n || ' listings' AS line, round(m, 2) AS median_price FROM g UNION ALL SELECT 'all: ' || count(*) || ' listings', round(avg(unit_price), 2) FROM listings")
 def report_lines(spark, sf_dir):
     li = listings(spark, sf_dir)
-    g = li.groupBy("nation").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("unit_price"), 2).alias("median_price"))
+    g = impute.group_summary(li, ["nation"], {"median_price": F.col("unit_price")}, F.count(F.lit(1)).alias("n")).withColumn("median_price", F.round("median_price", 2))
     total = li.agg(F.lit("all").alias("nation"), F.count(F.lit(1)).alias("n"), F.round(F.avg("unit_price"), 2).alias("median_price"))
     return g.unionByName(total).select(F.concat("nation", F.lit(": "), F.col("n").cast("string"), F.lit(" listings")).alias("line"), "median_price")
 

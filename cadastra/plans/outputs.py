@@ -31,7 +31,7 @@ def geojson_features(spark, sf_dir):
 
 @query("SELECT '{' || string_agg('\"' || k || '\":\"' || v || '\"', ',' ORDER BY k) || '}' AS decoder FROM (SELECT DISTINCT c_nationkey::VARCHAR AS k, n_name AS v FROM customer JOIN nation ON c_nationkey = n_nationkey)")
 def encoding_decoder(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return sinks.decoder(c, "c_nationkey", "n_name")
 
 

@@ -30,8 +30,8 @@ def valuation(df: DataFrame, region: str, deal_is_rent, price: str, surface: str
     df = df.withColumn("rent", deal_is_rent).filter(F.col(price).isNotNull())
     df = impute.hierarchical(df, surface, [[region, "rent"], []], "surface_filled")
     df = df.withColumn("unit", F.try_divide(F.col(price), F.col("surface_filled"))).filter(F.coalesce(F.col("unit").between(low, high), F.lit(False)))
-    medians = df.groupBy(region, "rent").agg(F.median("unit").alias("own"), F.count(F.lit(1)).alias("n"))
-    whole = df.groupBy("rent").agg(F.median("unit").alias("wide"))
+    medians = impute.group_summary(df, [region, "rent"], {"own": F.col("unit")}, F.count(F.lit(1)).alias("n"))
+    whole = impute.group_medians(df, ["rent"], "unit", "wide")
     medians = medians.join(lookup.dimension(whole), "rent").withColumn("regional", scoring.shrunk(F.col("own"), F.col("n"), F.col("wide")))
     weights = scoring.inverse_frequency(df, region, 6.0).select(region, "weight")
     out = df.join(lookup.dimension(medians.select(region, "rent", "regional")), [region, "rent"]).join(lookup.dimension(weights), region)
@@ -90,7 +90,8 @@ i AS (SELECT nation, greatest(least(100 * (0.45 * yield / 20 + 0.30 * macro + 0.
 SELECT nation, round(idx, 2) AS profitability, round(yield / 100 - 0.063, 5)::DOUBLE AS expected, round(yield / 100 - 0.063 - 1.6448536269514722 * 0.05, 5)::DOUBLE AS var_95, round((yield / 100 - 0.063) / 0.05, 4)::DOUBLE AS sharpe FROM i""")
 def profitability_pipeline(spark, sf_dir):
     rent = F.col("l_returnflag") == "R"
-    m = listings(spark, sf_dir).groupBy("nation").agg(F.median("unit_price").alias("price"), F.median(F.when(rent, F.col("unit_price"))).alias("rent"), F.median(F.when(~rent, F.col("unit_price"))).alias("sale"), F.log1p(F.count(F.lit(1))).alias("n"))
+    unit = F.col("unit_price")
+    m = impute.group_summary(listings(spark, sf_dir), ["nation"], {"price": unit, "rent": F.when(rent, unit), "sale": F.when(~rent, unit)}, F.log1p(F.count(F.lit(1))).alias("n"))
     m = scoring.minmax(scoring.minmax(m, "price", "macro"), "n", "attract")
     y = scoring.clip(F.try_divide(F.coalesce("rent", F.col("sale") * 0.005), F.col("sale")) * 12, 2, 20)
     index = scoring.clip(100 * (0.45 * y / 20 + 0.30 * F.col("macro") + 0.25 * F.col("attract")), 0, 100)

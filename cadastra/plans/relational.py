@@ -51,7 +51,8 @@ def dedup_two_key_masked(spark, sf_dir):
 def dedup_hash_prefix(spark, sf_dir):
     df = read(spark, sf_dir, "documents").withColumn("k", F.substring(F.lower("text"), 1, 200))
     blank = ~F.coalesce(F.col("text").rlike(r"(?U)\S"), F.lit(False))
-    return dedup.keep_first(df, [F.col("k"), F.col("lang")], [F.col("doc_id")], blank).select("doc_id")
+    keys = [F.col("k"), F.col("lang"), F.when(blank, F.col("doc_id"))]  # blank ones are dealt by their number, as all of them stay
+    return dedup.keep_first(df, keys, [F.col("doc_id")], blank).select("doc_id")
 
 
 @query("SELECT DISTINCT e.user_id, e.event_type FROM events e WHERE e.ts >= TIMESTAMP '2024-01-15' AND NOT EXISTS (SELECT 1 FROM events h WHERE h.ts < TIMESTAMP '2024-01-15' AND h.user_id = e.user_id AND h.event_type = e.event_type)")
@@ -107,7 +108,8 @@ _DESCRIBE = " UNION ALL ".join(f"SELECT '{c}' AS name, count({c})::BIGINT AS n,
 @query(_DESCRIBE)
 def describe_columns(spark, sf_dir):
     df = read(spark, sf_dir, "part").select(F.col("p_size").cast("double"), "p_retailprice").unpivot([], ["p_size", "p_retailprice"], "name", "x")
-    return df.groupBy("name").agg(F.count("x").alias("n"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.median("x"), 4).alias("median"), F.round(F.stddev_samp("x"), 4).alias("std"), F.min("x").alias("least"), F.max("x").alias("most"))
+    others = [F.count("x").alias("n"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_samp("x"), 4).alias("std"), F.min("x").alias("least"), F.max("x").alias("most")]
+    return impute.group_summary(df, ["name"], {"median": F.col("x")}, *others).withColumn("median", F.round("median", 4))
 
 
 @query("SELECT o_orderpriority, count(*)::BIGINT AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4)::DOUBLE AS pct FROM orders GROUP BY 1")
@@ -287,7 +289,7 @@ def knn_idw(spark, sf_dir):
 SELECT nation, round(greatest(least(coalesce(rent, sale * 0.005) / nullif(sale, 0) * 12, 20), 2), 4) AS yield FROM m""")
 def outer_align_ratio(spark, sf_dir):
     rent = F.col("l_returnflag") == "R"
-    m = listings(spark, sf_dir).groupBy("nation").agg(F.median(F.when(rent, F.col("unit_price"))).alias("rent"), F.median(F.when(~rent, F.col("unit_price"))).alias("sale"))
+    m = impute.group_summary(listings(spark, sf_dir), ["nation"], {"rent": F.when(rent, F.col("unit_price")), "sale": F.when(~rent, F.col("unit_price"))})
     y = F.try_divide(F.coalesce("rent", F.col("sale") * 0.005), F.col("sale")) * 12
     return m.select("nation", F.round(scoring.clip(y, 2, 20), 4).alias("yield"))
 

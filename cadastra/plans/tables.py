@@ -18,7 +18,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    df = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+    df = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     return df.select("l_orderkey", "l_linenumber", "l_returnflag", "c_mktsegment", F.col("n_name").alias("nation"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("surface"), F.try_divide("l_extendedprice", "l_quantity").alias("unit_price"), F.col("o_orderdate").alias("published"))
 
 

@@ -65,13 +65,13 @@ def lexical_richness(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.size(text.words(c)).alias("n_words"), F.round(text.richness(c), 6).alias("richness"), F.round(F.least(F.col("n_chars") / 500, F.lit(1.0)), 6).alias("length_score"))
 
 
-PHRASES = {"of the": "de la", "the": "le", "and": "et", "in": "dans", "and the": "et le"}
-_ORDER = sorted(PHRASES, key=lambda k: (-len(k), k))
+_ORDER = sorted(fixed.PHRASES, key=len, reverse=True)
+_LISTED = "text || CASE doc_id % 6 WHEN 0 THEN ' Dar El Baraka, pieds dans l eau' WHEN 1 THEN ' VUE PANORAMIQUE LAC s+3 résidence fermée' WHEN 2 THEN ' entièrement rénové, bord de mer, urgent' WHEN 3 THEN ' haouma et houma, rdc' ELSE '' END"
 
 
-@query("SELECT doc_id, md5(" + "replace(" * len(_ORDER) + "lower(text)" + "".join(f", '{k}', '{PHRASES[k]}')" for k in _ORDER) + ") AS phrases FROM documents")
+@query(f"SELECT doc_id, md5({'replace(' * len(_ORDER)}translate(lower(trim({_LISTED})), '{fixed.ACCENTED}', '{fixed.PLAIN}')" + "".join(f", '{k}', '{fixed.PHRASES[k]}')" for k in _ORDER) + ") AS phrases FROM documents")
 def phrase_normalise(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.replace_phrases(F.lower("text"), PHRASES)).alias("phrases"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.replace_phrases(text.fold_accents(F.trim(F.expr(_LISTED))), fixed.PHRASES)).alias("phrases"))
 
 
 @query("SELECT p_partkey, concat_ws(' ', p_name, lower(p_type), p_brand, CASE WHEN p_size <= 10 THEN 'small' WHEN p_size <= 30 THEN 'medium' ELSE 'large' END, CASE WHEN p_retailprice > 1000 THEN 'premium' END) AS rich FROM part")
@@ -112,13 +112,15 @@ def date_parts_season(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", F.year(d).alias("y"), m.alias("m"), F.quarter(d).alias("q"), F.when(m <= 6, 1).otherwise(2).alias("semester"), m.between(6, 8).cast("int").alias("high_season"), F.date_format(d, "yyyy-MM").alias("period"))
 
 
-_TEXT_DATE = "CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 2 THEN strftime(o_orderdate, '%Y/%m/%d') ELSE 'soon' END"
+_LAYOUTS = [("%d/%m/%Y %H:%M", "dd/MM/yyyy HH:mm"), ("%d/%m/%Y", "dd/MM/yyyy"), ("%Y-%m-%d %H:%M:%S", "yyyy-MM-dd HH:mm:ss"), ("%Y-%m-%d %H:%M", "yyyy-MM-dd HH:mm"), ("%Y-%m-%d", "yyyy-MM-dd"), ("%d-%m-%Y", "dd-MM-yyyy"), ("%Y/%m/%d", "yyyy/MM/dd"), ("%d.%m.%Y", "dd.MM.yyyy")]
+_TEXT_DATE = "CASE o_orderkey % 9 " + " ".join(f"WHEN {i} THEN strftime(o_orderdate, '{a}')" for i, (a, _) in enumerate(_LAYOUTS)) + " ELSE 'soon' END"
 
 
-@query(f"WITH t AS (SELECT o_orderkey, {_TEXT_DATE} AS t FROM orders) SELECT o_orderkey, coalesce(try_strptime(t, '%Y-%m-%d'), try_strptime(t, '%d/%m/%Y'), try_strptime(t, '%Y/%m/%d')) AS parsed FROM t")
+@query(f"WITH t AS (SELECT o_orderkey, {_TEXT_DATE} AS t FROM orders) SELECT o_orderkey, coalesce({', '.join(f"try_strptime(t, '{a}')" for a, _ in _LAYOUTS)}) AS parsed FROM t")
 def multi_format_dates(spark, sf_dir):
-    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
-    t = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "dd/MM/yyyy")).when(k == 2, F.date_format(d, "yyyy/MM/dd")).otherwise("soon")
+    t = F.lit("soon")
+    for i, (_, layout) in enumerate(_LAYOUTS):
+        t = F.when(F.col("o_orderkey") % 9 == i, F.date_format("o_orderdate", layout)).otherwise(t)
     return read(spark, sf_dir, "orders").select("o_orderkey", dates.parse(t).cast("timestamp_ntz").alias("parsed"))
 
 

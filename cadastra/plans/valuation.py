@@ -87,7 +87,8 @@ def market_cycle_rules(spark, sf_dir):
 s AS (SELECT k, greatest(least(12 * 0.005 * abs(price) / nullif(min(abs(price)) OVER (), 0), 20), 2) AS yield, (price - min(price) OVER ()) / (max(price) OVER () - min(price) OVER ()) AS macro, (note - min(note) OVER ()) / (max(note) OVER () - min(note) OVER ()) AS a, (ln(1 + n) - min(ln(1 + n)) OVER ()) / (max(ln(1 + n)) OVER () - min(ln(1 + n)) OVER ()) AS b FROM g)
 SELECT k, round(greatest(least(100 * (0.45 * yield / 20 + 0.30 * macro + 0.25 * (0.6 * a + 0.4 * b)), 100), 0), 2)::DOUBLE AS profitability FROM s""")
 def profitability_index(spark, sf_dir):
-    g = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.median("c_acctbal").alias("price"), F.log1p(F.count(F.lit(1))).alias("n"), F.avg(F.col("c_custkey") % 5).alias("note"))
+    g = read(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "k")
+    g = impute.group_summary(g, ["k"], {"price": F.col("c_acctbal")}, F.log1p(F.count(F.lit(1))).alias("n"), F.avg(F.col("c_custkey") % 5).alias("note"))
     for c, out in (("price", "macro"), ("note", "a"), ("n", "b")):
         g = scoring.minmax(g, c, out)
     y = scoring.clip(F.try_divide(12 * 0.005 * F.abs("price"), F.min(F.abs("price")).over(every())), 2, 20)
@@ -115,9 +116,9 @@ def adaptive_geo_weights(spark, sf_dir):
 @query("""WITH c AS (SELECT c_nationkey, n_regionkey, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey), r AS (SELECT n_regionkey, median(c_acctbal) AS wide FROM c GROUP BY 1), g AS (SELECT c_nationkey, n_regionkey, median(c_acctbal) AS own, count(*) AS n FROM c GROUP BY 1, 2)
 SELECT c_nationkey, round(CASE WHEN n >= 100 THEN own WHEN n >= 30 THEN 0.7 * own + 0.3 * wide ELSE 0.3 * own + 0.7 * wide END, 3) AS shrunk FROM g JOIN r USING (n_regionkey)""")
 def shrunk_median(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     wide = impute.group_medians(c, ["n_regionkey"], "c_acctbal", "wide")
-    g = c.groupBy("c_nationkey", "n_regionkey").agg(F.median("c_acctbal").alias("own"), F.count(F.lit(1)).alias("n")).join(lookup.dimension(wide), "n_regionkey")
+    g = impute.group_summary(c, ["c_nationkey", "n_regionkey"], {"own": F.col("c_acctbal")}, F.count(F.lit(1)).alias("n")).join(lookup.dimension(wide), "n_regionkey")
     return g.select("c_nationkey", F.round(scoring.shrunk(F.col("own"), F.col("n"), F.col("wide")), 3).alias("shrunk"))
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadastra.functions import dates, text
+from cadastra.functions import dates, extract, text
 
 CANONICAL = T.StructType(
     [
@@ -23,8 +23,9 @@ CANONICAL = T.StructType(
 
 
 def after_dash(c: Column) -> Column:
-    """The part of a place behind its first ' - ', or all of it."""
-    return F.trim(F.coalesce(F.get(F.split(c, " - ", 2), F.lit(1)), c))
+    """The city in the part of a place behind its first ' - ', or in all of it; noise, longer dashes too, goes before."""
+    v = text.strip_noise(c)
+    return extract.city(F.trim(F.coalesce(F.get(F.split(v, " - ", 2), F.lit(1)), v)))
 
 
 @dataclass(frozen=True)
@@ -51,9 +52,11 @@ LAYOUTS = {
 }
 
 
-def scan(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
-    """The raw strings of a CSV source; malformed lines are dropped."""
-    return spark.read.option("header", True).option("sep", layout.separator).option("mode", "DROPMALFORMED").option("multiLine", True).option("escape", '"').csv(path)
+def scan(spark: SparkSession, path: str, layout: Layout, rows: int | None = None) -> DataFrame:
+    """The raw strings of a CSV source, of the first `rows` at most where that is asked for; malformed lines are dropped, a byte order mark is no text."""
+    raw = spark.read.option("header", True).option("sep", layout.separator).option("mode", "DROPMALFORMED").option("multiLine", True).option("escape", '"').csv(path)
+    raw = raw.toDF(*[c.removeprefix("\ufeff") for c in raw.columns])
+    return raw if rows is None else raw.limit(rows)
 
 
 def canonical(raw: DataFrame, source: str) -> DataFrame:
@@ -97,13 +100,15 @@ def latest(spark: SparkSession, pattern: str, by_name: bool = False) -> str | No
 
 
 def sheet(spark: SparkSession, path: str, header_row: int = 0, separator: str = ",") -> DataFrame:
-    """The exported sheet of a workbook whose header stands in row header_row (from 0); rows without any value go."""
+    """The exported sheets of workbooks (a file or a folder) whose header stands in row header_row (from 0) of each; rows without any value go."""
     raw = spark.read.option("sep", separator).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
     top = raw.head(header_row + 1)
     if len(top) <= header_row:
         return raw.limit(0)
     names = [(v or f"column_{i}").strip() for i, v in enumerate(top[-1])]
-    body = raw.withColumn("_line", F.monotonically_increasing_id()).filter(F.col("_line") > header_row).drop("_line")
+    own = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")).withColumn("_id", F.monotonically_increasing_id())
+    line = F.row_number().over(Window.partitionBy("_file", "_start").orderBy("_id"))  # of each file's first block at most a split
+    body = own.withColumn("_line", line).filter((F.col("_start") > 0) | (F.col("_line") > header_row + 1)).drop("_file", "_start", "_id", "_line")
     return body.toDF(*names).dropna("all")
 
 

@@ -91,3 +91,17 @@ def test_region_order_and_city_rules(spark):
     df = spark.createDataFrame([(k,) for k in cases], "c string")
     assert {r["c"]: r["v"] for r in df.select("c", extract.city(F.col("c")).alias("v")).collect()} == cases
     assert df.select(extract.region(F.lit("sousse et TUNIS"))).first()[0] == "Tunis"
+
+
+def test_headers_of_several_sheets(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"s{i}.csv").write_text(f"report {i},\nkey,value\na{i},{i}\n,\nb{i},9\n")
+    rows = listings.sheet(spark, str(tmp_path), header_row=1).collect()
+    assert sorted((r["key"], r["value"]) for r in rows) == sorted((f"{k}{i}", v) for i in range(3) for k, v in (("a", str(i)), ("b", "9")))
+
+
+def test_a_byte_order_mark_and_a_bound_of_rows(spark, tmp_path):
+    (tmp_path / "f.csv").write_bytes("\ufeffprix,ville\n1,Sfax\n2,Tunis\n".encode())
+    raw = listings.scan(spark, str(tmp_path / "f.csv"), listings.Layout(columns={}))
+    assert raw.columns == ["prix", "ville"] and raw.count() == 2
+    assert listings.scan(spark, str(tmp_path / "f.csv"), listings.Layout(columns={}), rows=1).count() == 1
