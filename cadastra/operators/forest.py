@@ -190,8 +190,8 @@ def text_vectors(df: DataFrame, dims: int, features: int = 10_000, least_docs: i
                 rows.append((y / max(np.linalg.norm(y), 1e-12)).tolist())
             yield pd.DataFrame({"doc_id": b["doc_id"], "vector": rows})
 
-    parts = F.udf(lambda v: (v.indices.tolist(), v.values.tolist()), "i array<int>, x array<double>")
-    split = unit.select("doc_id", parts("row").alias("p")).select("doc_id", "p.i", "p.x")
+    sparse = unit.select("doc_id", F.unwrap_udt("row").alias("v"))
+    split = sparse.select("doc_id", F.col("v.indices").alias("i"), F.col("v.values").alias("x"))
     kind = dict(df.dtypes)["doc_id"]
     return split.mapInPandas(project, f"doc_id {kind}, vector array<double>")
 
