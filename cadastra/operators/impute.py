@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadastra.operators.lookup import dimension
+from cadastra.sources.folders import written
+
 #: Groups above the bound of `percentiles` that are told apart from the rest; with more all are bracketed.
 LARGE_GROUPS = 10_000
 
@@ -38,14 +41,14 @@ def bracketed(rows: DataFrame, keys: list[str], shares: list[float], name: str,
     between them, so what meets in one task is a ten-thousandth of the group."""
     v, margin = F.col("_v"), 2 / accuracy
     ends = [F.lit(min(max(p + m, 0.0), 1.0)) for p in shares for m in (-margin, margin)]
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", F.array(*ends), accuracy).alias("_ends"), F.count("_v").alias("_n"))
+    cuts = written(rows.groupBy(*keys).agg(F.percentile_approx("_v", F.array(*ends), accuracy).alias("_ends"), F.count("_v").alias("_n")))
     large, known = F.col("_n") >= 10 * accuracy, []
     for i, p in enumerate(shares):
         low = F.when(large & F.lit(p > margin), F.col("_ends")[2 * i]).otherwise(float("-inf"))
         known.append((low, F.when(large & F.lit(p < 1 - margin), F.col("_ends")[2 * i + 1]).otherwise(float("inf"))))
     if keys:
         same = [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in keys]
-        rows = rows.alias("_l").join(cuts.alias("_r"), same).select(*[F.col(f"_l.{k}").alias(k) for k in keys], "_v", "_ends", "_n")
+        rows = rows.alias("_l").join(dimension(cuts).alias("_r"), same).select(*[F.col(f"_l.{k}").alias(k) for k in keys], "_v", "_ends", "_n")
     else:
         rows = rows.join(F.broadcast(cuts), how="cross")
     inside, last = F.lit(False), F.lit(float("inf"))
@@ -88,8 +91,8 @@ def hierarchical(df: DataFrame, value: str, levels: list[list[str]], output: str
     names, out = [], df
     for i, keys in enumerate(levels):
         names.append(f"_median_{i}")
-        medians = group_medians(df, keys, value, names[-1])
-        out = out.join(medians, keys, "left") if keys else out.join(F.broadcast(medians), how="cross")
+        medians = written(group_medians(df, keys, value, names[-1]))
+        out = out.join(dimension(medians), keys, "left") if keys else out.join(F.broadcast(medians), how="cross")
     return out.withColumn(output, F.coalesce(F.col(value), *[F.col(n) for n in names])).drop(*names)
 
 
@@ -150,10 +153,15 @@ def hot_deck(df: DataFrame, row: str, value: str, salt: str, output: str) -> Dat
 def rate_tiered(df: DataFrame, group: str, row: str, value: str, salt: str, output: str, most: float = 0.6) -> DataFrame:
     """Missing values of a group: its median while no more than `most` are missing, else drawn from its known ones."""
     stats = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.count(value).alias("_known")).join(group_medians(df, [group], value, "_median"), group)
-    deck = numbered(df.filter(F.col(value).isNotNull()).select(group, row, F.col(value).alias("_donor")), [group], row, "_slot").select(group, "_slot", "_donor")
-    drawn = df.join(stats, group).withColumn("_slot", F.floor(uniform(F.col(row), F.lit(salt)) * F.col("_known")).cast("long")).join(deck, [group, "_slot"], "left")
-    other = F.when(1 - F.col("_known") / F.col("_n") <= most, F.col("_median")).otherwise(F.col("_donor"))
-    return drawn.withColumn(output, F.coalesce(F.col(value), other)).drop("_n", "_known", "_median", "_slot", "_donor")
+    stats = dimension(written(stats.withColumn("_drawn", 1 - F.col("_known") / F.col("_n") > most)))
+    known = df.join(stats, group)  # few groups are broadcast: rows of a large one stay where they are
+    deck = numbered(known.filter(F.col("_drawn") & F.col(value).isNotNull()).select(group, row, F.col(value).alias("_donor")), [group], row, "_slot").select(group, "_slot", "_donor")
+    missing = F.col("_drawn") & F.col(value).isNull()
+    slot = F.floor(uniform(F.col(row), F.lit(salt)) * F.col("_known")).cast("long")
+    drawn = known.filter(missing).withColumn("_slot", slot).join(deck, [group, "_slot"], "left").withColumn(output, F.col("_donor"))
+    rest = known.filter(~missing).withColumn(output, F.coalesce(F.col(value), F.col("_median")))
+    names = [c for c in df.columns if c != output] + [output]
+    return drawn.select(*names).unionByName(rest.select(*names))
 
 
 def filled_with_medians(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -183,10 +191,10 @@ def quantile_trim(df: DataFrame, columns: list[str], low: float = 0.01, high: fl
 
 def iqr_fences(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Quartiles, fences at 1.5 times their distance, and rows beyond."""
-    q = percentiles(df, keys, value, [0.25, 0.75], "_q")
+    q = written(percentiles(df, keys, value, [0.25, 0.75], "_q"))
     q = q.select(*keys, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3"))
     q = q.withColumn("low", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn("high", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    out = df.join(q, keys).filter((F.col(value) < F.col("low")) | (F.col(value) > F.col("high"))).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_out"))
+    out = df.join(dimension(q), keys).filter((F.col(value) < F.col("low")) | (F.col(value) > F.col("high"))).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_out"))
     return q.join(out, keys, "left").withColumn("n_out", F.coalesce("n_out", F.lit(0)).cast("long"))
 
 
