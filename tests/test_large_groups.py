@@ -70,3 +70,19 @@ def test_text_vectors_by_a_plain_svd(spark):
     y = a @ np.linalg.svd(a)[2][:6].T
     y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
     assert np.abs(found @ found.T - y @ y.T).max() < 1e-6
+
+
+def test_nearest_of_many_copies(spark):
+    """Of 3,000 equal vectors those with the smallest ids come first, in few comparisons."""
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.array(F.lit(0.6), F.lit(0.8)).alias("vector")).repartition(3)
+    out = forest.nearest_texts(df, df.filter("doc_id % 50 = 0"), 3)
+    found = {}
+    for r in out.orderBy("doc_id", "rank").collect():
+        found.setdefault(r["doc_id"], []).append(r["other"])
+    assert found == {i: [j for j in range(5) if j != i][:3] for i in range(0, 3000, 50)}
+
+
+def test_similar_documents_asks_for_each_fiftieth(spark, sf):
+    rows = completed.similar_documents(spark, sf).groupBy("doc_id").count().collect() if hasattr(completed, "similar_documents") else []
+    ids = {r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id % 50 = 0").select("doc_id").collect()}
+    assert {r["doc_id"] for r in rows} == ids and {r["count"] for r in rows} == {10}
