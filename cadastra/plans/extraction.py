@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cadastra.functions import extract, fixed, nested, text
 from cadastra.operators import dedup, impute, lookup
 from cadastra.plans.tables import LISTINGS, listings, read
+from cadastra.sources.folders import written
 from cadastra.sources import markup
 
 QUERIES: dict = {}
@@ -468,7 +469,7 @@ def signal_sheets(spark, sf_dir):
 
 @query(f"WITH {LISTINGS}, g AS (SELECT nation, count(*) AS n, median(unit_price) AS m FROM listings GROUP BY 1) SELECT nation || ': ' || n || ' listings' AS line, round(m, 2) AS median_price FROM g UNION ALL SELECT 'all: ' || count(*) || ' listings', round(avg(unit_price), 2) FROM listings")
 def report_lines(spark, sf_dir):
-    li = listings(spark, sf_dir)
+    li = written(listings(spark, sf_dir).select("nation", "unit_price"))
     g = impute.group_summary(li, ["nation"], {"median_price": F.col("unit_price")}, F.count(F.lit(1)).alias("n")).withColumn("median_price", F.round("median_price", 2))
     total = li.agg(F.lit("all").alias("nation"), F.count(F.lit(1)).alias("n"), F.round(F.avg("unit_price"), 2).alias("median_price"))
     return g.unionByName(total).select(F.concat("nation", F.lit(": "), F.col("n").cast("string"), F.lit(" listings")).alias("line"), "median_price")

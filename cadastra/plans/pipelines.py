@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cadastra.functions import text
 from cadastra.operators import dedup, impute, lookup, scoring
 from cadastra.plans.tables import LISTINGS, listings, read
+from cadastra.sources.folders import written
 
 QUERIES: dict = {}
 
@@ -27,13 +28,13 @@ def every():
 
 def valuation(df: DataFrame, region: str, deal_is_rent, price: str, surface: str, low: float, high: float) -> DataFrame:
     """Listings with a believable unit price, missing surfaces filled, regional median, weight and estimate."""
-    df = df.withColumn("rent", deal_is_rent).filter(F.col(price).isNotNull())
+    df = written(df.withColumn("rent", deal_is_rent).filter(F.col(price).isNotNull()))  # read by each median
     df = impute.hierarchical(df, surface, [[region, "rent"], []], "surface_filled")
     df = df.withColumn("unit", F.try_divide(F.col(price), F.col("surface_filled"))).filter(F.coalesce(F.col("unit").between(low, high), F.lit(False)))
     medians = impute.group_summary(df, [region, "rent"], {"own": F.col("unit")}, F.count(F.lit(1)).alias("n"))
     whole = impute.group_medians(df, ["rent"], "unit", "wide")
-    medians = medians.join(lookup.dimension(whole), "rent").withColumn("regional", scoring.shrunk(F.col("own"), F.col("n"), F.col("wide")))
-    weights = scoring.inverse_frequency(df, region, 6.0).select(region, "weight")
+    medians = written(medians.join(lookup.dimension(written(whole)), "rent").withColumn("regional", scoring.shrunk(F.col("own"), F.col("n"), F.col("wide"))))
+    weights = written(scoring.inverse_frequency(df, region, 6.0).select(region, "weight"))
     out = df.join(lookup.dimension(medians.select(region, "rent", "regional")), [region, "rent"]).join(lookup.dimension(weights), region)
     return out.withColumn("estimate", F.col("regional") * F.col("surface_filled"))
 
@@ -46,7 +47,7 @@ r AS (SELECT nation, g.rent, CASE WHEN n >= 100 THEN own WHEN n >= 30 THEN 0.7 *
 c AS (SELECT nation, count(*) AS n FROM u GROUP BY 1), k AS (SELECT nation, least(sum(n) OVER () / (count(*) OVER () * n), 6)::DOUBLE AS x FROM c), z AS (SELECT nation, x / avg(x) OVER () AS weight FROM k)
 SELECT l_orderkey, l_linenumber, u.nation, round(s, 3) AS surface, round(regional, 3) AS regional, round(regional * s, 2) AS estimate, round(weight, 5) AS weight FROM u JOIN r ON r.nation = u.nation AND r.rent = u.rent JOIN z ON z.nation = u.nation""")
 def valuation_pipeline(spark, sf_dir):
-    df = listings(spark, sf_dir).withColumn("surface", F.when(F.col("l_linenumber") != 5, F.col("surface")))
+    df = listings(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_returnflag", "nation", "price", F.when(F.col("l_linenumber") != 5, F.col("surface")).alias("surface"))
     out = valuation(df, "nation", F.col("l_returnflag") == "R", "price", "surface", 500, 2000)
     return out.select("l_orderkey", "l_linenumber", "nation", F.round("surface_filled", 3).alias("surface"), F.round("regional", 3).alias("regional"), F.round("estimate", 2).alias("estimate"), F.round("weight", 5).alias("weight"))
 
@@ -58,7 +59,7 @@ SELECT nation, y, m, round(filled, 3) AS price_index, points >= (SELECT median(p
 def trend_pipeline(spark, sf_dir):
     df = listings(spark, sf_dir).filter(F.year("published") >= 1997)
     price = F.when(F.col("unit_price").between(800, 1500), F.col("unit_price"))
-    p = df.groupBy("nation", F.year("published").alias("y"), F.month("published").alias("m")).agg(F.avg(price).alias("idx"))
+    p = written(df.groupBy("nation", F.year("published").alias("y"), F.month("published").alias("m")).agg(F.avg(price).alias("idx")))
     f = impute.hierarchical(p, "idx", [["nation"], []], "filled")
     c = p.groupBy("nation").agg(F.count(F.lit(1)).alias("points"))
     c = c.withColumn("eligible", F.col("points") >= F.median("points").over(every()))
@@ -91,7 +92,9 @@ SELECT nation, round(idx, 2) AS profitability, round(yield / 100 - 0.063, 5)::DO
 def profitability_pipeline(spark, sf_dir):
     rent = F.col("l_returnflag") == "R"
     unit = F.col("unit_price")
-    m = impute.group_summary(listings(spark, sf_dir), ["nation"], {"price": unit, "rent": F.when(rent, unit), "sale": F.when(~rent, unit)}, F.log1p(F.count(F.lit(1))).alias("n"))
+    df = written(listings(spark, sf_dir).select("nation", "l_returnflag", "unit_price"))  # read by each step of the medians
+    m = impute.group_summary(df, ["nation"], {"price": unit, "rent": F.when(rent, unit), "sale": F.when(~rent, unit)}, F.log1p(F.count(F.lit(1))).alias("n"))
+    m = written(m)
     m = scoring.minmax(scoring.minmax(m, "price", "macro"), "n", "attract")
     y = scoring.clip(F.try_divide(F.coalesce("rent", F.col("sale") * 0.005), F.col("sale")) * 12, 2, 20)
     index = scoring.clip(100 * (0.45 * y / 20 + 0.30 * F.col("macro") + 0.25 * F.col("attract")), 0, 100)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadastra.operators import dedup, impute, lookup, scoring
 from cadastra.plans.tables import LISTINGS, listings, read
+from cadastra.sources.folders import written
 
 QUERIES: dict = {}
 
@@ -26,7 +27,7 @@ def regional_price_index(spark, sf_dir):
     df = listings(spark, sf_dir)
     valid = F.when(F.col("unit_price").between(500, 2000), F.col("unit_price"))
     index = df.groupBy("nation", F.year("published").alias("y"), F.month("published").alias("m")).agg(F.avg(valid).alias("idx"))
-    filled = impute.hierarchical(index, "idx", [["nation"], []], "price_index")
+    filled = impute.hierarchical(written(index), "idx", [["nation"], []], "price_index")
     return filled.select("nation", "y", "m", F.round("price_index", 4).alias("price_index"))
 
 
@@ -289,7 +290,7 @@ def knn_idw(spark, sf_dir):
 SELECT nation, round(greatest(least(coalesce(rent, sale * 0.005) / nullif(sale, 0) * 12, 20), 2), 4) AS yield FROM m""")
 def outer_align_ratio(spark, sf_dir):
     rent = F.col("l_returnflag") == "R"
-    m = impute.group_summary(listings(spark, sf_dir), ["nation"], {"rent": F.when(rent, F.col("unit_price")), "sale": F.when(~rent, F.col("unit_price"))})
+    m = impute.group_summary(written(listings(spark, sf_dir).select("nation", "l_returnflag", "unit_price")), ["nation"], {"rent": F.when(rent, F.col("unit_price")), "sale": F.when(~rent, F.col("unit_price"))})
     y = F.try_divide(F.coalesce("rent", F.col("sale") * 0.005), F.col("sale")) * 12
     return m.select("nation", F.round(scoring.clip(y, 2, 20), 4).alias("yield"))
 
