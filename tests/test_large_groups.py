@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cadastra.functions import text
 from cadastra.operators import forest, impute
 from cadastra.plans import completed
 
@@ -86,3 +87,12 @@ def test_similar_documents_asks_for_each_fiftieth(spark, sf):
     rows = completed.similar_documents(spark, sf).groupBy("doc_id").count().collect() if hasattr(completed, "similar_documents") else []
     ids = {r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id % 50 = 0").select("doc_id").collect()}
     assert {r["doc_id"] for r in rows} == ids and {r["count"] for r in rows} == {10}
+
+
+def test_keywords_in_plenty(spark):
+    """Each part is measured once: the plan sums no slices again for each keyword."""
+    t = "é tion, " * 500 + "x"
+    found = spark.createDataFrame([(t,)], "t string").select(text.kwic(F.col("t"), "tion", 15, 50).alias("c"))
+    starts = [i for i in range(len(t)) if t.startswith("tion", i)]
+    assert found.first().c == [t[max(s - 15, 0) : max(s - 15, 0) + min(s, 15) + 54] for s in starts]
+    assert found._jdf.queryExecution().analyzed().toString().count("aggregate(slice(") == 1 and "transform(split(" not in found._jdf.queryExecution().analyzed().toString()
