@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadastra.llm import collocations, lexical, warc
+from cadastra.llm.tables import written
 
 # op11
 
@@ -135,6 +136,31 @@ def test_phrases_by_brute_force(spark, monkeypatch, longest, share, most):
     assert sorted(found) == expected_phrases(TEXTS, longest, 5, share, 4)
 
 
+@pytest.mark.parametrize("words", [1, 2, 7])
+def test_phrases_across_parts_of_a_text(spark, monkeypatch, words):
+    monkeypatch.setattr(collocations, "WORDS", words)
+    rows = [("The cat sat. the cat ran, The cat sat\tdown", "e\tn\n"), ("a a a a a a", None), ("x y z. x", "z")] * 7
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    assert sorted(tuple(r) for r in collocations.mine(df, 3, 5, 50, 4).collect()) == expected_phrases(rows, 3, 5, 50, 4)
+
+
+def test_phrases_travel_packed(spark):
+    rng = np.random.default_rng(3)
+    words = np.array([f"word{i}" for i in range(5000)])
+    texts = [" ".join(words[np.minimum(rng.zipf(1.2, 300), 5000) - 1]) for _ in range(1500)]
+    docs = written(spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").coalesce(2))
+
+    def shuffled():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = shuffled()
+    found = collocations.phrases(docs, 3, 10).filter(F.size("words") == 0).collect()
+    assert [r["f"] for r in found] == [1500 * 300]
+    assert shuffled() - before < sum(map(len, texts))
+
+
 def test_no_phrases(spark):
     assert collocations.mine(spark.createDataFrame([], "text string, lang string")).count() == 0
     assert collocations.mine(spark.createDataFrame([(None, None), (" . ", "x")], "text string, lang string")).count() == 0
