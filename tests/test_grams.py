@@ -74,3 +74,56 @@ def test_sparse_products():
     sums = np.ones((30, 6))
     y = forest.products(size, i.astype(np.uint8), a[row, i], q, sums)
     assert np.allclose(y, a @ q, atol=1e-12) and np.allclose(sums, 1 + a.T @ a @ q, atol=1e-12)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_nearest_texts_over_many_batches(spark, kind):
+    """Bounds that a task carries from batch to batch lose no row and no tie."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(900, 3)), 1)
+    x[rng.integers(0, 900, 300)] = x[5]
+    x[rng.integers(0, 900, 100)] = 0
+    name = (lambda i: i * 7 % 900) if kind == "long" else (lambda i: f"d{i * 7 % 900}")
+    df = spark.createDataFrame([(name(i), v.tolist()) for i, v in enumerate(x)], f"doc_id {kind}, vector array<double>").repartition(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        found = collections.defaultdict(list)
+        asked = sorted(name(i) for i in range(0, 900, 9))
+        for r in forest.nearest_texts(df, df.filter(F.col("doc_id").isin(asked)), 7).orderBy("doc_id", "rank").collect():
+            found[r["doc_id"]].append((r["other"], r["score"]))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = {name(i): v for i, v in enumerate(x)}
+    score = lambda a, b: round(float(rows[a] @ rows[b]), 12)
+    assert dict(found) == {a: [(b, score(a, b)) for b in sorted((b for b in rows if b != a), key=lambda b: (-score(a, b), b))[:7]] for a in asked}
+
+
+def test_products_that_reach_a_bound():
+    """Found in single precision, but exactly those of double precision, at the bounds too."""
+    rng = np.random.default_rng(3)
+    q, x = rng.normal(size=(40, 32)), rng.normal(size=(32, 3000))
+    x[:, 7] = x[:, 9] * (1 + 1e-9)
+    product = q @ x
+    length = np.linalg.norm(q, axis=1)
+    slack = 36 * 2.0**-24 * length * np.linalg.norm(x, axis=0).max()
+    for rank in (5, 1000):  # few, then many
+        bound = np.sort(product, axis=1)[:, -rank] - 1e-13
+        bound[3] = product[3, 9] if rank > 5 else bound[3]
+        n, j, score = forest.reaching(q, x, bound, slack)
+        assert set(zip(n.tolist(), j.tolist(), strict=True)) == set(zip(*(c.tolist() for c in np.nonzero(product >= bound[:, None])), strict=True))
+        assert np.allclose(score, product[n, j], rtol=0, atol=1e-13)
+    assert len(forest.reaching(q, x, np.full(40, -np.inf), slack)[0]) == product.size
+    assert len(forest.reaching(q * 1e300, x, np.full(40, 1e298), slack * 1e300)[0]) == (product >= 0.01).sum()
+
+
+def test_nearest_texts_of_many_rows(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, vector array<double>").repartition(3)
+    found = collections.defaultdict(list)
+    for r in forest.nearest_texts(df, df.filter("doc_id % 5 = 0"), 10).orderBy("doc_id", "rank").collect():
+        found[r["doc_id"]].append(r["other"])
+    product = np.round(x[::5] @ x.T, 12)
+    product[np.arange(1200), np.arange(0, 6000, 5)] = -np.inf
+    assert dict(found) == {5 * n: np.argsort(-p, kind="stable")[:10].tolist() for n, p in enumerate(product)}
