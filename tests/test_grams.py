@@ -22,7 +22,7 @@ def plain(text, longest=3):
 def hashed(text):
     """The grams of a folded text with their hashes."""
     n, own = grams.words(pa.array([text]))
-    h = grams.grams(n, own, 3)[1]
+    h = np.concatenate([h for _, h in grams.grams(n, own, 3)])
     return dict(zip(plain(text), h.view(np.int64).tolist(), strict=True))
 
 
